@@ -29,7 +29,7 @@ def p4_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p4_found": p4_found, "p4_sizes": p4_sizes}
 _FILE = r"""regexp_replace(regexp_replace(replace(url_decode(replace(regexp_replace({0}, '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g'), '+', '%2B')), chr(92), '/'), '/(\./|/)*', '/', 'g'), '^(\./)+|/\.$', '', 'g')"""
-_BITS = " + ".join(f"bit_count(xor(a.h{i}, b.h{i}))" for i in range(4))
+_BITS = " + ".join(f"cast(bit_count(xor(a.h{i}, b.h{i})) as int)" for i in range(4))
 _GROUPS = f"""
 with recursive p as (select id, arg_max(path, loaded_at) path, arg_max_null(duplicate_of, loaded_at) link, arg_max_null(phash, loaded_at) phash from photos group by id),
 h as (select id, hex(phash) x from p where octet_length(phash) = 32 and hex(phash) <> repeat('0', 64)),
