@@ -22,16 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: What is seen for what is meant. Symbols never stand in words; letter pairs may.
-SYMBOLS = {"0": "o", "1": "li", "5": "s", "6": "b", "7": "t", "8": "b", "9": "g", "$": "s", "†": "t", "|": "l", "ɑ": "a", "í": "i"}
-LETTERS = [("c", "e"), ("cl", "d"), ("b", "h"), ("ii", "u"), ("rn", "m"), ("vv", "w"), ("m", "rn"), ("li", "h"), ("q", "g")]
+SYMBOLS = {"0": "o", "1": "li", "5": "s", "6": "b", "7": "t", "8": "b", "9": "g", "$": "s", "†": "t", "|": "l", "ɑ": "a", "í": "i", "ﬁ": ["fi"], "ﬂ": ["fl"]}
+LETTERS = [("c", "e"), ("cl", "d"), ("b", "h"), ("ii", "u"), ("rn", "m"), ("vv", "w"), ("m", "rn"), ("d", "cl"), ("li", "h"), ("q", "g")]
 #: Marks of a broken word.
-MARKS = "-‐‑¬=_—–\xad"
+MARKS = "-‐‑¬=_~—–\xad"
 _ANY_MARK = re.escape(MARKS)
 
 WORD = r"[^\W\d_]+"
 _WORD = re.compile(WORD)
 _CORE = re.compile(r"^[^\w$†|]*(.*?)[^\w$†|]*$", re.S)
-_BROKEN = re.compile(rf"({WORD})[{_ANY_MARK}]\s+({WORD})|({WORD})[ ]?[{_ANY_MARK}]\s*$")
+_BROKEN = re.compile(rf"({WORD})[{_ANY_MARK}]\s+(?!(?:and|or)\b)({WORD})|({WORD})[ ]?[{_ANY_MARK}]\s*$")
 _SUSPENDED = re.compile(rf"({WORD})-\s+(?:and|or)\b")
 _COMPOUND = re.compile(rf"({WORD})-({WORD})")
 _STRONG = r"\[\s*(\d{1,5})\s*\]|\b[Pp]age\s+(\d{1,5})|\b[Pp]\.\s?(\d{1,5})|(?<!\w)[-–—]\s*(\d{1,5})\s*[-–—](?!\w)"
@@ -200,10 +200,10 @@ class Lexicon:
 
     def __init__(self, counts: dict[str, int], suspended: dict[str, int], ratio: float = 6.0):
         self.counts, self.ratio = counts, ratio
-        self.suspended = {w for w, n in suspended.items() if n >= 3 and n >= 0.2 * counts.get(w, 0)}
         self.total = max(1, sum(counts.values()))
         self._meant: dict[str, tuple[str, int] | None] = {}
         self._known: dict[str, bool] = {}
+        self.suspended = {w for w, n in suspended.items() if n >= 3 and n >= 0.2 * counts.get(w, 0) and w in self}
 
     def __contains__(self, word: str) -> bool:
         known = self._known.get(word)
@@ -221,7 +221,7 @@ class Lexicon:
         """The word that a token which is none stands for, and how many characters are misread."""
         if token not in self._meant:
             found = None
-            if token.lower() not in self:
+            if token.lower() not in self or not _one_case(token):
                 n = self.counts.get(token.lower(), 0)
                 good = [(v, k) for v, k in variants(token) if v in self and self.counts[v] >= max(2, 3 * n)]
                 if good:
@@ -236,7 +236,8 @@ def words_to_count(text: str) -> tuple[Counter, Counter]:
     """The words of a text that aren't parts of broken ones, and the words that stand before a suspended hyphen."""
     suspended = Counter(m.group(1).lower() for m in _SUSPENDED.finditer(text))
     compounds = Counter(m.group(1).lower() for m in _COMPOUND.finditer(text))
-    return Counter(w.lower() for w in _WORD.findall(_BROKEN.sub(" ", text))), suspended + compounds
+    words = _WORD.findall(_BROKEN.sub(" ", text))
+    return Counter(w.lower() for w in words if w.isupper() or not any(c.isupper() or c in SYMBOLS for c in w[1:])), suspended + compounds
 
 
 def count_words(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -281,13 +282,15 @@ def decode(chunks: list[str], lexicon: Lexicon, starts_within: bool = False) ->
         core = _CORE.match(chunk).group(1).strip("|")
         lower = core.lower()
         plain = core.isalpha() or not core
-        known = not core or (plain and lower in lexicon) or core.replace(".", "").replace(",", "").isdigit()
-        marked = len(chunk) > 1 and chunk[-1] in MARKS and chunk[-2].isalpha() or core[-1:] in MARKS and core[-2:-1].isalpha()
+        known = not core or (plain and lower in lexicon and _one_case(core)) or core.replace(".", "").replace(",", "").isdigit()
+        # a suspended hyphen is no break
+        suspended = len(chunk) > 1 and chunk[-1] in MARKS and i + 1 < n and _plain(chunks[i + 1]) in ("and", "or")
+        marked = not suspended and (len(chunk) > 1 and chunk[-1] in MARKS and chunk[-2].isalpha() or core[-1:] in MARKS and core[-2:-1].isalpha())
         if known and not marked:
             offer(i, i + 1, lexicon.cost(lower) if plain and core else 3.0, chunk, 0, 0)
         else:
-            offer(i, i + 1, UNKNOWN + lexicon.cost(lower) if plain else UNKNOWN + 12.0, chunk, 0, _symbols(core) if not (i == 0 and starts_within and not _symbols(core)) else 0)
-            if core and not marked and not (i == 0 and starts_within and plain):
+            offer(i, i + 1, UNKNOWN + lexicon.cost(lower), chunk, 0, _symbols(core))
+            if core and not marked and not (i == 0 and starts_within and plain and not _common(core, lexicon)):
                 parts = core.split("-") if "-" in core else [core]
                 meant = [p if not p or p.lower() in lexicon or p.isdigit() else None for p in parts]
                 mended = [lexicon.meant(p) if m is None else None for p, m in zip(parts, meant)]
@@ -317,8 +320,6 @@ def decode(chunks: list[str], lexicon: Lexicon, starts_within: bool = False) ->
                         cost = lexicon.cost(low)
                     elif x := lexicon.meant(whole):
                         cost, misread, text = lexicon.cost(x[0]) + MISREAD * x[1], x[1], _as(whole, x[0])
-                    if cost is not None and marked and first.group(0).lower() in lexicon.suspended and nxt.lower() in ("and", "or"):
-                        cost = None
                     if cost is not None:
                         out = head[: first.start()] + text + nxt[m.end() :]
                         offer(i, i + 2, cost + (HYPHEN if marked else JOIN), out, int(marked), misread)
@@ -341,17 +342,25 @@ def _as(token: str, word: str) -> str:
     return word[:1].upper() + word[1:] if token[:1].isupper() or token[:1] in "75$016" and word[:1] in "tsolb" and len(token) < 2 else word
 
 
+def _one_case(core: str) -> bool:
+    return core.isupper() or core[1:].islower() or len(core) == 1
+
+
+def _common(core: str, lexicon: Lexicon) -> bool:
+    """Whether what may be the end of a word rather is a long, common word misread."""
+    found = lexicon.meant(core) if len(core) >= 5 else None
+    return found is not None and lexicon.counts[found[0]] >= 20
+
+
 def _symbols(core: str) -> int:
     """Symbols amid the letters of a word that isn't known otherwise: misread, whatever they stand for."""
     letters = sum(c.isalpha() and c not in SYMBOLS for c in core)
-    inside = sum(c in SYMBOLS for c in core)
+    inside = sum(c in SYMBOLS or c == "I" and 0 < i for i, c in enumerate(core)) + ("ii" in core) + ("vv" in core)
     return inside if 0 < inside <= 3 and letters >= max(2, inside) and "_" not in core and not core.isupper() else 0
 
 
 def _keeps_hyphen(a: str, b: str, mark: str, lexicon: Lexicon) -> bool:
     """Whether a hyphen at a break belongs to a compound or a suspended word."""
-    if b.lower() in ("and", "or") and mark == "-":
-        return True
     return mark == "-" and a.lower() in lexicon.suspended and b.lower() in lexicon
 
 
