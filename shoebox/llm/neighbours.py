@@ -1,12 +1,13 @@
-"""Most similar vectors for every vector: vantage-point trees with relaxed pruning.
-
-The distance of two vectors is the angle between them. Every vector is described by its angles to a set of fixed,
-orthogonal vantage points, one byte each; the vectors themselves aren't moved until a pair is to be checked. The upper
-levels of one tree, with thresholds from a bounded sample, divide the collection into shards; a vector is stored in one
-shard and asks each shard that its angles don't rule out. Each shard holds a tree of its own over its vectors. On level
-l of every tree, vantage point l splits at the median; by the triangle inequality a branch can be left out if it lies
-further than the search radius from the asking vector's angle. ``relax`` divides that radius: 1 is exact search; in many
-dimensions the angles of near vectors differ by far less than the inequality allows, so that 6 loses next to nothing.
+"""Most similar vectors for every vector: vantage-point trees per shard, with relaxed pruning.
+
+The distance of two vectors is the angle between them. There are several sets of orthogonal vantage points, each point
+with its opposite; every vector lies, for each set, in the shard of the vantage point nearest to it. Near vectors mostly
+share the nearest point of a set, and of several sets next to always one. Each shard holds a vantage-point tree over its
+vectors, described by their angles to fixed vantage points, one byte each: level l splits at the median angle to point
+l, and by the triangle inequality a branch can be left out if it lies further than the search radius from the asking
+vector's angle. ``relax`` divides that radius: in many dimensions the angles of near vectors differ by far less than the
+inequality allows, so that 6 loses next to nothing. With 1 there is one shard, pruned without loss: exact search. The
+vectors themselves aren't moved until a pair is to be checked.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -25,60 +25,40 @@ from shoebox.session import cut
 
 #: An angle is stored as its difference from a right angle in steps of STEP, cut off at 127 steps.
 STEP = 0.002
-SKETCH = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("same", pa.binary()), ("sketch", pa.binary())])
+SKETCH = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("same", pa.binary()), ("sketch", pa.binary()), ("shards", pa.list_(pa.int32()))])
 
 
-def sketches(vectors: DataFrame, dims: int, points: int, seed: int) -> DataFrame:
-    """(id, same, sketch) of the latest version of each id of ``vectors`` (id, version BIGINT, vector) that is a vector.
+def sketches(vectors: DataFrame, dims: int, points: int, sets: int, seed: int) -> DataFrame:
+    """(id, version, same, sketch, shards) of the latest version of each id of ``vectors`` (id, version BIGINT, vector) that is a vector.
 
-    ``same`` is a hash of the vector, equal for copies.
+    ``same`` is a hash of the vector, equal for copies; ``shards`` has the nearest vantage point of each set.
     """
+    width = min(256, dims)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = directions(dims, points, seed)
         for batch in batches:
             rows, matrix = unit_rows(batch.column("vector"), dims)
-            angle = np.arcsin(np.clip(matrix @ base, -1, 1))
-            codes = np.clip(np.rint(angle / STEP), -127, 127).astype("int8")
+            nearest = np.zeros((len(rows), sets), "int32")
+            for number in range(sets):
+                near = matrix @ directions(dims, width, seed + number)
+                if number == 0:
+                    codes = np.clip(np.rint(np.arcsin(np.clip(near[:, :points], -1, 1)) / STEP), -127, 127).astype("int8")
+                at = np.abs(near).argmax(axis=1)
+                nearest[:, number] = (number * width + at) * 2 + (near[np.arange(len(at)), at] < 0)
             at = np.full(batch.num_rows, -1)
             at[rows] = np.arange(len(rows))
             take = pa.array(at, pa.int64(), mask=at < 0)
             hashes = pa.array([xxhash.xxh3_128_digest(v.tobytes()) for v in matrix], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("version"), hashes.take(take), packed(codes).take(take)], schema=SKETCH)
+            shards = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype="int32") * sets), pa.array(nearest.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("version"), hashes.take(take), packed(codes).take(take), shards.take(take)], schema=SKETCH)
 
     rows = vectors.where("id is not null").select("id", F.coalesce("version", F.lit(-(2**62))).alias("version"), "vector")
-    named = rows.mapInArrow(describe, "id bigint, version bigint, same binary, sketch binary")
-    newest = F.max(F.struct("version", F.col("sketch").isNotNull().alias("is"), "same", "sketch")).alias("x")
-    return named.groupBy("id").agg(newest).where("x.sketch is not null").select("id", "x.version", "x.same", "x.sketch")
-
-
-def _thresholds(sample: np.ndarray, depth: int) -> np.ndarray:
-    """The medians of a tree of ``depth`` levels over a sample, by node as in a heap (root 1)."""
-    out, inside = np.zeros(2**depth, "int16"), {1: np.arange(len(sample))}
-    for node in range(1, 2**depth):
-        rows = inside.pop(node, np.zeros(0, int))
-        level = node.bit_length() - 1
-        values = sample[rows, level]
-        out[node] = int(np.median(values)) if len(values) else 0
-        inside[2 * node], inside[2 * node + 1] = rows[values <= out[node]], rows[values > out[node]]
-    return out
-
-
-def _route(medians: np.ndarray, depth: int, slack: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, own): each row with its own cell and the later cells it must ask."""
-    home = np.ones(len(codes), "int64")
-    row, node = np.arange(len(codes)), np.ones(len(codes), "int64")
-    for level in range(depth):
-        home = 2 * home + (codes[:, level] > medians[home])
-        value, at = codes[row, level].astype("int32"), medians[node].astype("int32")
-        left, right = value <= at + slack, value > at - slack
-        row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
-    keep = node >= home[row]  # near pairs reach each other both ways; the earlier cell asks
-    row, node = row[keep], node[keep]
-    return row, node, node == home[row]
-
-
-def _search(home: np.ndarray, ask: np.ndarray, asks_at: np.ndarray, start: int, slack: int, joint: float, leaf: int, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    named = rows.mapInArrow(describe, "id bigint, version bigint, same binary, sketch binary, shards array<int>")
+    newest = F.max(F.struct("version", F.col("sketch").isNotNull().alias("is"), "same", "sketch", "shards")).alias("x")
+    return named.groupBy("id").agg(newest).where("x.sketch is not null").select("id", "x.version", "x.same", "x.sketch", "x.shards")
+
+
+def _search(home: np.ndarray, ask: np.ndarray, asks_at: np.ndarray, slack: int, joint: float, leaf: int, most: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (asking row, stored row) whose sketches are near, by a tree over ``home``.
 
     asks_at: for rows that ask their own shard, their place in ``home``; else -1.
@@ -86,7 +66,7 @@ def _search(home: np.ndarray, ask: np.ndarray, asks_at: np.ndarray, start: int,
     points = home.shape[1]
     stored, asking = home.astype("float32"), ask.astype("float32")
     norm_s, norm_a = (stored * stored).sum(axis=1), (asking * asking).sum(axis=1)
-    stack, found_a, found_s, found_d = [(np.arange(len(home)), np.arange(len(ask)), start)], [], [], []
+    stack, found_a, found_s, found_d = [(np.arange(len(home)), np.arange(len(ask)), 0)], [], [], []
     while stack:
         s, a, level = stack.pop()
         if not len(s) or not len(a):
@@ -120,7 +100,7 @@ def _search(home: np.ndarray, ask: np.ndarray, asks_at: np.ndarray, start: int,
     return a, s
 
 
-def similar_pairs(vectors: DataFrame, k: int = 10, least: float = 0.9, dims: int = 512, relax: float = 6.0, points: int = 256, shard_rows: int = 8192, sample_rows: int = 20_000, seed: int = 11) -> DataFrame:
+def similar_pairs(vectors: DataFrame, k: int = 10, least: float = 0.9, dims: int = 512, relax: float = 6.0, points: int = 160, sets: int = 8, shard_rows: int = 8192, seed: int = 11) -> DataFrame:
     """(id_a, id_b, cosine): pairs, smaller id first, one of which is among the other's ``k`` most similar with at least ``least``.
 
     vectors: id, version, vector (array of floats); other columns are ignored. The latest version of an id counts (a
@@ -130,12 +110,12 @@ def similar_pairs(vectors: DataFrame, k: int = 10, least: float = 0.9, dims: int
     similar are, with ties by id. With ``relax`` 1 no pair is lost; else a vector that one shard holds more than 8k
     near candidates for is compared with the nearest of them by their sketches. No vectors give no rows.
 
-    The sample (``sample_rows``) only sets thresholds; every vector is stored and asks.
+    A shard of more than ``shard_rows`` vectors is searched in pairs of blocks of that size.
     """
     if not -1 <= least <= 1 or relax < 1:
         raise ValueError("least must be a cosine and relax at least 1")
-    spark = vectors.sparkSession
-    rows = cut(sketches(vectors, dims, points, seed))
+    points, sets = min(points, dims), 1 if relax == 1 else sets
+    rows = cut(sketches(vectors, dims, points, sets, seed))
     crowds = cut(rows.groupBy("same").agg(F.count("*").alias("copies")).where(F.col("copies") > k + 1))
     tails = None
     if not crowds.isEmpty():
@@ -149,38 +129,56 @@ def similar_pairs(vectors: DataFrame, k: int = 10, least: float = 0.9, dims: int
         rest = inside.select("same", "id").join(heads.select("id"), "id", "left_anti").join(few, "same")
         tails = rest.select(F.explode("nearest").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("cosine"))
         rows = cut(rows.join(rest.select("id"), "id", "left_anti"))
-    n = rows.count()
-    depth = max(0, int(np.ceil(np.log2(max(n, 1) / shard_rows))))
-    sample = rows.select("sketch").sample(min(1.0, 1.2 * sample_rows / max(n, 1)), seed).limit(sample_rows).collect() if depth else []
-    medians = _thresholds(unpacked([r[0] for r in sample], "int8"), depth) if depth else np.zeros(1, "int16")
-    radius = float(np.arccos(least))
+    radius, apart = float(np.arccos(least)), 2 - 2 * least
     slack = int(np.ceil(radius / relax / STEP)) + 1
-    # of orthogonal directions the squared differences add up to a share of the squared distance; all of it, if exact
-    part = 1.0 if relax == 1 else min(1.0, 1.35 * points / dims)
-    joint = (radius**2 * points / 4 if relax == 1 else (2 - 2 * least) * part) / STEP**2 + points
-    joint = float("inf") if relax == 1 else joint
+    # of orthogonal directions the squared differences add up to a share of the squared distance; to all of it at most
+    part = 1.07 if relax == 1 else min(1.07, 1.25 * points / dims)
+    joint = (np.sqrt(apart * part) / STEP + (np.sqrt(points) if relax == 1 else 1)) ** 2
     most = None if relax == 1 else 8 * k
-    shared = spark.sparkContext.broadcast(medians)
-
-    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            codes = unpacked(frame["sketch"], "int8")
-            row, cell, own = _route(shared.value, depth, slack, codes)
-            yield pd.DataFrame({"cell": cell, "own": own, "id": frame["id"].to_numpy()[row], "version": frame["version"].to_numpy()[row], "sketch": frame["sketch"].to_numpy()[row]})
-
-    routed = rows.select("id", "version", "sketch").mapInPandas(route, "cell bigint, own boolean, id bigint, version bigint, sketch binary")
-
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["own", "id"], ascending=[False, True], ignore_index=True)
-        codes, ids, versions = unpacked(frame["sketch"], "int8"), frame["id"].to_numpy(), frame["version"].to_numpy()
-        stored = int(frame["own"].sum())
-        asks_at = np.where(np.arange(len(frame)) < stored, np.arange(len(frame)), -1)
-        a, s = _search(codes[:stored], codes, asks_at, depth, slack, joint, 48, most)
-        return pd.DataFrame({"id_a": ids[a], "version_a": versions[a], "id_b": ids[s], "version_b": versions[s]})
-
-    near = cut(routed.groupBy("cell").applyInPandas(search, "id_a bigint, version_a bigint, id_b bigint, version_b bigint").distinct())
+    stored = rows.select("id", "sketch", F.explode("shards").alias("shard") if relax > 1 else F.lit(0).alias("shard"))
+    # a row per shard, at most 2 * 256 * sets of them
+    blocks = stored.groupBy("shard").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("blocks"))
+    placed = stored.join(F.broadcast(blocks), "shard").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "sketch")
+    placed = placed.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "own", "id")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(task: tuple, parts: list) -> pa.RecordBatch | None:
+            own, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            codes = np.concatenate([p[2] for p in parts])
+            first = 0 if task[1] == task[2] else int((own == task[1]).sum())  # blocks i ask block j
+            asks = slice(0, first or len(ids))
+            asks_at = np.arange(len(ids)) if not first else np.full(first, -1)
+            if first == 0 and task[1] != task[2]:
+                return None
+            a, s = _search(codes[first:], codes[asks], asks_at, slack, joint, 48, most)
+            if not len(a):
+                return None
+            return pa.RecordBatch.from_arrays([pa.array(ids[asks][a]), pa.array(ids[first:][s])], names=["id_a", "id_b"])
+
+        task, parts = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "i", "j")], axis=1)
+            own, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("own", "id"))
+            codes = unpacked(batch.column("sketch").to_pylist(), "int8")
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if (now := tuple(keys[lo])) != task:
+                    if parts and (found := pairs(task, parts)) is not None:
+                        yield found
+                    task, parts = now, []
+                parts.append((own[lo:hi], ids[lo:hi], codes[lo:hi]))
+        if parts and (found := pairs(task, parts)) is not None:
+            yield found
+
+    found = placed.mapInArrow(search, "id_a bigint, id_b bigint")
+    near = cut(found.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct())
     # the exact check: only vectors that are in a pair are read for it
-    listed = near.select(F.col("id_a").alias("id"), F.col("version_a").alias("version")).union(near.select("id_b", "version_b")).distinct()
+    listed = near.select(F.col("id_a").alias("id")).union(near.select("id_b")).distinct()
+    listed = cut(rows.select("id", "version").join(listed, "id"))
 
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,8 +189,9 @@ def similar_pairs(vectors: DataFrame, k: int = 10, least: float = 0.9, dims: int
     given = vectors.select("id", F.coalesce("version", F.lit(-(2**62))).alias("version"), "vector")
     units = only_listed(given, listed, "id", "version").mapInArrow(scale, "id bigint, version bigint, unit binary")
     units = units.groupBy("id", "version").agg(F.max("unit").alias("unit"))
-    side = lambda x: units.select(F.col("id").alias(f"id_{x}"), F.col("version").alias(f"version_{x}"), F.col("unit").alias(f"unit_{x}"))
-    checked = near.join(side("a"), ["id_a", "version_a"]).join(side("b"), ["id_b", "version_b"])
+    units = units.join(listed, ["id", "version"]).select("id", "unit")
+    side = lambda x: units.select(F.col("id").alias(f"id_{x}"), F.col("unit").alias(f"unit_{x}"))
+    checked = near.join(side("a"), "id_a").join(side("b"), "id_b")
     checked = checked.select("id_a", "id_b", cosine("unit_a", "unit_b").alias("cosine")).where(F.col("cosine") >= least)
     both = checked.select(F.col("id_a").alias("id"), F.col("id_b").alias("other"), "cosine")
     both = both.unionByName(checked.select(F.col("id_b").alias("id"), F.col("id_a").alias("other"), "cosine"))
