@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.llm.components import group_pairs
-from shoebox.llm.vectors import packed, unit_rows, unpacked
+from shoebox.llm.vectors import packed, sums_by, unit_rows, unpacked
 from shoebox.session import cut
 
 
@@ -249,7 +249,7 @@ def _merged(means: np.ndarray, size: np.ndarray, least: float) -> np.ndarray:
 PARTS = "fragment bigint, size bigint, first bigint, mean binary, members array<bigint>"
 
 
-def similarity_clusters(vectors: DataFrame, least: float = 0.5, sure: float = 0.58, dims: int = 512, cell_rows: int = 3000, block_rows: int = 6000, most_cells: int = 4096, meet: int = 6, weights: list[float] | None = None, seed: int = 3) -> DataFrame:
+def similarity_clusters(vectors: DataFrame, least: float = 0.5, sure: float = 0.58, dims: int = 512, cell_rows: int = 3000, block_rows: int = 6000, most_cells: int = 4096, meet: int = 6, most_merges: int = 4, weights: list[float] | None = None, seed: int = 3) -> DataFrame:
     """(cluster_id, id): all members of clusters of two or more, cluster_id being the smallest id among them.
 
     vectors: id, version, vector; other columns are ignored. The latest version of an id counts (a NULL version is the
@@ -296,8 +296,6 @@ def similarity_clusters(vectors: DataFrame, least: float = 0.5, sure: float = 0.
             row = np.repeat(np.arange(len(frame)), m)
             yield pd.DataFrame({"cell": cells.ravel(), "fragment": frame["fragment"].to_numpy()[row], "size": frame["size"].to_numpy()[row], "mean": frame["mean"].to_numpy()[row]})
 
-    guests = fragments.select("fragment", "size", "mean").mapInPandas(invite, "cell bigint, fragment bigint, size bigint, mean binary")
-
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("fragment", ignore_index=True)
         x, size, ids = restored(frame["mean"]), frame["size"].to_numpy(), frame["fragment"].to_numpy()
@@ -326,22 +324,33 @@ def similarity_clusters(vectors: DataFrame, least: float = 0.5, sure: float = 0.
         cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
         return pd.DataFrame({"a": cat(a, "int64"), "b": cat(b, "int64"), "s": cat(value, "float64")})
 
-    met = cut(guests.groupBy("cell").applyInPandas(join, "a bigint, b bigint, s double"))
-    offers = met.where("s <= 1.5").withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).where("rank = 1")
-    links = met.where("s > 1.5").select("a", "b").union(offers.select("a", "b"))
-    groups = group_pairs(links).withColumnsRenamed({"node": "fragment", "group_id": "set"})
-    owned = cut(fragments.join(groups, "fragment", "left").withColumn("set", F.coalesce("set", "fragment")))
-
-    def total(frame: pd.DataFrame) -> pd.DataFrame:
-        x, size = restored(frame["mean"]), frame["size"].to_numpy("float64")
-        return pd.DataFrame({"set": [frame["set"].iloc[0]], "n": [int(size.sum())], "sum": [(x * size[:, None]).sum(axis=0).astype("float32").tobytes()]})
+    def merged(pieces: DataFrame) -> DataFrame:
+        """(fragment, set) of the pieces that join others."""
+        guests = pieces.mapInPandas(invite, "cell bigint, fragment bigint, size bigint, mean binary")
+        met = cut(guests.groupBy("cell").applyInPandas(join, "a bigint, b bigint, s double"))
+        offers = met.where("s <= 1.5").withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).where("rank = 1")
+        return group_pairs(met.where("s > 1.5").select("a", "b").union(offers.select("a", "b"))).withColumnsRenamed({"node": "fragment", "group_id": "set"})
 
-    def whole(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.sum([np.frombuffer(s, "float32") for s in frame["sum"]], axis=0)
-        return pd.DataFrame({"set": [frame["set"].iloc[0]], "n": [int(frame["n"].sum())], "sum": [x.tobytes()]})
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n = batch.column("n").to_numpy(zero_copy_only=False)
+                means = unpacked(batch.column("sum").to_pylist(), "float32") / n[:, None]
+                yield pa.RecordBatch.from_arrays([batch.column("set"), batch.column("n"), packed(quantized(means))], names=["fragment", "size", "mean"])
+
+    # records that were alone may make sets that are similar to others: merge until nothing moves
+    owned, pieces = fragments.select("fragment", "size", "mean", F.col("fragment").alias("set")), fragments.select("fragment", "size", "mean")
+    for _ in range(most_merges):
+        groups = cut(merged(pieces))
+        if groups.isEmpty():
+            break
+        renamed = groups.select(F.col("fragment").alias("set"), F.col("set").alias("into"))
+        owned = cut(owned.join(renamed, "set", "left").select("fragment", "size", "mean", F.coalesce("into", "set").alias("set")))
+        pieces = cut(sums_by(owned, "set", "size", "mean", restored).mapInArrow(average, "fragment bigint, size bigint, mean binary"))
 
-    several = owned.join(groups.select("set").distinct(), "set", "left_semi").withColumn("salt", F.pmod(F.xxhash64("fragment"), F.lit(16)))
-    sums = several.groupBy("set", "salt").applyInPandas(total, "set bigint, n bigint, sum binary").groupBy("set").applyInPandas(whole, "set bigint, n bigint, sum binary")
+    sums = sums_by(owned, "set", "size", "mean", restored)
+    several = owned.where(F.col("fragment") != F.col("set")).select("set").distinct()
+    several = owned.join(several, "set", "left_semi")
 
     @F.pandas_udf("double")
     def rest(mean: pd.Series, size: pd.Series, sums: pd.Series, n: pd.Series) -> pd.Series:
@@ -364,16 +373,8 @@ def typical_members(vectors: DataFrame, clusters: DataFrame, top: int = 3, dims:
     Ties go to the smaller id. Members without a vector are counted, but aren't typical.
     """
     width = 1 << (dims - 1).bit_length()
-    points = clusters.join(features_of(vectors, dims, width, weights), "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32)))
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"cluster_id": [frame["cluster_id"].iloc[0]], "sum": [restored(frame["unit"]).sum(axis=0).tobytes()]})
-
-    def whole(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"cluster_id": [frame["cluster_id"].iloc[0]], "sum": [np.sum([np.frombuffer(s, "float32") for s in frame["sum"]], axis=0).tobytes()]})
-
-    sums = points.select("cluster_id", "salt", "unit").groupBy("cluster_id", "salt").applyInPandas(add, "cluster_id bigint, sum binary")
-    sums = sums.groupBy("cluster_id").applyInPandas(whole, "cluster_id bigint, sum binary")
+    points = clusters.join(features_of(vectors, dims, width, weights), "id").withColumns({"salt": F.pmod(F.xxhash64("id"), F.lit(32)), "one": F.lit(1)})
+    sums = sums_by(points, "cluster_id", "one", "unit", restored).drop("n")
 
     @F.pandas_udf("double")
     def near(unit: pd.Series, sums: pd.Series) -> pd.Series:

@@ -77,3 +77,46 @@ def cosine(a: str, b: str) -> Column:
         return pd.Series((p * q).sum(axis=1))
 
     return of(F.col(a), F.col(b))
+
+
+def sums_by(df: DataFrame, key: str, size: str, vector: str, restore) -> DataFrame:
+    """(key, n, sum): of each key the sum of ``size`` and of ``size`` times the vector, as float32 bytes.
+
+    Each batch is summed before the shuffle, so that a key that a third of all rows have is moved as a few rows.
+    """
+
+    def reduced(keys: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(keys, kind="stable")
+        keys, sizes, rows = keys[order], sizes[order], rows[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[first], np.add.reduceat(sizes, first), np.add.reduceat(rows, first)
+
+    def batch_of(keys: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sizes), packed(rows.astype("float32"))], names=[key, "n", "sum"])
+
+    def early(batches):
+        for batch in batches:
+            if batch.num_rows:
+                sizes = batch.column(size).to_numpy(zero_copy_only=False).astype("int64")
+                rows = restore(batch.column(vector).to_pylist()) * sizes[:, None]
+                yield batch_of(*reduced(batch.column(key).to_numpy(zero_copy_only=False), sizes, rows))
+
+    def late(batches):
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in (key, "n"))
+            rows = unpacked(batch.column("sum").to_pylist(), "float32").astype("float64")
+            if kept is not None:
+                keys, sizes, rows = np.append(kept[0], keys), np.append(kept[1], sizes), np.concatenate([kept[2], rows])
+            keys, sizes, rows = reduced(keys, sizes, rows)
+            if len(keys) > 1:
+                yield batch_of(keys[:-1], sizes[:-1], rows[:-1])
+            kept = keys[-1:], sizes[-1:], rows[-1:]
+        if kept is not None:
+            yield batch_of(*kept)
+
+    out = f"{key} bigint, n bigint, sum binary"
+    parts = df.select(key, size, vector).mapInArrow(early, out)
+    return parts.repartition(key).sortWithinPartitions(key).mapInArrow(late, out)
