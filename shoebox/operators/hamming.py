@@ -23,11 +23,17 @@ def _bands(column: str, most_bits: int) -> F.Column:
 
 
 def _links_of_blocks(most_bits: int):
-    """Within a pair of blocks: of the links between near hashes a forest that connects what all links connect."""
+    """Within a pair of blocks: of the links between near hashes the nearest that connect what all links connect."""
 
     def links(frame: pd.DataFrame) -> pd.DataFrame:
         ids = frame["id"].to_numpy("int64")
         bits = frame[["h0", "h1", "h2", "h3"]].to_numpy("int64").view("uint64")
+        near = []
+        for i in range(len(ids) - 1):
+            apart = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1)
+            j = np.flatnonzero(apart <= most_bits)
+            near.append(np.stack([apart[j], np.full(len(j), i), j + i + 1], axis=1))
+        near = np.concatenate(near) if near else np.zeros((0, 3), int)
         root, out = np.arange(len(ids)), []
 
         def top(i: int) -> int:
@@ -36,24 +42,22 @@ def _links_of_blocks(most_bits: int):
                 i = root[i]
             return i
 
-        for i in range(len(ids) - 1):
-            near = np.flatnonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1) <= most_bits) + i + 1
-            for j in near:
-                a, b = top(i), top(int(j))
-                if a != b:
-                    root[b] = a
-                    out.append((ids[i], ids[j]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        for d, i, j in near[np.argsort(near[:, 0], kind="stable")]:
+            x, y = top(i), top(j)
+            if x != y:
+                root[y] = x
+                out.append((ids[i], ids[j], d))
+        return pd.DataFrame(out, columns=["a", "b", "bits"]).astype({"a": "int64", "b": "int64", "bits": "int32"})
 
     return links
 
 
 def near_hash_pairs(hashes: DataFrame, most_bits: int = 10, small: int = 64, block: int = 1024) -> DataFrame:
-    """(a, b): links between ids of distinct 32-byte hashes (id, hash) that differ in at most ``most_bits`` bits.
+    """(a, b, bits): links between ids of distinct 32-byte hashes (id, hash) that differ in at most ``most_bits`` bits.
 
     Hashes that near share one of most_bits + 1 runs of digits (pigeonhole), on which they are joined. A run's bucket
     of up to ``small`` ids is joined at once; a larger one in pairs of blocks of about ``block`` ids, each of which gives
-    only as many links as connect its ids, so that a bucket is never one task's and never comes out as all its pairs.
+    its nearest links as far as they connect its ids, so that a bucket is never one task's and never comes out as all its pairs.
     """
     if not 0 <= most_bits < 63:
         raise ValueError("most_bits must be from 0 to 62")
@@ -64,11 +68,11 @@ def near_hash_pairs(hashes: DataFrame, most_bits: int = 10, small: int = 64, blo
     l, r = few.alias("l"), few.alias("r")
     apart = sum((F.bit_count(F.col(f"l.h{i}").bitwiseXOR(F.col(f"r.h{i}"))) for i in range(4)), F.lit(0))
     same = (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id"))
-    pairs = l.join(r, same & (apart <= most_bits)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    pairs = l.join(r, same & (apart <= most_bits)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), apart.cast("int").alias("bits"))
     many = kept.where(F.col("size") > small).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     many = many.withColumn("own", own).withColumn("other", other)
     many = many.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    forest = many.groupBy("band", "key", "i", "j").applyInPandas(_links_of_blocks(most_bits), "a bigint, b bigint")
+    forest = many.groupBy("band", "key", "i", "j").applyInPandas(_links_of_blocks(most_bits), "a bigint, b bigint, bits int")
     return pairs.unionByName(forest)
