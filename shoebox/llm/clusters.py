@@ -180,7 +180,7 @@ def _sums(points: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndar
     return counts, sums
 
 
-def local_clusters(x: np.ndarray, sure: float, rng: np.random.Generator, lloyd: int = 4) -> np.ndarray:
+def local_clusters(x: np.ndarray, sure: float, rng: np.random.Generator, lloyd: int = 2) -> np.ndarray:
     """Labels of rows of length one: k-means with oversampled seeding until each row is near a seed."""
     n = len(x)
     best, seeds = np.full(n, -1.0, "float32"), np.zeros(0, int)
@@ -222,11 +222,13 @@ def local_clusters(x: np.ndarray, sure: float, rng: np.random.Generator, lloyd:
 
 
 def _merged(means: np.ndarray, size: np.ndarray, least: float) -> np.ndarray:
-    """Labels of clusters after merging, most similar first, all whose average similarity stays at least ``least``."""
-    n = len(means)
-    label = np.arange(n)
+    """Labels of clusters after merging, most similar first, all whose average similarity stays at least ``least``.
+
+    Averages of averages follow from the products of the means alone, so these are multiplied once.
+    """
+    n, size = len(means), size.astype("float64")
+    label, g = np.arange(n), means @ means.T
     while n > 1:
-        g = means @ means.T
         np.fill_diagonal(g, -1)
         mate = g.argmax(axis=1)
         value = g[np.arange(n), mate]
@@ -234,15 +236,18 @@ def _merged(means: np.ndarray, size: np.ndarray, least: float) -> np.ndarray:
         pair = np.flatnonzero((mate[mate] == np.arange(n)) & (np.arange(n) < mate) & (value >= least))
         if not len(pair):
             break
+        other = mate[pair]
+        share = (size[other] / (size[pair] + size[other])).astype("float32")
+        g[pair] += share[:, None] * (g[other] - g[pair])
+        g[:, pair] += share * (g[:, other] - g[:, pair])
+        size[pair] += size[other]
         into = np.arange(n)
-        into[mate[pair]] = pair
-        used, compact = np.unique(into, return_inverse=True)
-        total = np.zeros((len(used), means.shape[1]), "float64")
-        np.add.at(total, compact, means * size[:, None])
-        size = np.bincount(compact, weights=size)
-        means = (total / size[:, None]).astype("float32")
-        label = compact[label]
-        n = len(used)
+        into[other] = pair
+        rest = np.setdiff1d(np.arange(n), other)
+        place = np.zeros(n, int)
+        place[rest] = np.arange(len(rest))
+        label, size, n = place[into[label]], size[rest], len(rest)
+        g = g[np.ix_(rest, rest)]
     return label
 
 

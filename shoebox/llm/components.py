@@ -8,13 +8,10 @@ shared checkpoint folder, so that neither plans nor lost executors pile up work.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoebox.operators.hamming import near_hash_pairs
 from shoebox.session import cut
 
 
@@ -30,7 +27,7 @@ def _grow(edges: DataFrame, beta: float, steps: int, seed: int) -> DataFrame:
     return reach.select("v", F.col("r.c").alias("c"))
 
 
-def group_pairs(pairs: DataFrame, a: str = "a", b: str = "b", beta: float = 0.3, steps: int = 3, seed: int = 17, most_levels: int = 200) -> DataFrame:
+def group_pairs(pairs: DataFrame, a: str = "a", b: str = "b", beta: float = 0.02, steps: int = 4, seed: int = 17, most_levels: int = 200) -> DataFrame:
     """(node, group_id): every id named by a pair, with the smallest id of its group.
 
     Pairs with a NULL end name nothing and are left out; a pair of equal ends makes its id a group of one; repeated and
@@ -62,70 +59,6 @@ def group_pairs(pairs: DataFrame, a: str = "a", b: str = "b", beta: float = 0.3,
     return found.join(least, "c").select("node", "group_id")
 
 
-def hash_limbs(column: str) -> list:
-    """Columns h0-h3 of a 32-byte hash: its bits as four numbers."""
-    return [F.conv(F.hex(F.substring(column, 8 * i + 1, 8)), 16, -10).cast("bigint").alias(f"h{i}") for i in range(4)]
-
-
-def _bands(column: str, most_bits: int) -> F.Column:
-    """The 64 hex digits of a hash as most_bits + 1 runs, of which two hashes that near must share one."""
-    n = most_bits + 1
-    digits, cuts = F.hex(column), [i * 64 // n for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("band"), F.substring(digits, lo + 1, hi - lo).alias("key")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
-
-
-def _links_of_blocks(most_bits: int):
-    """Within a pair of blocks: of the links between near hashes a forest that connects what all links connect."""
-
-    def links(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = frame["id"].to_numpy("int64")
-        bits = frame[["h0", "h1", "h2", "h3"]].to_numpy("int64").view("uint64")
-        root, out = np.arange(len(ids)), []
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i in range(len(ids) - 1):
-            near = np.flatnonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1) <= most_bits) + i + 1
-            for j in near:
-                a, b = top(i), top(int(j))
-                if a != b:
-                    root[b] = a
-                    out.append((ids[i], ids[j]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return links
-
-
-def near_hash_pairs(hashes: DataFrame, most_bits: int = 10, small: int = 64, block: int = 1024) -> DataFrame:
-    """(a, b): links between ids of distinct 32-byte hashes (id, hash) that differ in at most ``most_bits`` bits.
-
-    Hashes that near share one of most_bits + 1 runs of digits (pigeonhole), on which they are joined. A run's bucket
-    of up to ``small`` ids is joined at once; a larger one in pairs of blocks of about ``block`` ids, each of which gives
-    only as many links as connect its ids, so that a bucket is never one task's and never comes out as all its pairs.
-    """
-    if not 0 <= most_bits < 63:
-        raise ValueError("most_bits must be from 0 to 62")
-    narrow = hashes.select("id", F.explode(_bands("hash", most_bits)).alias("x"), *hash_limbs("hash")).select("id", "x.*", "h0", "h1", "h2", "h3")
-    size = narrow.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    kept = cut(narrow.join(size, ["band", "key"]))
-    few = kept.where(F.col("size") <= small).drop("size")
-    l, r = few.alias("l"), few.alias("r")
-    apart = sum((F.bit_count(F.col(f"l.h{i}").bitwiseXOR(F.col(f"r.h{i}"))) for i in range(4)), F.lit(0))
-    same = (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id"))
-    pairs = l.join(r, same & (apart <= most_bits)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-    many = kept.where(F.col("size") > small).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    many = many.withColumn("own", own).withColumn("other", other)
-    many = many.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    forest = many.groupBy("band", "key", "i", "j").applyInPandas(_links_of_blocks(most_bits), "a bigint, b bigint")
-    return pairs.unionByName(forest)
-
-
 def match_groups(items: DataFrame, most_bits: int = 10) -> DataFrame:
     """(group_id, id): all members of groups of two or more of ``items`` (id, path key, hash, link key).
 
@@ -140,7 +73,7 @@ def match_groups(items: DataFrame, most_bits: int = 10) -> DataFrame:
     alike = hashed.groupBy("hash").agg(F.min("id").alias("rep"))
     copies = hashed.join(alike, "hash").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     near = near_hash_pairs(alike.select(F.col("rep").alias("id"), "hash"), most_bits)
-    pairs = near.unionByName(copies).unionByName(link_pairs(items))
+    pairs = near.select("a", "b").unionByName(copies).unionByName(link_pairs(items))
     return group_pairs(pairs).select("group_id", F.col("node").alias("id"))
 
 
