@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +20,8 @@ def norm(a: Column) -> Column:
 
 
 def scaled(a: Column, divisor: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / divisor)
+    """a / divisor. The divisor is bound by an outer lambda: inside the inner one it would be computed for each element."""
+    return F.element_at(F.transform(F.array(divisor), lambda d: F.transform(a, lambda x: x.cast("double") / d)), 1)
 
 
 def unit_padded(a: Column, eps: float = 1e-8) -> Column:
@@ -55,3 +59,27 @@ def is_vector(a: Column, dims: int | None = None) -> Column:
     bad = F.exists(a, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = a.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(~is_zero(a), F.lit(False))
     return fine if dims is None else fine & (F.size(a) == dims)
+
+
+def inner_with(a: Column, vector: list[float], eps: float | None = None) -> Column:
+    """The inner product with one vector, by Arrow batches; with ``eps``, divided by |a| + eps.
+
+    NULL where ``a`` is NULL, has another length or holds NULL.
+    """
+    target = np.asarray(vector, "float64")
+
+    @F.arrow_udf("double")
+    def of(column: pa.Array) -> pa.Array:
+        length = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(length == len(target))
+        flat = column.take(pa.array(rows)).flatten()
+        holes = np.asarray(flat.is_null()).reshape(len(rows), -1).any(axis=1) if flat.null_count else np.zeros(len(rows), bool)
+        matrix = np.asarray(flat.to_numpy(zero_copy_only=False), "float64").reshape(len(rows), -1)
+        value = matrix @ target
+        if eps is not None:
+            value /= np.sqrt((matrix * matrix).sum(axis=1)) + eps
+        out, gone = np.zeros(len(column)), np.ones(len(column), bool)
+        out[rows], gone[rows] = value, holes
+        return pa.array(out, pa.float64(), mask=gone)
+
+    return of(a)

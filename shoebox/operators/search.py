@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,17 +11,21 @@ from pyspark.sql import functions as F
 from shoebox.config import SearchConfig
 from shoebox.functions import metadata as meta
 from shoebox.functions import text as words
-from shoebox.functions.vec import dot, is_zero, unit_padded
+from shoebox.functions.vec import inner_with, is_zero
 from shoebox.operators.feedback import multipliers
 
 
+def _unit(vector: list[float]) -> list[float]:
+    length = math.sqrt(sum(float(x) ** 2 for x in vector))
+    return [float(x) / (length + 1e-8) for x in vector]
+
+
 def candidates(photos: DataFrame, query_vector: list[float], config: SearchConfig = SearchConfig()) -> DataFrame:
     """The photos (id, path, embedding, ocr_text, metadata) most similar to a vector, with ``v_score``.
 
     Only ids and vectors are scored and sorted; the other columns are read for the candidates alone.
     """
-    target = F.array(*[F.lit(float(x)) for x in query_vector])
-    scored = photos.where(F.col("embedding").isNotNull()).select("id", dot(unit_padded(F.col("embedding")), unit_padded(target)).alias("v_score"))
+    scored = photos.where(F.col("embedding").isNotNull()).select("id", inner_with(F.col("embedding"), _unit(query_vector), 1e-8).alias("v_score"))
     best = scored.where(F.col("v_score").isNotNull() & ~F.isnan("v_score")).orderBy(F.desc("v_score"), "id").limit(config.candidates)
     return photos.drop("embedding").join(F.broadcast(best), "id")  # at most ``candidates`` rows
 
@@ -105,6 +110,5 @@ def report_lines(results: DataFrame) -> DataFrame:
 
 def document_gate(photos: DataFrame, archetype: list[float], least: float | None = None) -> DataFrame:
     """Photos that look like documents: only these are worth reading their text."""
-    target = F.array(*[F.lit(float(x)) for x in archetype])
     limit = SearchConfig().document_gate if least is None else least
-    return photos.where(F.col("embedding").isNotNull() & ~is_zero(F.col("embedding"))).where(dot(unit_padded(F.col("embedding")), unit_padded(target)) > limit)
+    return photos.where(F.col("embedding").isNotNull() & ~is_zero(F.col("embedding"))).where(inner_with(F.col("embedding"), _unit(archetype), 1e-8) > limit)

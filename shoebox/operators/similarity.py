@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoebox.functions.vec import cosine, is_vector
+from shoebox.functions.vec import inner_with, is_vector
 
 MOST_BLOCKS = 512
 
@@ -90,6 +90,8 @@ def lsh_pairs(vectors: DataFrame, least: float, tables: int = 8, length: float =
 
 def top_similar(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     """(id, similarity): the ``k`` vectors most similar to one; ties go to the smaller id."""
-    target = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.where(F.col("vector").isNotNull()).select("id", cosine(F.col("vector"), target).alias("similarity")).where("similarity is not null")
+    length = float(np.sqrt(np.square(np.asarray(query, "float64")).sum()))
+    unit = [float(x) / length for x in query] if length else [0.0] * len(query)
+    rows = vectors.where(is_vector(F.col("vector"))).select("id", inner_with(F.col("vector"), unit, 0.0).alias("similarity"))
+    scored = rows.where(F.col("similarity").isNotNull())
     return scored.orderBy(F.desc("similarity"), "id").limit(k)
