@@ -32,8 +32,8 @@ def _links_of_blocks(most_bits: int):
         for i in range(len(ids) - 1):
             apart = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1)
             j = np.flatnonzero(apart <= most_bits)
-            near.append(np.stack([apart[j], np.full(len(j), i), j + i + 1], axis=1))
-        near = np.concatenate(near) if near else np.zeros((0, 3), int)
+            near.append(np.stack([apart[j].astype("int64"), np.full(len(j), i, "int64"), j + i + 1], axis=1))
+        near = np.concatenate(near) if near else np.zeros((0, 3), "int64")
         root, out = np.arange(len(ids)), []
 
         def top(i: int) -> int:
@@ -75,4 +75,4 @@ def near_hash_pairs(hashes: DataFrame, most_bits: int = 10, small: int = 64, blo
     many = many.withColumn("own", own).withColumn("other", other)
     many = many.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     forest = many.groupBy("band", "key", "i", "j").applyInPandas(_links_of_blocks(most_bits), "a bigint, b bigint, bits int")
-    return pairs.unionByName(forest)
+    return pairs.unionByName(forest).distinct()
