@@ -254,7 +254,7 @@ def _merged(means: np.ndarray, size: np.ndarray, least: float) -> np.ndarray:
 PARTS = "fragment bigint, size bigint, first bigint, mean binary, members array<bigint>"
 
 
-def similarity_clusters(vectors: DataFrame, least: float = 0.5, sure: float = 0.58, dims: int = 512, cell_rows: int = 3000, block_rows: int = 6000, most_cells: int = 4096, meet: int = 6, most_merges: int = 4, weights: list[float] | None = None, seed: int = 3) -> DataFrame:
+def similarity_clusters(vectors: DataFrame, least: float = 0.5, sure: float = 0.58, dims: int = 512, cell_rows: int = 3000, block_rows: int = 6000, most_cells: int = 4096, meet: int = 4, most_merges: int = 4, weights: list[float] | None = None, seed: int = 3) -> DataFrame:
     """(cluster_id, id): all members of clusters of two or more, cluster_id being the smallest id among them.
 
     vectors: id, version, vector; other columns are ignored. The latest version of an id counts (a NULL version is the
@@ -275,7 +275,7 @@ def similarity_clusters(vectors: DataFrame, least: float = 0.5, sure: float = 0.
         for frame in frames:
             yield frame.assign(cell=_nearest(restored(frame["unit"]), shared.value)[1] if len(frame) else [])
 
-    placed = cut(points.mapInPandas(place, "id bigint, unit binary, cell bigint")) if k > 1 else points.withColumn("cell", F.lit(0).cast("bigint"))
+    placed = points.mapInPandas(place, "id bigint, unit binary, cell bigint") if k > 1 else points.withColumn("cell", F.lit(0).cast("bigint"))
     blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))  # a row per cell
     placed = placed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
