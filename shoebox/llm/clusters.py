@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.llm.components import group_pairs
-from shoebox.llm.vectors import packed, sums_by, unit_rows, unpacked
+from shoebox.llm.vectors import packed, slices, sums_by, unit_rows, unpacked
 from shoebox.session import cut
 
 
@@ -66,7 +66,7 @@ def features_of(vectors: DataFrame, dims: int, width: int, weights: list[float]
     scale = None if weights is None else np.asarray(weights, "float32")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows, matrix = unit_rows(batch.column("vector"), dims)
             at = np.full(batch.num_rows, -1)
             at[rows] = np.arange(len(rows))
@@ -82,12 +82,15 @@ def features_of(vectors: DataFrame, dims: int, width: int, weights: list[float]
 def _nearest(x: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The greatest product of each row with a seed, and which seed that is."""
     best, which = np.full(len(x), -1.0, "float32"), np.zeros(len(x), "int64")
-    for lo in range(0, len(seeds), 4096):
-        s = x @ seeds[lo : lo + 4096].T
-        at = s.argmax(axis=1)
-        value = s[np.arange(len(x)), at]
-        better = value > best
-        best[better], which[better] = value[better], at[better] + lo
+    for top in range(0, len(x), 1024):
+        rows, own = x[top : top + 1024], slice(top, top + 1024)
+        for lo in range(0, len(seeds), 4096):
+            s = rows @ seeds[lo : lo + 4096].T
+            at = s.argmax(axis=1)
+            value = s[np.arange(len(rows)), at]
+            better = value > best[own]
+            best[own] = np.where(better, value, best[own])
+            which[own] = np.where(better, at + lo, which[own])
     return best, which
 
 
@@ -192,7 +195,7 @@ def local_clusters(x: np.ndarray, sure: float, rng: np.random.Generator, lloyd:
         take = min(len(open_), max(8, len(open_) // 4))
         new = rng.choice(open_, take, replace=False, p=mass / mass.sum())
         seeds = np.concatenate([seeds, new])
-        best = np.maximum(best, (x @ x[new].T).max(axis=1))
+        best = np.maximum(best, _nearest(x, x[new])[0])
         best[new] = 1.0
     label = _nearest(x, x[seeds])[1]
     for _ in range(lloyd):
@@ -207,17 +210,16 @@ def local_clusters(x: np.ndarray, sure: float, rng: np.random.Generator, lloyd:
         sums = np.zeros((count, x.shape[1]), "float32")
         np.add.at(sums, label, x)
         # average similarity to the rest of one's own cluster, and to all of any other
-        own = label
-        s = x @ (sums / size[:, None]).T
+        own, means = label, sums / size[:, None]
         mine = np.where(size[own] > 1, ((x * sums[own]).sum(axis=1) - 1) / np.maximum(size[own] - 1, 1), -1)
-        s[np.arange(n), own] = mine
-        at = s.argmax(axis=1)
-        value = s[np.arange(n), at]
-        new = np.where(value >= sure, at, -1)
-        alone = np.flatnonzero(new < 0)
-        new[alone] = count + np.arange(len(alone))
-        # of two rows alone with each other, the later follows the earlier
-        label = new
+        label = np.empty(n, "int64")
+        for lo in range(0, n, 1024):
+            rows = np.arange(lo, min(lo + 1024, n))
+            s = x[rows] @ means.T
+            s[np.arange(len(rows)), own[rows]] = mine[rows]
+            at = s.argmax(axis=1)
+            # a row that is similar to no cluster starts one
+            label[rows] = np.where(s[np.arange(len(rows)), at] >= sure, at, count + rows)
     return np.unique(label, return_inverse=True)[1]
 
 
@@ -254,7 +256,7 @@ def _merged(means: np.ndarray, size: np.ndarray, least: float) -> np.ndarray:
 PARTS = "fragment bigint, size bigint, first bigint, mean binary, members array<bigint>"
 
 
-def similarity_clusters(vectors: DataFrame, least: float = 0.5, sure: float = 0.58, dims: int = 512, cell_rows: int = 3000, block_rows: int = 6000, most_cells: int = 4096, meet: int = 4, most_merges: int = 4, weights: list[float] | None = None, seed: int = 3) -> DataFrame:
+def similarity_clusters(vectors: DataFrame, least: float = 0.5, sure: float = 0.58, dims: int = 512, cell_rows: int = 3000, block_rows: int = 4000, most_cells: int = 4096, meet: int = 4, most_merges: int = 4, weights: list[float] | None = None, seed: int = 3) -> DataFrame:
     """(cluster_id, id): all members of clusters of two or more, cluster_id being the smallest id among them.
 
     vectors: id, version, vector; other columns are ignored. The latest version of an id counts (a NULL version is the

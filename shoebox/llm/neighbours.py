@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoebox.llm.vectors import cosine, directions, only_listed, packed, unit_rows, unpacked
+from shoebox.llm.vectors import cosine, directions, only_listed, packed, slices, unit_rows, unpacked
 from shoebox.session import cut
 
 #: An angle is stored as its difference from a right angle in steps of STEP, cut off at 127 steps.
@@ -36,7 +36,7 @@ def sketches(vectors: DataFrame, dims: int, points: int, sets: int, seed: int) -
     width = min(256, dims)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows, matrix = unit_rows(batch.column("vector"), dims)
             nearest = np.zeros((len(rows), sets), "int32")
             for number in range(sets):
@@ -181,7 +181,7 @@ def similar_pairs(vectors: DataFrame, k: int = 10, least: float = 0.9, dims: int
     listed = cut(rows.select("id", "version").join(listed, "id"))
 
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, matrix = unit_rows(batch.column("vector"), dims)
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("version").take(take), packed(matrix)], names=["id", "version", "unit"])

@@ -28,7 +28,14 @@ def unit_rows(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[fine], matrix.astype("float32")
 
 
-@functools.lru_cache(maxsize=4)
+def slices(batches, rows: int = 2048):
+    """Batches in pieces, so that matrices made of them stay small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+@functools.lru_cache(maxsize=16)
 def directions(dims: int, n: int, seed: int) -> np.ndarray:
     """``n`` random orthonormal points of the sphere, as columns; the same everywhere."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, n)))
