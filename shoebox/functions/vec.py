@@ -73,8 +73,8 @@ def inner_with(a: Column, vector: list[float], eps: float | None = None) -> Colu
         length = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
         rows = np.flatnonzero(length == len(target))
         flat = column.take(pa.array(rows)).flatten()
-        holes = np.asarray(flat.is_null()).reshape(len(rows), -1).any(axis=1) if flat.null_count else np.zeros(len(rows), bool)
-        matrix = np.asarray(flat.to_numpy(zero_copy_only=False), "float64").reshape(len(rows), -1)
+        holes = np.asarray(flat.is_null()).reshape(len(rows), len(target)).any(axis=1) if flat.null_count else np.zeros(len(rows), bool)
+        matrix = np.asarray(flat.to_numpy(zero_copy_only=False), "float64").reshape(len(rows), len(target))
         value = matrix @ target
         if eps is not None:
             value /= np.sqrt((matrix * matrix).sum(axis=1)) + eps

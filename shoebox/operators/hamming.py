@@ -75,4 +75,4 @@ def near_hash_pairs(hashes: DataFrame, most_bits: int = 10, small: int = 64, blo
     many = many.withColumn("own", own).withColumn("other", other)
     many = many.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     forest = many.groupBy("band", "key", "i", "j").applyInPandas(_links_of_blocks(most_bits), "a bigint, b bigint, bits int")
-    return pairs.unionByName(forest).distinct()
+    return pairs.unionByName(forest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits")).distinct()

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MISSING, LATER = "missing", "later"
-OUT = "ref_field string, ref_id bigint, ref_time timestamp_ntz, reason string"
+OUT = "ref_field string, ref_id bigint, t bigint, reason string"
 
 
 def number_key(df: DataFrame, key: str) -> DataFrame:
@@ -98,7 +98,7 @@ def _probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({
                     "ref_field": out["field"].to_numpy(),
                     "ref_id": out["ref_id"].to_numpy(),
-                    "ref_time": pd.to_datetime(out["t"].to_numpy(), unit="us").where(out["t"].to_numpy() < FOREVER),
+                    "t": out["t"].to_numpy(),
                     "reason": np.where(missing[bad], MISSING, LATER),
                 })
 
@@ -121,7 +121,7 @@ def find_orphans(references: DataFrame, parents: DataFrame, per_range: int = 131
     parents = (
         parents.where(F.col("k").isNotNull())
         .groupBy("target", "k", "s")
-        .agg(F.coalesce(F.min(micros("first_loaded")), F.lit(NEVER)).alias("t"))
+        .agg(F.min(F.coalesce(micros("first_loaded"), F.lit(NEVER))).alias("t"))
         .select("target", "k", "s", "t", real)
     )
     references = references.where(F.col("k").isNotNull()).select(
@@ -142,7 +142,8 @@ def find_orphans(references: DataFrame, parents: DataFrame, per_range: int = 131
     both = parents.withColumns({"tag": F.lit(0), "field": none("string"), "ref_id": none("bigint")}).select(*columns)
     both = both.unionByName(references.withColumn("tag", F.lit(1)).select(*columns))
     placed = both.repartition("target", "range", "chunk").sortWithinPartitions("target", "range", "chunk", "tag", "k")
-    return placed.mapInPandas(_probe, OUT)
+    time = F.when(F.col("t") < FOREVER, F.timestamp_micros("t").cast("timestamp_ntz"))
+    return placed.mapInPandas(_probe, OUT).select("ref_field", "ref_id", time.alias("ref_time"), "reason")
 
 
 def orphans_by_period(orphans: DataFrame, references: DataFrame, period: str = "month") -> DataFrame:

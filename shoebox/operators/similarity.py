@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.functions.vec import inner_with, is_vector
+from shoebox.session import cut
 
 MOST_BLOCKS = 512
 
@@ -80,8 +81,9 @@ def lsh_pairs(vectors: DataFrame, least: float, tables: int = 8, length: float =
     from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.where(F.col("id").isNotNull() & is_vector(F.col("vector")))
-    rows = rows.select("id", array_to_vector(F.col("vector").cast("array<double>")).alias("raw"))
+    # written, so that the optimizer can't hand the functions below what the filter takes out
+    rows = cut(vectors.where(F.col("id").isNotNull() & is_vector(F.col("vector"))).select("id", F.col("vector").cast("array<double>").alias("vector")))
+    rows = rows.select("id", array_to_vector("vector").alias("raw"))
     rows = Normalizer(inputCol="raw", outputCol="unit").transform(rows).drop("raw")
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=length, numHashTables=tables, seed=seed).fit(rows)
     joined = model.approxSimilarityJoin(rows, rows, float(np.sqrt(2 - 2 * least)), distCol="d").where("datasetA.id < datasetB.id")
