@@ -295,10 +295,9 @@ def similarity_clusters(vectors: DataFrame, least: float = 0.5, sure: float = 0.
     # a fragment is named by its smallest member; it has at most block_rows of them
     fragments = cut(placed.groupBy("cell", "block").applyInPandas(split, PARTS))
 
-    def invite(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def invite(frames: Iterator[pd.DataFrame], m: int) -> Iterator[pd.DataFrame]:
         for frame in frames:
             s = restored(frame["mean"]) @ shared.value.T if len(frame) else np.zeros((0, k))
-            m = min(meet, k)
             cells = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < k else np.tile(np.arange(k), (len(frame), 1))
             row = np.repeat(np.arange(len(frame)), m)
             yield pd.DataFrame({"cell": cells.ravel(), "fragment": frame["fragment"].to_numpy()[row], "size": frame["size"].to_numpy()[row], "mean": frame["mean"].to_numpy()[row]})
@@ -331,9 +330,9 @@ def similarity_clusters(vectors: DataFrame, least: float = 0.5, sure: float = 0.
         cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
         return pd.DataFrame({"a": cat(a, "int64"), "b": cat(b, "int64"), "s": cat(value, "float64")})
 
-    def merged(pieces: DataFrame) -> DataFrame:
-        """(fragment, set) of the pieces that join others."""
-        guests = pieces.mapInPandas(invite, "cell bigint, fragment bigint, size bigint, mean binary")
+    def merged(pieces: DataFrame, m: int) -> DataFrame:
+        """(fragment, set) of the pieces that join others they meet in ``m`` cells."""
+        guests = pieces.mapInPandas(lambda frames: invite(frames, m), "cell bigint, fragment bigint, size bigint, mean binary")
         met = cut(guests.groupBy("cell").applyInPandas(join, "a bigint, b bigint, s double"))
         offers = met.where("s <= 1.5").withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).where("rank = 1")
         return group_pairs(met.where("s > 1.5").select("a", "b").union(offers.select("a", "b"))).withColumnsRenamed({"node": "fragment", "group_id": "set"})
@@ -347,8 +346,9 @@ def similarity_clusters(vectors: DataFrame, least: float = 0.5, sure: float = 0.
 
     # records that were alone may make sets that are similar to others: merge until nothing moves
     owned, pieces = fragments.select("fragment", "size", "mean", F.col("fragment").alias("set")), fragments.select("fragment", "size", "mean")
-    for _ in range(most_merges):
-        groups = cut(merged(pieces))
+    for number in range(most_merges):
+        # later there are fewer pieces, which can look further
+        groups = cut(merged(pieces, min(k, meet if number == 0 else 2 * meet)))
         if groups.isEmpty():
             break
         renamed = groups.select(F.col("fragment").alias("set"), F.col("set").alias("into"))
