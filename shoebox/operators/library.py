@@ -27,15 +27,15 @@ def diff(listing: DataFrame, photos: DataFrame, within: str | None = None, toler
     return both.select("path", status.alias("status"), "mtime", "size")
 
 
-def insert(photos: DataFrame, rows: DataFrame) -> DataFrame:
+def insert(photos: DataFrame, rows: DataFrame, ids_of: DataFrame | None = None) -> DataFrame:
     """Photos with ``rows`` (path and other columns) appended; a path that is known already is left as it is.
 
-    New ids follow the largest one in the order of paths; of rows with one path the first in all columns is taken.
+    New ids follow the largest one, or that of ``ids_of``, in the order of paths; of rows with one path the first in all columns is taken.
     """
     columns = [c for c in photos.columns if c not in ("id", "path", "filename")]
     fresh = rows.join(photos.select("path"), "path", "left_anti").groupBy("path").agg(F.min(F.struct(*[F.col(c) for c in columns if c in rows.columns])).alias("x"))
     ids = numbered(fresh.select("path"), "path", "place")
-    top = photos.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    top = (photos if ids_of is None else ids_of).agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     new = fresh.join(ids, "path").join(F.broadcast(top))
     kinds = {f.name: f.dataType for f in photos.schema}
     value = {c: (F.col(f"x.{c}") if c in rows.columns else F.lit(None)).cast(kinds[c]) for c in columns}

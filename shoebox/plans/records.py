@@ -259,7 +259,7 @@ def upsert_photos(spark: SparkSession, d: str) -> DataFrame:
     changes = library.diff(_listing(spark, d), rows).select("path", "status", F.col("mtime").alias("modified_time"), F.col("size").alias("size_bytes"))
     kept = library.remove(rows, changes.where(F.col("status") == library.DELETED), "path")
     moved = library.update(kept, changes.where(F.col("status") == library.MODIFIED), "path", ["modified_time", "size_bytes"])
-    return library.insert(moved, changes.where(F.col("status") == library.NEW).drop("status"))
+    return library.insert(moved, changes.where(F.col("status") == library.NEW).drop("status"), rows)
 
 
 @query(f"select id, photo_id from {FC('photo_id')} where photo_id <> 12 and photo_id <> 46 or photo_id is null")
