@@ -306,18 +306,18 @@ def similarity_clusters(vectors: DataFrame, least: float = 0.5, sure: float = 0.
         frame = frame.sort_values("fragment", ignore_index=True)
         x, size, ids = restored(frame["mean"]), frame["size"].to_numpy(), frame["fragment"].to_numpy()
         a, b, value = [], [], []
-        big = np.flatnonzero(size > 1)
-        for lo in range(0, len(ids), 2048):
-            rows = np.arange(lo, min(lo + 2048, len(ids)))
+        big, lone = np.flatnonzero(size > 1), np.flatnonzero(size == 1)
+        for lo in range(0, len(lone), 2048):
+            rows = lone[lo : lo + 2048]
             s = x[rows] @ x.T
             s[np.arange(len(rows)), rows] = -1
             # a record alone offers itself to its most similar fragment; larger ones are linked below
             best = s.argmax(axis=1)
             top = s[np.arange(len(rows)), best]
-            lone = (size[rows] == 1) & (top >= least)
-            a.append(ids[rows[lone]])
-            b.append(ids[best[lone]])
-            value.append(top[lone])
+            near = top >= least
+            a.append(ids[rows[near]])
+            b.append(ids[best[near]])
+            value.append(top[near])
         if len(big) > 1:
             label = _merged(x[big], size[big].astype("float64"), sure)
             order = np.argsort(label, kind="stable")
