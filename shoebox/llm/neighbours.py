@@ -26,6 +26,8 @@ from shoebox.session import cut
 #: An angle is stored as its difference from a right angle in steps of STEP, cut off at 127 steps.
 STEP = 0.002
 SKETCH = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("same", pa.binary()), ("sketch", pa.binary()), ("shards", pa.list_(pa.int32()))])
+#: A pair, or (without id_b) a row of a task that has many candidates there.
+FOUND = pa.schema([("id_a", pa.int64()), ("id_b", pa.int64()), *((c, pa.int32()) for c in ("shard", "i", "j", "own"))])
 
 
 def sketches(vectors: DataFrame, dims: int, points: int, sets: int, seed: int) -> DataFrame:
@@ -58,15 +60,24 @@ def sketches(vectors: DataFrame, dims: int, points: int, sets: int, seed: int) -
     return named.groupBy("id").agg(newest).where("x.sketch is not null").select("id", "x.version", "x.same", "x.sketch", "x.shards")
 
 
-def _search(home: np.ndarray, ask: np.ndarray, asks_at: np.ndarray, slack: int, joint: float, leaf: int, most: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (asking row, stored row) whose sketches are near, by a tree over ``home``.
+def _search(codes: np.ndarray, first: int, slack: int, joint: float, leaf: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, dense): pairs of rows of ``codes`` whose sketches are near, by a tree, and which rows have more than ``most`` of them.
 
-    asks_at: for rows that ask their own shard, their place in ``home``; else -1.
+    The rows before ``first`` ask those from it on; with 0 all ask all. Pairs of two dense rows are left out: there may
+    be as many as the square of the rows, and they are dropped while the search runs.
     """
+    home, ask = codes[first:], codes[: first or len(codes)]
     points = home.shape[1]
     stored, asking = home.astype("float32"), ask.astype("float32")
     norm_s, norm_a = (stored * stored).sum(axis=1), (asking * asking).sum(axis=1)
-    stack, found_a, found_s, found_d = [(np.arange(len(home)), np.arange(len(ask)), 0)], [], [], []
+    stack, found_a, found_b, held = [(np.arange(len(home)), np.arange(len(ask)), 0)], [], [], 0
+    near = np.zeros(len(codes), "int64")
+
+    def kept() -> tuple[np.ndarray, np.ndarray]:
+        a, b = (np.concatenate(x) if x else np.zeros(0, "int32") for x in (found_a, found_b))
+        fine = (near[a] <= most) | (near[b] <= most)
+        return a[fine], b[fine]
+
     while stack:
         s, a, level = stack.pop()
         if not len(s) or not len(a):
@@ -85,19 +96,56 @@ def _search(home: np.ndarray, ask: np.ndarray, asks_at: np.ndarray, slack: int,
                 some = a[la : la + 4096]
                 d = norm_a[some, None] + norm_s[part] - 2 * (asking[some] @ stored[part].T)
                 i, j = np.nonzero(d <= joint)
-                i2, j2 = some[i], part[j]
-                once = (asks_at[i2] < 0) | (asks_at[i2] < j2)
-                found_a.append(i2[once])
-                found_s.append(j2[once])
-                found_d.append(d[i, j][once])
-    a, s, d = (np.concatenate(x) if x else np.zeros(0, int) for x in (found_a, found_s, found_d))
-    if most is not None and len(a):
-        order = np.lexsort((d, a))
-        a, s = a[order], s[order]
-        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
-        a, s = a[rank < most], s[rank < most]
-    return a, s
+                i2, j2 = some[i], part[j] + first
+                once = i2 < j2
+                i2, j2 = i2[once].astype("int32"), j2[once].astype("int32")
+                near += np.bincount(i2, minlength=len(near)) + np.bincount(j2, minlength=len(near))
+                found_a.append(i2)
+                found_b.append(j2)
+                held += len(i2)
+                if held > 4_000_000:
+                    x, y = kept()
+                    found_a, found_b, held = [x], [y], 0
+    return *kept(), near > most
+
+
+def _nearest(a: np.ndarray, b: np.ndarray | None, ids_b: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in a, in b) of the ``k`` rows of ``b`` most similar to each row of ``a``; without ``b`` within ``a``. ``ids_b`` ascend."""
+    of = a if b is None else b
+    out_a, out_b = [], []
+    for lo in range(0, len(a), 512):
+        # identical rows must tie, in whatever order the products are added
+        near = np.round(a[lo : lo + 512] @ of.T, 12)
+        if b is None:
+            near[np.arange(len(near)), lo + np.arange(len(near))] = -2
+        last = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -2.0)
+        i, j = np.nonzero((near >= last[:, None]) & (near >= least - 1e-9))
+        order = np.lexsort((ids_b[j], -near[i, j], i))
+        i, j = i[order], j[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        out_a.append(i[rank < k] + lo)
+        out_b.append(j[rank < k])
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _tasks(batches: Iterator[pa.RecordBatch], column: str, kind: str) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray]]:
+    """((shard, i, j), own, ids, rows of ``column``) of batches sorted by shard, i, j, own, id."""
+    task, parts = None, []
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "i", "j")], axis=1)
+        own, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("own", "id"))
+        data = unpacked(batch.column(column).to_pylist(), kind)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo == hi:
+                continue
+            if (now := tuple(keys[lo])) != task:
+                if parts:
+                    yield task, *(np.concatenate(x) for x in zip(*parts))
+                task, parts = now, []
+            parts.append((own[lo:hi], ids[lo:hi], data[lo:hi]))
+    if parts:
+        yield task, *(np.concatenate(x) for x in zip(*parts))
 
 
 def similar_pairs(vectors: DataFrame, k: int = 10, least: float = 0.9, dims: int = 512, relax: float = 6.0, points: int = 160, sets: int = 8, shard_rows: int = 8192, seed: int = 11) -> DataFrame:
@@ -107,8 +155,9 @@ def similar_pairs(vectors: DataFrame, k: int = 10, least: float = 0.9, dims: int
     NULL version is the oldest). What isn't a vector of ``dims`` finite elements that aren't all zero takes part in
     nothing; lengths don't matter. Equal similarity is decided by the smaller id. Of more than k + 1 copies of one
     vector only the k + 1 smallest ids are stored, and the others pair with the k smallest: that is what their k most
-    similar are, with ties by id. With ``relax`` 1 no pair is lost; else a vector that one shard holds more than 8k
-    near candidates for is compared with the nearest of them by their sketches. No vectors give no rows.
+    similar are, with ties by id. With ``relax`` 1 no pair is lost. Vectors that one shard holds more than 8k near
+    candidates for are compared with each other by their exact cosines there, and each keeps its k most similar: no
+    candidate is left out by its sketch's rank. No vectors give no rows.
 
     A shard of more than ``shard_rows`` vectors is searched in pairs of blocks of that size.
     """
@@ -134,7 +183,7 @@ def similar_pairs(vectors: DataFrame, k: int = 10, least: float = 0.9, dims: int
     # of orthogonal directions the squared differences add up to a share of the squared distance; to all of it at most
     part = 1.07 if relax == 1 else min(1.07, 1.25 * points / dims)
     joint = (np.sqrt(apart * part) / STEP + (np.sqrt(points) if relax == 1 else 1)) ** 2
-    most = None if relax == 1 else 8 * k
+    most = 8 * k  # of a row's candidates in a task: beyond it the exact way is taken
     stored = rows.select("id", "sketch", F.explode("shards").alias("shard") if relax > 1 else F.lit(0).alias("shard"))
     # a row per shard, at most 2 * 256 * sets of them
     blocks = stored.groupBy("shard").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("blocks"))
@@ -144,40 +193,23 @@ def similar_pairs(vectors: DataFrame, k: int = 10, least: float = 0.9, dims: int
     placed = placed.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "own", "id")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(task: tuple, parts: list) -> pa.RecordBatch | None:
-            own, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            codes = np.concatenate([p[2] for p in parts])
+        for task, own, ids, codes in _tasks(batches, "sketch", "int8"):
             first = 0 if task[1] == task[2] else int((own == task[1]).sum())  # blocks i ask block j
-            asks = slice(0, first or len(ids))
-            asks_at = np.arange(len(ids)) if not first else np.full(first, -1)
-            if first == 0 and task[1] != task[2]:
-                return None
-            a, s = _search(codes[first:], codes[asks], asks_at, slack, joint, 48, most)
-            if not len(a):
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(ids[asks][a]), pa.array(ids[first:][s])], names=["id_a", "id_b"])
-
-        task, parts = None, []
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "i", "j")], axis=1)
-            own, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("own", "id"))
-            codes = unpacked(batch.column("sketch").to_pylist(), "int8")
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
-                if (now := tuple(keys[lo])) != task:
-                    if parts and (found := pairs(task, parts)) is not None:
-                        yield found
-                    task, parts = now, []
-                parts.append((own[lo:hi], ids[lo:hi], codes[lo:hi]))
-        if parts and (found := pairs(task, parts)) is not None:
-            yield found
-
-    found = placed.mapInArrow(search, "id_a bigint, id_b bigint")
-    near = cut(found.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct())
-    # the exact check: only vectors that are in a pair are read for it
-    listed = near.select(F.col("id_a").alias("id")).union(near.select("id_b")).distinct()
+            if task[1] != task[2] and first in (0, len(ids)):
+                continue
+            a, b, dense = _search(codes, first, slack, joint, 48, most)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), *(pa.nulls(len(a), pa.int32()) for _ in range(4))], schema=FOUND)
+            of = [pa.array(np.full(dense.sum(), x, "int32")) for x in task]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[dense]), pa.nulls(dense.sum(), pa.int64()), *of, pa.array(own[dense])], schema=FOUND)
+
+    found = cut(placed.mapInArrow(search, "id_a bigint, id_b bigint, shard int, i int, j int, own int"))
+    near = found.where("id_b is not null").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    near = cut(near.distinct())
+    dense = found.where("id_b is null").select("shard", "i", "j", "own", F.col("id_a").alias("id"))
+    crowded = not dense.isEmpty()
+    # the exact check: only vectors that are in a pair, or dense, are read for it
+    listed = near.select(F.col("id_a").alias("id")).union(near.select("id_b"))
+    listed = (listed.union(dense.select("id")) if crowded else listed).distinct()
     listed = cut(rows.select("id", "version").join(listed, "id"))
 
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +218,24 @@ def similar_pairs(vectors: DataFrame, k: int = 10, least: float = 0.9, dims: int
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("version").take(take), packed(matrix)], names=["id", "version", "unit"])
 
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task, own, ids, units in _tasks(batches, "unit", "float32"):
+            first = 0 if task[1] == task[2] else int((own == task[1]).sum())
+            exact = units.astype("float64")
+            if task[1] == task[2]:
+                a, b = _nearest(exact, None, ids, k, least)
+            elif first in (0, len(ids)):
+                continue
+            else:
+                a, b = _nearest(exact[:first], exact[first:], ids[first:], k, least)
+                y, x = _nearest(exact[first:], exact[:first], ids[:first], k, least)
+                a, b = np.append(a, x), np.append(b, y) + first
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            for lo in range(0, len(pair), 4096):
+                a, b = pair[lo : lo + 4096].T
+                ends = pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))
+                yield pa.RecordBatch.from_arrays([*ends, pa.array((exact[a] * exact[b]).sum(axis=1))], names=["id_a", "id_b", "cosine"])
+
     given = vectors.select("id", F.coalesce("version", F.lit(-(2**62))).alias("version"), "vector")
     units = only_listed(given, listed, "id", "version").mapInArrow(scale, "id bigint, version bigint, unit binary")
     units = units.groupBy("id", "version").agg(F.max("unit").alias("unit"))
@@ -193,6 +243,10 @@ def similar_pairs(vectors: DataFrame, k: int = 10, least: float = 0.9, dims: int
     side = lambda x: units.select(F.col("id").alias(f"id_{x}"), F.col("unit").alias(f"unit_{x}"))
     checked = near.join(side("a"), "id_a").join(side("b"), "id_b")
     checked = checked.select("id_a", "id_b", cosine("unit_a", "unit_b").alias("cosine")).where(F.col("cosine") >= least)
+    if crowded:
+        exact = dense.join(units, "id").repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "own", "id")
+        exact = exact.mapInArrow(rank, "id_a bigint, id_b bigint, cosine double").where(F.col("cosine") >= least)
+        checked = checked.unionByName(exact).groupBy("id_a", "id_b").agg(F.max("cosine").alias("cosine"))
     both = checked.select(F.col("id_a").alias("id"), F.col("id_b").alias("other"), "cosine")
     both = both.unionByName(checked.select(F.col("id_b").alias("id"), F.col("id_a").alias("other"), "cosine"))
     ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).where(F.col("rank") <= k)

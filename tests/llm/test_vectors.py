@@ -57,6 +57,23 @@ def test_relax_one_is_exact(spark, shard):
     assert {(r["id_a"], r["id_b"]) for r in few.collect()} == brute(x, 0.7, 3)
 
 
+@pytest.mark.parametrize("settings", [{}, {"shard_rows": 300}])
+def test_dense_groups_keep_their_nearest(spark, settings):
+    """Far more near candidates than 8k for each vector, in one task and over pairs of blocks; and rescaled copies."""
+    x, _ = planted(12, 1, 900, noise=0.25)
+    x = np.concatenate([x, x[:3] * 1.7, x[3:150] * 0.3, np.random.default_rng(13).normal(size=(20, 512))])
+    x = x.astype("float32").astype("float64")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    tenth = np.sort(s, axis=1)[:, -10]
+    got = {(r["id_a"], r["id_b"]) for r in similar_pairs(frame(spark, x), **settings).collect()}
+    # rescaled copies differ by the rounding of float32: whichever of equals comes out is right
+    sure = {(min(i, j), max(i, j)) for i, j in zip(*np.nonzero((s > tenth[:, None] + 1e-6) & (s >= 0.9 + 1e-6)))}
+    fine = {(min(i, j), max(i, j)) for i, j in zip(*np.nonzero((s >= tenth[:, None] - 1e-6) & (s >= 0.9 - 1e-6)))}
+    assert got <= fine and len(got & sure) >= 0.995 * len(sure)
+
+
 def test_copies_and_odd_vectors(spark):
     g = np.random.default_rng(5)
     a, b = g.normal(size=512), g.normal(size=512)
