@@ -72,7 +72,7 @@ def match_groups(items: DataFrame, most_bits: int = 10) -> DataFrame:
     hashed = items.where(F.col("hash").isNotNull() & real).select("id", "hash")
     alike = hashed.groupBy("hash").agg(F.min("id").alias("rep"))
     copies = hashed.join(alike, "hash").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    near = near_hash_pairs(alike.select(F.col("rep").alias("id"), "hash"), most_bits)
+    near = near_hash_pairs(alike.select(F.col("rep").alias("id"), "hash"), most_bits, forest=True)
     pairs = near.select("a", "b").unionByName(copies).unionByName(link_pairs(items))
     return group_pairs(pairs).select("group_id", F.col("node").alias("id"))
 

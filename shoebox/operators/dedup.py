@@ -16,21 +16,23 @@ def _of_two(found: DataFrame) -> DataFrame:
     return found.join(sizes, "component").select("component", F.col("node").alias("id"))
 
 
-def hash_links(photos: DataFrame, most_bits: int | None = None) -> DataFrame:
+def hash_links(photos: DataFrame, most_bits: int | None = None, forest: bool = False) -> DataFrame:
     """(a, b, bits): links between photos (id, phash) whose hashes differ in few bits.
 
+    With ``forest`` of many alike only links that connect what all links connect.
+
     Hashes that aren't 32 bytes link nothing. Photos of one hash are linked to the smallest id, which stands in for them.
     """
     most_bits = SearchConfig().phash_bits if most_bits is None else most_bits
     hashed = photos.where(F.octet_length("phash") == 32).select("id", F.col("phash").alias("hash"))
     alike = hashed.groupBy("hash").agg(F.min("id").alias("rep"))
     copies = hashed.join(alike, "hash").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("bits")).where("a <> b")
-    return copies.unionByName(near_hash_pairs(alike.select(F.col("rep").alias("id"), "hash"), most_bits))
+    return copies.unionByName(near_hash_pairs(alike.select(F.col("rep").alias("id"), "hash"), most_bits, forest=forest))
 
 
 def hash_groups(photos: DataFrame, most_bits: int | None = None) -> DataFrame:
     """(component, id): groups of two or more photos (id, phash) linked directly or indirectly by near hashes."""
-    return _of_two(components(hash_links(photos, most_bits)))
+    return _of_two(components(hash_links(photos, most_bits, forest=True)))
 
 
 def vector_groups(photos: DataFrame, least: float | None = None, neighbours: int | None = None) -> DataFrame:

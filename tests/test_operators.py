@@ -135,6 +135,19 @@ def test_near_hashes_equal_all_pairs(spark, small, block):
     assert near_hash_pairs(df.limit(0), 10).count() == 0
 
 
+@pytest.mark.parametrize("small,block", [(64, 50), (64, 1024)])
+def test_crowded_buckets_give_all_near_pairs(spark, small, block):
+    r = random.Random(4)
+    alike = {bytes(32)} | {(1 << r.randrange(256) | 1 << r.randrange(256)).to_bytes(32, "big") for _ in range(90)}
+    values = sorted(alike | set(hashes(r, 60)))
+    apart = lambda i, j: bin(int.from_bytes(values[i], "big") ^ int.from_bytes(values[j], "big")).count("1")
+    near = sorted((i, j, apart(i, j)) for i in range(len(values)) for j in range(i + 1, len(values)) if apart(i, j) <= 10)
+    df = spark.createDataFrame([(i, bytearray(v)) for i, v in enumerate(values)], "id bigint, hash binary")
+    assert sorted(rows(near_hash_pairs(df, 10, small, block))) == near
+    forest = {(a, b) for a, b, _ in near_hash_pairs(df, 10, small, block, forest=True).collect()}
+    assert len(forest) < len(near) and union_find(forest) == union_find([(a, b) for a, b, _ in near])
+
+
 # --- similarity ----------------------------------------------------------------------------------------------------
 
 
