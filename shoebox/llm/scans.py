@@ -439,18 +439,18 @@ def repair(text: str, lexicon: Lexicon, expected: int | None = None, voted: str
 OUT = "id bigint, text string, kinds array<string>, page_number int, title string"
 
 
-def repair_pages(pages: DataFrame, corpus: DataFrame, most_words: int = 1_000_000) -> DataFrame:
+def repair_pages(pages: DataFrame, corpus: DataFrame) -> DataFrame:
     """(id, text, kinds, page_number, title): each page's continuous text and the kinds of damage it had.
 
     pages: id, scan (the document a page belongs to), place (its number in it, or NULL), text; corpus: text, from all of
     which words are counted; other columns are ignored. kinds are ``hyphen``, ``chars``, ``header`` and ``pageno``.
     Numbers without any mark at the edge of a page without lines count as page numbers only if another page of the
     scan has one at the same edge that fits its place. NULL texts give NULL and no kinds, empty and blank ones an empty
-    text; repeated pages come out as they stand; pages of any length are repaired whole. The ``most_words`` most
-    frequent words make the lexicon that is sent to the executors.
+    text; repeated pages come out as they stand; pages of any length are repaired whole. All words of the
+    corpus with their counts make the lexicon that is sent to the executors: it grows with the vocabulary.
     """
     spark = pages.sparkSession
-    words = count_words(corpus).orderBy(F.desc("n"), "word").limit(most_words).collect()
+    words = count_words(corpus).collect()
     shared = spark.sparkContext.broadcast(({r["word"]: r["n"] for r in words}, {r["word"]: r["before_hyphen"] for r in words if r["before_hyphen"]}))
     pages = pages.select("id", "scan", F.col("place").cast("int").alias("place"), "text")
 

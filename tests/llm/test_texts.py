@@ -227,3 +227,14 @@ def test_token_counts_are_the_tokenizers(spark):
     got = {r[0]: r[1] for r in df.select("i", token_count(F.col("t"))).collect()}
     assert got == {i: len(encoder().encode_ordinary(t)) for i, t in enumerate(sample)}
     assert re.sub(r"\s", "", encoder().decode(encoder().encode_ordinary(sample[-1]))) == re.sub(r"\s", "", sample[-1])
+
+
+def test_lexicon_holds_every_word(spark):
+    """A word seen twice stays known, though a million others are more frequent."""
+    letter = lambda n: F.chr(F.lit(97) + F.pmod(F.floor(F.col("id") / n), F.lit(26)))
+    word = F.concat(F.lit("q"), *[letter(26**i) for i in range(5)])
+    common = spark.range(1_001_000).groupBy(F.floor(F.col("id") / 1000)).agg(F.concat_ws(" ", F.collect_list(word)).alias("w"))
+    common = common.select(F.concat_ws(" ", "w", "w", "w").alias("text"))
+    rare = spark.createDataFrame([("zebrine zebrine",)], "text string")
+    page = spark.createDataFrame([(1, "s", 1, "ze brine")], "id bigint, scan string, place int, text string")
+    assert repair_pages(page, common.unionByName(rare)).first()["text"] == "zebrine"
