@@ -65,8 +65,9 @@ class Library:
         plan = intent_and_weights(n["m"], n["v"], n["t"], self.config.presets)
         return self.photos.sparkSession.range(1).select(*[c.alias(k) for k, c in plan.items()])
 
-    def find_duplicates(self, use_embedding: bool = True) -> DataFrame:
-        return dedup.find_duplicates(self.photos, self.config, use_embedding)
+    def find_duplicates(self, use_embedding: bool = True, recall: float | None = None) -> DataFrame:
+        """(type, component, id) of all groups; with ``recall`` similar vectors are searched approximately."""
+        return dedup.find_duplicates(self.photos, self.config, use_embedding, recall)
 
     def mark(self, groups: DataFrame) -> Library:
         return replace(self, photos=library.mark_duplicates(self.photos, dedup.marks(groups, self.photos)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shoebox.config import SearchConfig
 from shoebox.operators.graph import components
 from shoebox.operators.hamming import near_hash_pairs
-from shoebox.operators.similarity import cosine_pairs, nearest
+from shoebox.operators.similarity import approximate_pairs, cosine_pairs, nearest
 
 
 def _of_two(found: DataFrame) -> DataFrame:
@@ -35,23 +35,28 @@ def hash_groups(photos: DataFrame, most_bits: int | None = None) -> DataFrame:
     return _of_two(components(hash_links(photos, most_bits, forest=True)))
 
 
-def vector_groups(photos: DataFrame, least: float | None = None, neighbours: int | None = None) -> DataFrame:
+def vector_groups(photos: DataFrame, least: float | None = None, neighbours: int | None = None, recall: float | None = None) -> DataFrame:
     """(component, id): groups of two or more photos (id, embedding) linked by a cosine of at least ``least``.
 
-    All links count; with ``neighbours`` only those to a photo's nearest, itself among them.
+    All links count; with ``neighbours`` only those to a photo's nearest, itself among them. With ``recall`` links are
+    searched approximately, each found at least with that probability: for more photos than all pairs allow. Vectors of
+    different lengths aren't compared; NULL, zero and broken vectors link nothing.
     """
     least = SearchConfig().embedding_similarity if least is None else least
     vectors = photos.select("id", F.col("embedding").alias("vector"))
-    pairs = cosine_pairs(vectors, least, forest=neighbours is None)
     if neighbours is not None:
-        pairs = nearest(pairs, neighbours - 1).select(F.col("id").alias("a"), F.col("other").alias("b"))
+        pairs = nearest(vectors, neighbours - 1, least).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    elif recall is not None:
+        pairs = approximate_pairs(vectors, least, recall, forest=True)
+    else:
+        pairs = cosine_pairs(vectors, least, forest=True)
     return _of_two(components(pairs))
 
 
 def least_distance(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """(component, distance): the smallest number of bits in which two of each group differ; 999 for groups without ``links``."""
+    """(component, distance): the smallest number of bits in which two of each group differ; 0 for groups without ``links``."""
     least = links.join(groups.withColumnRenamed("id", "a"), "a").groupBy("component").agg(F.min("bits").alias("distance"))
-    return groups.select("component").distinct().join(least, "component", "left").select("component", F.coalesce("distance", F.lit(999)).alias("distance"))
+    return groups.select("component").distinct().join(least, "component", "left").select("component", F.coalesce("distance", F.lit(0)).alias("distance"))
 
 
 def representatives(groups: DataFrame, photos: DataFrame) -> DataFrame:
@@ -68,11 +73,11 @@ def marks(groups: DataFrame, photos: DataFrame) -> DataFrame:
     return rows.where("path <> keep").select("path", F.col("keep").alias("duplicate_of"))
 
 
-def find_duplicates(photos: DataFrame, config: SearchConfig = SearchConfig(), use_embedding: bool = True) -> DataFrame:
+def find_duplicates(photos: DataFrame, config: SearchConfig = SearchConfig(), use_embedding: bool = True, recall: float | None = None) -> DataFrame:
     """(type, component, id): groups by hash first, then groups by vector among the photos in none of these.
 
     A group by hash is ``exact`` if two of its members have the same hash, else ``near_exact``; the others are
-    ``semantic``.
+    ``semantic``; with ``recall`` these are searched approximately (``vector_groups``).
     """
     photos = photos.where("embedding is not null")
     by_hash = hash_groups(photos, config.phash_bits)
@@ -82,7 +87,7 @@ def find_duplicates(photos: DataFrame, config: SearchConfig = SearchConfig(), us
     if not use_embedding:
         return found
     rest = photos.join(by_hash.select("id"), "id", "left_anti")
-    return found.unionByName(vector_groups(rest, config.embedding_similarity).select(F.lit("semantic").alias("type"), "component", "id"))
+    return found.unionByName(vector_groups(rest, config.embedding_similarity, recall=recall).select(F.lit("semantic").alias("type"), "component", "id"))
 
 
 def manifest(groups: DataFrame, photos: DataFrame, status: Column | None = None) -> DataFrame:

@@ -15,10 +15,11 @@ LEARNS = {"VISUAL": "visual_dominant", "METADATA": "metadata_dominant", "TEXT":
 
 def stats(log: DataFrame) -> DataFrame:
     """(by, value, n): the number of entries, and that by intent and by kind, in one pass."""
-    grouped = log.cube("query_intent", "feedback_type").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    intent, kind = F.col("query_intent"), F.col("feedback_type")
+    grouped = log.groupingSets([[], [intent], [kind]], intent, kind).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
     by = F.when(F.col("g") == 3, "total").when(F.col("g") == 1, "intent").when(F.col("g") == 2, "kind")
     value = F.when(F.col("g") == 1, F.col("query_intent")).when(F.col("g") == 2, F.col("feedback_type"))
-    return grouped.select(by.alias("by"), value.alias("value"), "n").where("by is not null")
+    return grouped.select(by.alias("by"), value.alias("value"), "n")
 
 
 def counts(log: DataFrame, *keys: str) -> DataFrame:

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.config import SearchConfig
-from shoebox.functions.vec import cosine_distance, is_vector, unit_if_long
+from shoebox.functions.vec import is_vector, unit_if_long
 from shoebox.operators.graph import groups, numbered
-from shoebox.operators.similarity import cosine_pairs
+from shoebox.operators.similarity import cosine_pairs, least_marks, neighbour_counts
+from shoebox.session import cut
 
 
 def usable_faces(faces: DataFrame, least_score: float = 0.5, least_norm: float = 1e-6) -> DataFrame:
@@ -29,23 +36,82 @@ def centroids(faces: DataFrame) -> DataFrame:
     return whole.select("person_id", "n", unit_if_long(F.transform("v", lambda s: s["m"])).alias("centroid"))
 
 
-def assign(new_faces: DataFrame, centres: DataFrame, limit: float | None = None) -> DataFrame:
+#: So many centroids are sent to all executors (32 MB at 512 elements); more are dealt to tasks.
+SENT = 8192
+
+
+def _units(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, matrix): which lists hold numbers of one length, that of the first, scaled to length one unless next to zero."""
+    size = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+    dims = size[0] if len(size) else 0
+    rows = np.flatnonzero(size == dims)
+    x = np.asarray(lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False), "float64").reshape(len(rows), -1 if dims else 0)
+    length = np.sqrt((x * x).sum(axis=1))
+    return rows, np.where(length > 1e-6, 1 / np.where(length > 1e-6, length, 1), 1.0)[:, None] * x
+
+
+def _nearest_of(faces: np.ndarray, persons: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each face the nearest person and the distance; ``persons`` ascend, so that ties go to the smaller number."""
+    who, distance = np.zeros(len(faces), "int64"), np.full(len(faces), 3.0)
+    for lo in range(0, len(faces), 1024):
+        d = 1 - np.clip(faces[lo : lo + 1024] @ centres.T, -1, 1)
+        at = d.argmin(axis=1)
+        who[lo : lo + 1024], distance[lo : lo + 1024] = persons[at], d[np.arange(len(d)), at]
+    return who, distance
+
+
+FOUND = "id bigint, d double, person_id bigint"
+
+
+def assign(new_faces: DataFrame, centres: DataFrame, limit: float | None = None, sent: int = SENT, block: int = 16_384) -> DataFrame:
     """(id, person_id, distance): new faces (id, embedding) with the nearest centroid, or NULL if none is near enough.
 
-    Persons are dealt to blocks that are sent to each face in turn, so that no task holds more than a block of them.
+    Faces are compared with all centroids by matrix products, batch by batch. Up to ``sent`` centroids go to all
+    executors once; more are dealt to blocks of that size, and faces to blocks of ``block``, and each task compares two
+    blocks. A face that isn't a vector has no row; one of another length than the centroids is near to none; ties go to
+    the smaller person.
     """
     limit = SearchConfig().assign_distance if limit is None else limit
-    faces = new_faces.where(is_vector(F.col("embedding"))).select("id", unit_if_long(F.col("embedding")).alias("v"))
-    n = centres.count()
-    best = None
-    for block in range(max(1, -(-n // 2048))):
-        some = centres if n <= 2048 else centres.where(F.pmod(F.xxhash64("person_id"), F.lit(-(-n // 2048))) == block)
-        near = faces.join(F.broadcast(some.select("person_id", "centroid")))
-        one = near.groupBy("id").agg(F.min(F.struct(cosine_distance(F.col("v"), F.col("centroid")).alias("d"), "person_id")).alias("x"))
-        best = one if best is None else best.unionByName(one)
-    nearest = best.groupBy("id").agg(F.min("x").alias("x"))
-    ok = F.col("x.d") < limit
-    return faces.select("id").join(nearest, "id", "left").select("id", F.when(ok, F.col("x.person_id")).alias("person_id"), F.when(ok, F.col("x.d")).alias("distance"))
+    faces = cut(new_faces.where(is_vector(F.col("embedding"))).select("id", "embedding"))
+    known = centres.where(F.col("person_id").isNotNull() & is_vector(F.col("centroid"))).select("person_id", "centroid")
+    n = known.count()
+    if n <= sent:
+        rows = sorted((r["person_id"], r["centroid"]) for r in known.collect())  # at most ``sent``
+        names = np.array([p for p, _ in rows], "int64")
+        shared = faces.sparkSession.sparkContext.broadcast((names, np.array([c for _, c in rows], "float64")))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            persons, matrix = shared.value
+            for batch in batches:
+                at, x = _units(batch.column("embedding"))
+                if len(at) and len(persons) and x.shape[1] == matrix.shape[1]:
+                    who, d = _nearest_of(x, persons, matrix)
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(d), pa.array(who)], names=["id", "d", "person_id"])
+
+        found = faces.mapInArrow(search, FOUND)
+    else:
+        p, q = -(-n // sent), max(1, -(-faces.count() // block))
+        deal = lambda key, parts, name: F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias(name)
+        every = lambda parts, name: F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias(name)
+        asking = faces.select("id", F.col("embedding").cast("array<double>").alias("v"), deal("id", q, "j"), every(p, "i")).withColumn("tag", F.lit(1))
+        asked = known.select(F.col("person_id").alias("id"), F.col("centroid").cast("array<double>").alias("v"), deal("person_id", p, "i"), every(q, "j")).withColumn("tag", F.lit(0))
+
+        def compare(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("id")
+            persons, some = frame[frame["tag"] == 0], frame[frame["tag"] == 1]
+            if persons.empty or some.empty:
+                return pd.DataFrame({"id": [], "d": [], "person_id": []}).astype({"id": "int64", "d": "float64", "person_id": "int64"})
+            matrix = np.stack(persons["v"].to_numpy())
+            some = some[[len(v) == matrix.shape[1] for v in some["v"]]]
+            x = np.stack(some["v"].to_numpy()) if len(some) else np.zeros((0, matrix.shape[1]))
+            length = np.sqrt((x * x).sum(axis=1))
+            who, d = _nearest_of(x / np.where(length > 1e-6, length, 1)[:, None], persons["id"].to_numpy(), matrix)
+            return pd.DataFrame({"id": some["id"].to_numpy(), "d": d, "person_id": who})
+
+        found = asking.unionByName(asked).groupBy("i", "j").applyInPandas(compare, FOUND)
+        found = found.groupBy("id").agg(F.min(F.struct("d", "person_id")).alias("x")).select("id", "x.*")
+    near = found.where(F.col("d") < limit)
+    return faces.select("id").join(near, "id", "left").select("id", "person_id", F.col("d").alias("distance"))
 
 
 def cluster(faces: DataFrame, limit: float | None = None) -> DataFrame:
@@ -60,15 +126,17 @@ def cluster(faces: DataFrame, limit: float | None = None) -> DataFrame:
 
 
 def density_clusters(faces: DataFrame, eps: float = 0.45, least: int = 2) -> DataFrame:
-    """(id, label): faces by density: cores have ``least`` faces within ``eps``, themselves among them; others join a core."""
-    pairs = cosine_pairs(faces.select("id", F.col("embedding").alias("vector")), 1 - eps)
-    both = pairs.select("a", "b").union(pairs.select("b", "a"))
-    core = both.groupBy("a").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= least).select(F.col("a").alias("core"))
-    inner = pairs.join(core.withColumnRenamed("core", "a"), "a", "left_semi").join(core.withColumnRenamed("core", "b"), "b", "left_semi")
-    linked = groups(inner.select("a", "b")).select(F.col("node").alias("id"), "label")
-    edge = both.join(linked.withColumnRenamed("id", "b"), "b").join(linked.withColumnRenamed("id", "a").select("a"), "a", "left_anti")
-    edge = edge.groupBy("a").agg(F.min("label").alias("label")).withColumnRenamed("a", "id")
-    found = linked.unionByName(edge.select("id", "label"))
+    """(id, label): faces by density: cores have ``least`` faces within ``eps``, themselves among them; others join a core.
+
+    What near faces are is only counted; links come out of each pair of blocks as far as they connect cores.
+    """
+    vectors = faces.select("id", F.col("embedding").alias("vector"))
+    core = cut(neighbour_counts(vectors, 1 - eps).where(F.col("n") + 1 >= least).select("id"))
+    linked = cut(groups(cosine_pairs(vectors.join(core, "id", "left_semi"), 1 - eps, forest=True)).select(F.col("node").alias("id"), "label"))
+    found = linked
+    if least > 2:  # else whoever has a neighbour is a core
+        marked = vectors.join(linked, "id", "left").select("id", "vector", F.coalesce("label", F.lit(-1)).alias("mark"))
+        found = linked.unionByName(least_marks(marked, 1 - eps).select("id", F.col("mark").alias("label")))
     return faces.select("id").join(found, "id", "left").select("id", F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"))
 
 

@@ -20,14 +20,27 @@ def _unit(vector: list[float]) -> list[float]:
     return [float(x) / (length + 1e-8) for x in vector]
 
 
-def candidates(photos: DataFrame, query_vector: list[float], config: SearchConfig = SearchConfig()) -> DataFrame:
+def candidates(photos: DataFrame, query_vector: list[float], config: SearchConfig = SearchConfig(), version: str | None = None) -> DataFrame:
     """The photos (id, path, embedding, ocr_text, metadata) most similar to a vector, with ``v_score``.
 
-    Only ids and vectors are scored and sorted; the other columns are read for the candidates alone.
+    Only ids and scores are moved and sorted; the other columns are read for the candidates alone. With ``version``, a
+    TIMESTAMP, photos are all versions of the records, of which the latest of each id counts (NULL is the oldest):
+    vectors are scored where they are read, and the versions of an id meet as scores.
     """
-    scored = photos.where(F.col("embedding").isNotNull()).select("id", inner_with(F.col("embedding"), _unit(query_vector), 1e-8).alias("v_score"))
+    score = inner_with(F.col("embedding"), _unit(query_vector), 1e-8).alias("v_score")
+    if version is None:
+        scored = photos.where(F.col("embedding").isNotNull()).select("id", score)
+    else:
+        at = F.coalesce(F.unix_micros(F.col(version).cast("timestamp")), F.lit(-(2**62)))
+        named = photos.where(F.col("id").isNotNull()).select("id", at.alias("_at"), score)
+        scored = named.groupBy("id").agg(F.max_by("v_score", "_at").alias("v_score"), F.max("_at").alias("_at"))
     best = scored.where(F.col("v_score").isNotNull() & ~F.isnan("v_score")).orderBy(F.desc("v_score"), "id").limit(config.candidates)
-    return photos.drop("embedding").join(F.broadcast(best), "id")  # at most ``candidates`` rows
+    if version is None:
+        return photos.drop("embedding").join(F.broadcast(best), "id")  # at most ``candidates`` rows
+    names = [c for c in photos.columns if c not in ("id", "embedding", version)]
+    rows = photos.drop("embedding").withColumn("_at", at).join(F.broadcast(best), ["id", "_at"])
+    one = rows.groupBy("id", "v_score").agg(F.max(F.struct(*names)).alias("x"))  # repeated rows of one time
+    return one.select("id", "x.*", "v_score")
 
 
 def query_plan(query: str | Column, presets: dict | None = None) -> dict[str, Column]:
@@ -87,13 +100,13 @@ def feedback_note(penalty: Column) -> Column:
     return F.when(penalty > 1.0, boosted).when(penalty < 1.0, F.concat(F.lit("Downranked "), down.cast("string"), F.lit("%"))).otherwise("")
 
 
-def search(photos: DataFrame, log: DataFrame, query: str, query_vector: list[float], now: dt.datetime, config: SearchConfig = SearchConfig()) -> DataFrame:
+def search(photos: DataFrame, log: DataFrame, query: str, query_vector: list[float], now: dt.datetime, config: SearchConfig = SearchConfig(), version: str | None = None) -> DataFrame:
     """(rank, id, path, score, v_score, o_score, m_score, m_reasons, penalty): the results of a query.
 
-    photos: id, path, embedding, ocr_text, metadata. The pipeline is one plan: candidates by vector, their scores,
-    feedback, threshold. Ties keep the order before feedback, then that of the vectors, then ids.
+    photos: id, path, embedding, ocr_text, metadata, and with ``version`` that column (``candidates``). The pipeline is
+    one plan: candidates by vector, their scores, feedback, threshold. Ties keep the order before feedback, then that of the vectors, then ids.
     """
-    found = with_feedback(scored(candidates(photos, query_vector, config), query, now, config), log, query)
+    found = with_feedback(scored(candidates(photos, query_vector, config, version), query, now, config), log, query)
     order = [F.desc("score"), F.desc("raw_score"), F.desc("v_score"), "id"]
     return kept(found, config, order).select("rank", "id", "path", "score", "v_score", "o_score", "m_score", "m_reasons", "penalty", "threshold")
 

@@ -1,93 +1,263 @@
-"""Exact similarity joins of vectors, in blocks."""
+"""Similarity joins of vectors: exact in blocks, or approximate by hashing to the axes of turned crosses."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.functions.vec import inner_with, is_vector
 from shoebox.session import cut
 
-MOST_BLOCKS = 512
+#: (ids, unit vectors, marks) of one block, sorted by id.
+Side = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _raw(vectors: DataFrame, mark: str | None = None) -> DataFrame:
+    """(id, dims, raw, mark): the vectors as bytes of their own type; what isn't a vector is left out."""
+    kind = vectors.schema["vector"].dataType.elementType.simpleString()
+    width = {"float": 4, "double": 8}[kind]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("vector")
+            size = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype("int32")
+            data = np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False)).view("uint8")
+            ends = np.append(0, np.cumsum(size.astype("int64") * width))
+            raw = pa.array([data[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size), raw, batch.column("mark")], names=["id", "dims", "raw", "mark"])
+
+    rows = vectors.where(F.col("id").isNotNull() & is_vector(F.col("vector")))
+    marks = F.lit(0).cast("bigint") if mark is None else F.col(mark).cast("bigint")
+    # written once, as sizes and blocks are both made of it
+    return cut(rows.select("id", "vector", marks.alias("mark")).mapInArrow(pack, "id bigint, dims int, raw binary, mark bigint")).withColumn("kind", F.lit(f"f{width}"))
+
+
+def _over_blocks(vectors: DataFrame, task: Callable[[Side, Side, bool], pd.DataFrame], schema: str, block: int, mark: str | None = None) -> DataFrame:
+    """``task`` on each pair of blocks of about ``block`` vectors of one length; of a block with itself too."""
+    rows = _raw(vectors, mark)
+    sizes = rows.groupBy("dims").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row per length
+    dealt = rows.join(sizes, "dims").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("id", "raw", "mark", "kind", "dims", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def side(frame: pd.DataFrame) -> Side:
+        frame = frame.sort_values("id")
+        kind = frame["kind"].iloc[0] if len(frame) else "f4"
+        x = np.frombuffer(b"".join(frame["raw"]), kind).reshape(len(frame), -1 if len(frame) else 0).astype("float64")
+        return frame["id"].to_numpy(), x / np.sqrt((x * x).sum(axis=1))[:, None], frame["mark"].to_numpy()
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
+        left = side(frame[frame["own"] == i])
+        return task(left, left if i == j else side(frame[frame["own"] == j]), i == j)
+
+    return dealt.groupBy("dims", "i", "j").applyInPandas(compare, schema)
+
+
+def _near(left: Side, right: Side, same: bool, least: float, strict: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of (place on the left, place on the right, cosine) of pairs over the limit; within a block each pair once."""
+    p, x, _ = left
+    q, y, _ = right
+    for lo in range(0, len(x) if len(y) else 0, 1024):
+        s = x[lo : lo + 1024] @ y.T
+        r, c = np.nonzero(s > least if strict else s >= least)
+        once = p[lo + r] < q[c] if same else p[lo + r] != q[c]
+        yield lo + r[once], c[once], s[r[once], c[once]]
 
 
-def _units(rows: pd.Series) -> np.ndarray:
-    x = np.stack(rows.to_numpy()).astype("float64")
-    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+def _frame(schema: str, *columns: list[np.ndarray]) -> pd.DataFrame:
+    kinds = [x.split() for x in schema.split(", ")]
+    numpy_kind = {"bigint": "int64", "double": "float64"}
+    return pd.DataFrame({name: (np.concatenate(c) if c else np.zeros(0)).astype(numpy_kind[kind]) for (name, kind), c in zip(kinds, columns)})
+
+
+PAIRS = "a bigint, b bigint, cosine double"
+
+
+def _pairs_of(least: float, strict: bool, forest: bool) -> Callable[[Side, Side, bool], pd.DataFrame]:
+    def pairs(left: Side, right: Side, same: bool) -> pd.DataFrame:
+        p, q, out, root = left[0], right[0], ([], [], []), {}
+
+        def top(v: int) -> int:
+            while root.setdefault(v, v) != v:
+                root[v] = root[root[v]]
+                v = root[v]
+            return v
+
+        for r, c, value in _near(left, right, same, least, strict):
+            a, b = np.minimum(p[r], q[c]), np.maximum(p[r], q[c])
+            if forest:
+                kept = []
+                for k, (u, v) in enumerate(zip(a.tolist(), b.tolist())):
+                    u, v = top(u), top(v)
+                    if u != v:
+                        root[v] = u
+                        kept.append(k)
+                a, b, value = a[kept], b[kept], value[kept]
+            for column, part in zip(out, (a, b, value)):
+                column.append(part)
+        return _frame(PAIRS, *out)
+
+    return pairs
 
 
 def cosine_pairs(vectors: DataFrame, least: float, strict: bool = False, forest: bool = False, block: int = 4096) -> DataFrame:
     """(a, b, cosine): all pairs a < b of ``vectors`` (id, vector) with a cosine of at least (``strict``: above) ``least``.
 
-    The vectors are dealt into blocks; each task compares two of them by one matrix product and gives only pairs over
-    the limit. With ``forest`` it gives only as many of them as connect what all would connect: for components. NULL and
-    zero vectors and vectors with NULL or NaN are similar to nothing; vectors of several lengths can't be compared.
+    The vectors are dealt into blocks of about ``block``; each task compares two of them by one matrix product and gives
+    only pairs over the limit. With ``forest`` it gives only as many of them as connect what all would connect: for
+    components. NULL and zero vectors and vectors with NULL or NaN are similar to nothing, nor are vectors of different
+    lengths. This is the exact join: n vectors are copied n / ``block`` times, whatever n; ``approximate_pairs`` copies
+    them a number of times that doesn't grow.
+    """
+    return _over_blocks(vectors, _pairs_of(least, strict, forest), PAIRS, block)
+
+
+NEAREST = "id bigint, other bigint, cosine double"
+
+
+def nearest(vectors: DataFrame, k: int, least: float, block: int = 4096) -> DataFrame:
+    """(id, other, cosine, rank): of each of ``vectors`` (id, vector) its ``k`` most similar with at least ``least``.
+
+    Ties go to the smaller id. Each pair of blocks gives at most ``k`` partners for each vector, so that what comes out
+    of it doesn't grow with how many are similar.
     """
-    rows = vectors.where(F.col("id").isNotNull() & is_vector(F.col("vector"))).select("id", "vector")
-    n = rows.count()
-    blocks = min(MOST_BLOCKS, max(1, -(-n // block)))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select("id", "vector", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def best_of(s: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # identical vectors must tie, in whatever order the products are added; ids ascend
+        s = np.round(s, 12)
+        last = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -2.0)
+        r, c = np.nonzero((s >= last[:, None]) & (s >= least - 1e-12))
+        order = np.lexsort((ids[c], -s[r, c], r))
+        r, c = r[order], c[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        return r[first], c[first]
+
+    def task(left: Side, right: Side, same: bool) -> pd.DataFrame:
+        out: tuple[list, list, list] = ([], [], [])
+        for (p, x, _), (q, y, _) in [(left, right)] if same else [(left, right), (right, left)]:
+            for lo in range(0, len(x) if len(y) else 0, 1024):
+                s = x[lo : lo + 1024] @ y.T
+                s[p[lo : lo + 1024, None] == q[None, :]] = -2
+                r, c = best_of(s, q)
+                for column, part in zip(out, (p[lo + r], q[c], s[r, c])):
+                    column.append(part)
+        return _frame(NEAREST, *out)
+
+    found = _over_blocks(vectors, task, NEAREST, block)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 12)), "other"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def neighbour_counts(vectors: DataFrame, least: float, block: int = 4096) -> DataFrame:
+    """(id, n): how many others each of ``vectors`` (id, vector) has with a cosine of at least ``least``; none gives no row."""
+
+    def task(left: Side, right: Side, same: bool) -> pd.DataFrame:
+        n, m = np.zeros(len(left[0]), "int64"), np.zeros(len(right[0]), "int64")
+        for r, c, _ in _near(left, right, same, least, False):
+            n += np.bincount(r, minlength=len(n))
+            m += np.bincount(c, minlength=len(m))
+        ids, counts = np.append(left[0], right[0]), np.append(n, m)
+        return pd.DataFrame({"id": ids[counts > 0], "n": counts[counts > 0]})
+
+    return _over_blocks(vectors, task, "id bigint, n bigint", block).groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def least_marks(vectors: DataFrame, least: float, block: int = 4096) -> DataFrame:
+    """(id, mark): for each of ``vectors`` (id, vector, mark) with a negative mark the smallest other mark near it."""
+
+    def task(left: Side, right: Side, same: bool) -> pd.DataFrame:
+        ids, marks = [], []
+        for r, c, _ in _near(left, right, same, least, False):
+            for at, of, mine, its in ((left, right, r, c), (right, left, c, r)):
+                asks = (at[2][mine] < 0) & (of[2][its] >= 0)
+                ids.append(at[0][mine[asks]])
+                marks.append(of[2][its[asks]])
+        found = _frame("id bigint, mark bigint", ids, marks)
+        return found.groupby("id", as_index=False)["mark"].min()
+
+    return _over_blocks(vectors, task, "id bigint, mark bigint", block, "mark").groupBy("id").agg(F.min("mark").alias("mark"))
+
+
+def _rotation(dims: int, seed: int) -> np.ndarray:
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))
+    return q * np.sign(np.diag(r))
+
+
+def _axes(x: np.ndarray, number: int, depth: int, seed: int) -> np.ndarray:
+    """The bucket of each row in one table: the nearest of the axes of ``depth`` turned crosses, each axis both ways."""
+    out = np.zeros(len(x), "int64")
+    for d in range(depth):
+        turned = x @ _rotation(x.shape[1], seed + 64 * number + d)
+        at = np.abs(turned).argmax(axis=1)
+        out = out * 2 * x.shape[1] + at * 2 + (turned[np.arange(len(x)), at] < 0)
+    return out
+
+
+def tables_for(least: float, dims: int, depth: int, recall: float, seed: int = 5) -> int:
+    """How many tables let a pair at the limit share a bucket with probability ``recall``: tried on random pairs."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((2000, dims))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    away = rng.standard_normal((2000, dims))
+    away -= (away * x).sum(axis=1)[:, None] * x
+    away /= np.sqrt((away * away).sum(axis=1))[:, None]
+    y = least * x + np.sqrt(max(0.0, 1 - least * least)) * away
+    share = max(1e-4, float((_axes(x, 0, depth, seed) == _axes(y, 0, depth, seed)).mean()))
+    return 1 if share >= recall else int(np.ceil(np.log(1 - recall) / np.log(1 - share)))
+
+
+def approximate_pairs(vectors: DataFrame, least: float, recall: float = 0.98, forest: bool = False, block: int = 4096, seed: int = 5) -> DataFrame:
+    """(a, b, cosine): as ``cosine_pairs``, but a pair just at the limit is found with probability ``recall`` only.
+
+    Vectors are hashed to the nearest axis of randomly turned crosses, in as many tables as the wanted recall takes, with
+    more crosses to a table the more vectors there are; only vectors that share a bucket are compared, exactly. Buckets
+    of more than ``block`` vectors are compared in pairs of blocks. Vectors of another length are compared apart.
+    """
+    rows = _raw(vectors)
+    # (dims, tables, depth): a row per length; buckets hold some thousands of vectors each
+    plan = []
+    for r in rows.groupBy("dims").agg(F.count("*").alias("n")).collect():
+        depth = max(1, int(np.ceil(np.log(max(r["n"] / block, 1)) / np.log(2 * r["dims"])))) if r["dims"] > 1 else 1
+        plan.append((r["dims"], tables_for(least, r["dims"], depth, recall, seed), depth))
+    shape = {d: (t, depth) for d, t, depth in plan}
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dims").to_numpy(zero_copy_only=False)
+            for d in np.unique(dims):
+                own = batch.take(pa.array(np.flatnonzero(dims == d)))
+                x = np.frombuffer(b"".join(own.column("raw").to_pylist()), own.column("kind")[0].as_py()).reshape(-1, d).astype("float64")
+                tables, depth = shape[int(d)]
+                for number in range(tables):
+                    columns = [own.column("id"), own.column("dims"), pa.array(np.full(len(x), number, "int32")), pa.array(_axes(x, number, depth, seed))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "dims", "number", "bucket"])
+
+    keys = cut(rows.select("id", "dims", "raw", "kind").mapInArrow(hashed, "id bigint, dims int, number int, bucket bigint"))
+    sizes = keys.groupBy("dims", "number", "bucket").agg(F.count("*").alias("size")).where("size > 1")
+    placed = keys.join(sizes, ["dims", "number", "bucket"]).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("size", "blocks", "other")
+    task = _pairs_of(least, False, forest)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id")
+        x = np.frombuffer(b"".join(frame["raw"]), frame["kind"].iloc[0]).reshape(len(frame), -1).astype("float64")
+        x /= np.sqrt((x * x).sum(axis=1))[:, None]
+        ids, own = frame["id"].to_numpy(), frame["own"].to_numpy()
         i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-        left = frame[frame["own"] == i].sort_values("id")
-        right = left if i == j else frame[frame["own"] == j].sort_values("id")
-        out = {"a": [], "b": [], "cosine": []}
-        if len(left) and len(right):
-            x, y, p, q = _units(left["vector"]), _units(right["vector"]), left["id"].to_numpy(), right["id"].to_numpy()
-            root: dict[int, int] = {}
-
-            def top(v: int) -> int:
-                while root.setdefault(v, v) != v:
-                    root[v] = root[root[v]]
-                    v = root[v]
-                return v
-
-            for lo in range(0, len(x), 1024):
-                s = x[lo : lo + 1024] @ y.T
-                r, c = np.nonzero(s > least if strict else s >= least)
-                a, b, value = p[lo + r], q[c], s[r, c]
-                once = a < b if i == j else a != b
-                a, b, value = np.minimum(a, b)[once], np.maximum(a, b)[once], value[once]
-                if forest:
-                    kept = []
-                    for k, (u, v) in enumerate(zip(a.tolist(), b.tolist())):
-                        u, v = top(u), top(v)
-                        if u != v:
-                            root[v] = u
-                            kept.append(k)
-                    a, b, value = a[kept], b[kept], value[kept]
-                out["a"].append(a)
-                out["b"].append(b)
-                out["cosine"].append(value)
-        return pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()}).astype({"a": "int64", "b": "int64", "cosine": "float64"})
-
-    return dealt.groupBy("i", "j").applyInPandas(compare, "a bigint, b bigint, cosine double")
-
-
-def nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """(id, other, cosine, rank): of each id its ``k`` best partners in ``pairs`` (a, b, cosine); ties go to the smaller id."""
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "cosine").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "cosine"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def lsh_pairs(vectors: DataFrame, least: float, tables: int = 8, length: float = 0.6, seed: int = 1) -> DataFrame:
-    """(a, b, cosine): pairs by random projections (pyspark.ml), approximate; for more vectors than all pairs allow."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    # written, so that the optimizer can't hand the functions below what the filter takes out
-    rows = cut(vectors.where(F.col("id").isNotNull() & is_vector(F.col("vector"))).select("id", F.col("vector").cast("array<double>").alias("vector")))
-    rows = rows.select("id", array_to_vector("vector").alias("raw"))
-    rows = Normalizer(inputCol="raw", outputCol="unit").transform(rows).drop("raw")
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=length, numHashTables=tables, seed=seed).fit(rows)
-    joined = model.approxSimilarityJoin(rows, rows, float(np.sqrt(2 - 2 * least)), distCol="d").where("datasetA.id < datasetB.id")
-    return joined.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), (1 - F.col("d") * F.col("d") / 2).alias("cosine"))
+        left = ids[own == i], x[own == i], own[own == i]
+        return task(left, left if i == j else (ids[own == j], x[own == j], own[own == j]), i == j)
+
+    found = placed.join(rows.select("id", "raw", "kind"), "id").groupBy("dims", "number", "bucket", "i", "j").applyInPandas(compare, PAIRS)
+    return found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
 def top_similar(vectors: DataFrame, query: list[float], k: int) -> DataFrame:

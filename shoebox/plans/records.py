@@ -122,12 +122,12 @@ def cache_keys(spark: SparkSession, d: str) -> DataFrame:
     return feedback(spark, d).where("query is not null").groupBy(cache_key(F.col("query")).alias("query_key")).agg(F.count("*").alias("n"))
 
 
-@query("select doc_id, len(e.embedding) dims from (select doc_id, md5(lower(trim(text, e' \\t\\n\\r'))) k from documents where length(text) < 300) d left join (select md5(lower(trim(any_value(text), e' \\t\\n\\r'))) k, max(embedding) embedding from (select text, embedding from documents join embeddings on vec_id = doc_id where length(text) < 300) group by md5(lower(trim(text, e' \\t\\n\\r')))) e using (k)")
+@query("select doc_id, len(e.embedding) dims from (select doc_id, md5(lower(trim(text, e' \\t\\n\\r'))) k from documents) d left join (select md5(lower(trim(any_value(text), e' \\t\\n\\r'))) k, max(embedding) embedding from (select text, embedding from documents join embeddings on vec_id = doc_id) group by md5(lower(trim(text, e' \\t\\n\\r')))) e using (k)")
 def cached_vectors(spark: SparkSession, d: str) -> DataFrame:
     """SRC11, SNK16: texts with the vectors that a cache has for their keys."""
-    short = table(spark, d, "documents").where("length(text) < 300").select("doc_id", F.col("text").alias("query"))
+    asked = table(spark, d, "documents").select("doc_id", F.col("text").alias("query"))
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return with_cached_vectors(short, cache_rows(short.join(vectors, "doc_id"))).select("doc_id", F.size("embedding").alias("dims")).withColumn("dims", F.when(F.col("dims") >= 0, F.col("dims")))
+    return with_cached_vectors(asked, cache_rows(asked.join(vectors, "doc_id"))).select("doc_id", F.size("embedding").alias("dims")).withColumn("dims", F.when(F.col("dims") >= 0, F.col("dims")))
 
 
 @query(f"select p.id, name, representative_face_id, count(f.id) face_count from {PE('name', 'representative_face_id')} p left join {FC('person_id')} f on f.person_id = p.id group by all")
@@ -337,7 +337,7 @@ def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return index.load().select("id", F.size("vector").alias("dims"), F.round(norm(F.col("vector")), 3).alias("length"))
 
 
-@query()
+@query(SQL["feedback_penalty"])
 def feedback_stream(spark: SparkSession, d: str) -> DataFrame:
     """The log as a stream: multipliers of results over all entries, each counted once."""
     import os
@@ -346,10 +346,9 @@ def feedback_stream(spark: SparkSession, d: str) -> DataFrame:
     from shoebox.streaming import feedback as stream
 
     use_checkpoint_dir(spark)
-    tag = os.urandom(6).hex()
-    folder = spark.sparkContext.getCheckpointDir()
     log = stream.read(spark, d, "search_feedback.parquet")
-    return stream.run_once(stream.running_multipliers(log), f"multipliers_{tag}", "complete", f"{folder}/stream-{tag}")
+    found = stream.multiplier_table(log, f"{spark.sparkContext.getCheckpointDir()}/stream-{os.urandom(6).hex()}")
+    return found.withColumn("multiplier", F.round("multiplier", 9))
 
 
 QUERIES = Q

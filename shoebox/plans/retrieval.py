@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +11,13 @@ from shoebox.functions import metadata as meta
 from shoebox.functions import text as words
 from shoebox.functions import visual
 from shoebox.functions.bits import bits_to_number, image_hash, median_bits
-from shoebox.functions.vec import cosine, unit_floored, unit_if_long, unit_padded
+from shoebox.functions.vec import cosine, is_vector, unit_floored, unit_if_long, unit_padded
 from shoebox.operators import dedup, people, search
 from shoebox.operators.graph import groups
 from shoebox.operators.library import mark_duplicates as marked
-from shoebox.operators.similarity import cosine_pairs, lsh_pairs, nearest, top_similar
+from shoebox.operators.similarity import approximate_pairs, cosine_pairs, nearest, top_similar
 from shoebox.plans.tables import FEEDBACK_SQL, NOW, faces, feedback, photos, sql_current
-from shoebox.sources.tables import table
+from shoebox.sources.tables import current, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -84,14 +85,16 @@ def near_vectors(spark: SparkSession, d: str) -> DataFrame:
 from (select a id, b other, cosine from ({_PAIRS}) where cosine >= 0.30 union all select b, a, cosine from ({_PAIRS}) where cosine >= 0.30)) where rank <= 15""")
 def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
     """JN8, WN4: each vector's 16 nearest, itself not shown, as far as their cosine is 0.30 and more."""
-    found = nearest(cosine_pairs(_vectors(spark, d), 0.30), SearchConfig().neighbours - 1)
+    found = nearest(_vectors(spark, d), SearchConfig().neighbours - 1, 0.30)
     return found.select("id", "other", F.round("cosine", 6).alias("cosine"), "rank")
 
 
-@query()
+@query(f"select count(*) pairs, true enough from ({_PAIRS}) where cosine >= 0.40")
 def lsh_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """OP18: approximate pairs by random projections."""
-    return lsh_pairs(_vectors(spark, d), 0.40)
+    """OP18: approximate pairs by hashing, with the share of all pairs that they are."""
+    found = approximate_pairs(_vectors(spark, d), 0.40)
+    every = cosine_pairs(_vectors(spark, d), 0.40).join(found.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
+    return every.agg(F.count("*").alias("pairs"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
 
 
 _GATE = "list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0))"
@@ -151,14 +154,14 @@ def phash_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 _GOOD = "embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0"
-_PHOTO_PAIRS = f"""(with v as (select id, embedding::double[] e, len(embedding) n from {P('embedding')} where {_GOOD} and len(embedding) = 512)
-select a.id a, b.id b from v a join v b on a.id < b.id where list_cosine_similarity(a.e, b.e) >= 0.90)"""
+_PHOTO_PAIRS = f"""(with v as (select id, embedding::double[] e, len(embedding) n from {P('embedding')} where {_GOOD})
+select a.id a, b.id b from v a join v b on a.id < b.id and a.n = b.n where list_cosine_similarity(a.e, b.e) >= 0.90)"""
 
 
 @query(f"with recursive {_components(_PHOTO_PAIRS)} select component, id from cc")
 def embedding_groups(spark: SparkSession, d: str) -> DataFrame:
     """OP4: groups of photos linked by a cosine of 0.90 and more."""
-    return dedup.vector_groups(_for_dedup(spark, d).where("size(embedding) = 512"))
+    return dedup.vector_groups(_for_dedup(spark, d))
 
 
 _BOTH = f"""with recursive {_components(_EDGES, 'h')}, s as (select * from {_PHOTO_PAIRS} where a not in (select id from h) and b not in (select id from h)), {_components('s', 'm')},
@@ -169,12 +172,7 @@ f as (select "type", component, id from h join k using (component) union all sel
 @query(f"{_BOTH} select * from f")
 def duplicates(spark: SparkSession, d: str) -> DataFrame:
     """OP5, JN12, SET5, SET6: groups by hash, then groups by vector of the rest."""
-    return dedup.find_duplicates(_for_dedup(spark, d).where("size(embedding) = 512 or phash is not null").transform(_same_length))
-
-
-def _same_length(rows: DataFrame) -> DataFrame:
-    """Vectors of another length can't be compared: their photos take part by hash alone."""
-    return rows.withColumn("embedding", F.when(F.size("embedding") == 512, F.col("embedding")).otherwise(F.array_repeat(F.lit(0.0).cast("float"), 512)))
+    return dedup.find_duplicates(_for_dedup(spark, d))
 
 
 _KEEP = f"(select component, arg_max(path, (coalesce(size_bytes, 0), path)) keep, count(*) size from g join {P('path', 'size_bytes')} using (id) group by 1)"
@@ -401,15 +399,19 @@ def adaptive_threshold(spark: SparkSession, d: str) -> DataFrame:
     return search.kept(best).select("id", "rank", F.round("score", 6).alias("score"), F.round("threshold", 6).alias("threshold"))
 
 
-_ASK = "receipt lantern 2016"
-_SEED = f"(select id, embedding from {P('embedding')} where {_GOOD} and len(embedding) = 512 order by id limit 1)"
+_ASK = "sunset over the harbour"
+#: In the place of a query's vector stands the mean of the vectors of some photos.
+_LIKE = "id <= 1000"
+_SEED = f"""(select list(m order by p) embedding from (select p, avg(x) m from (select unnest(embedding)::double x, generate_subscripts(embedding, 1) p
+from (select * from {P('embedding')} where {_LIKE}) where {_GOOD} and len(embedding) = 512) group by p))"""
 
 
 def _search(spark: SparkSession, d: str) -> DataFrame:
-    rows = photos(spark, d, "path", "embedding", "ocr_text", "metadata")
-    good = table(spark, d, "photos").where("size(embedding) = 512 and exists(embedding, x -> x <> 0) and not exists(embedding, x -> isnan(x))")
-    seed = good.orderBy("id").first()["embedding"]
-    return search.search(rows, feedback(spark, d), _ASK, list(seed), NOW)
+    rows = table(spark, d, "photos").select("id", "loaded_at", "path", "embedding", "ocr_text", "metadata")
+    like = current(table(spark, d, "photos").where(_LIKE), "embedding").where("size(embedding) = 512").where(is_vector(F.col("embedding")))
+    mean = np.mean([r["embedding"] for r in like.collect()], axis=0)
+    log = table(spark, d, "search_feedback").where(F.col("query") == _ASK).dropDuplicates(["id"])  # repeated rows are identical
+    return search.search(rows, log, _ASK, mean.tolist(), NOW, version="loaded_at")
 
 
 _VISION = f"list_inner_product(p.embedding::double[], s.embedding::double[]) / ((sqrt(list_inner_product(p.embedding::double[], p.embedding::double[])) + 1e-8::double) * (sqrt(list_inner_product(s.embedding::double[], s.embedding::double[])) + 1e-8::double))"
@@ -422,10 +424,10 @@ when neg > 0 then greatest(0.3::double, 1.0::double - 0.7::double * (neg::double
 @query(f"""with c as (select p.id, p.path, lower(p.ocr_text) b, p.metadata, {_VISION} v from {P('path', 'embedding', 'ocr_text', 'metadata')} p, {_SEED} s
 where p.embedding is not null and len(p.embedding) = 512 and len(list_filter(p.embedding, lambda x: isnan(x))) = 0 order by v desc, p.id limit 100),
 j as (select *, case when metadata is not null and json_valid(metadata) and coalesce(len(json_keys(metadata)), 0) > 0 then metadata end j from c),
-m as (select id, path, v, case when b is null or b = '' then 0.0 else {_OCR.format("['receipt', 'lantern', '2016']")} end o,
-{_points((f"year({_AT}) = 2016", 1.5), (f"contains({_LOC}, 'receipt') or contains({_LOC}, 'lantern') or contains({_LOC}, '2016')", 1.0))} m from j),
+m as (select id, path, v, case when b is null or b = '' then 0.0 else {_OCR.format("['sunset', 'harbour']")} end o,
+{_points((f"contains({_LOC}, 'sunset') or contains({_LOC}, 'over') or contains({_LOC}, 'harbour')", 1.0), (f"{_J('scene_type')} = 'outdoor' or coalesce({_J('scene_environment')}, '') = 'sky'", 1.0))} m from j),
 f as (select result_path path, {_MULTIPLIER} x from (select result_path, count(*) filter (feedback_type in ('POSITIVE', 'CLICKED')) pos, count(*) filter (feedback_type = 'NEGATIVE') neg from {FEEDBACK_SQL} where query = '{_ASK}' group by 1)),
-w as (select m.*, coalesce(x, 1.0) penalty, v * 0.1::double + o * (0.4::double + 0.5::double * 0.3::double) + m * (0.4::double + 0.5::double * 0.3::double) raw from m left join f using (path)),
+w as (select m.*, coalesce(x, 1.0) penalty, v * 0.8::double + o * 0.1::double + m * 0.1::double raw from m left join f using (path)),
 s as (select *, raw * penalty score, row_number() over (order by raw * penalty desc, raw desc, v desc, id) rank from w),
 l as (select *, max(score) over () top, lag(score) over (order by rank) last from s),
 g as (select arg_min(last - 0.05::double * (last - score), rank) gap from l where rank <= 30 and last - score >= 0.10::double * top),
@@ -434,7 +436,7 @@ select rank, id, path, round(score, 5) score, round(v, 5) v_score, round(o, 5) o
 coalesce(nullif(concat_ws(' + ', case when v > 0.2 then 'Visual' end, case when o > 0 then 'OCR Text' end, case when m > 0 then 'Metadata' end), ''), 'Visual') match_type
 from l, t where (score >= thr or rank = 1) and rank <= 50""")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """OP2, JN5, JN6, FN24: the whole search for a query, in the place of whose vector stands a photo's."""
+    """OP2, JN5, JN6, FN24: the whole search for a query, in the place of whose vector stands a mean of photos'."""
     found = _search(spark, d)
     kind = search.match_type(F.col("v_score"), F.col("o_score"), F.col("m_score"))
     return found.select("rank", "id", "path", *[F.round(c, 5).alias(c) for c in ("score", "v_score", "o_score", "m_score", "penalty")], kind.alias("match_type"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.operators.feedback import KINDS, multiplier
+from shoebox.operators.feedback import KINDS, counts, multiplier
 from shoebox.schemas import FEEDBACK
 
 
@@ -20,21 +20,34 @@ def distinct_entries(log: DataFrame, late: str = "30 days") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(["id"])
 
 
-def running_multipliers(log: DataFrame) -> DataFrame:
-    """(result_path, query, multiplier) over what has arrived so far; for the update and complete modes."""
-    named = [F.count_if(F.col("feedback_type") == k).alias(k.lower()) for k in KINDS]
-    counted = log.groupBy("result_path", "query").agg(*named)
-    return counted.select("result_path", "query", multiplier(F.col("positive") + F.col("clicked"), F.col("negative")).alias("multiplier"))
-
-
 def windowed_counts(log: DataFrame, size: str = "1 day", late: str = "7 days") -> DataFrame:
     """(start, feedback_type, n) per window of time; in append mode a window comes out when it can't change any more."""
     timed = log.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late)
     return timed.groupBy(F.window("timestamp", size), "feedback_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "feedback_type", "n")
 
 
-def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """What a stream gives for all that is there now, as a table in memory: for small results."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def multiplier_table(log: DataFrame, folder: str) -> DataFrame:
+    """(result_path, query, multiplier) over all entries of a stream that have arrived, each id once.
+
+    Entries whose id was seen before are dropped by the stream's state, however late they come. Each batch writes its
+    counts to a directory of its own below ``folder``, so that a batch that is run again overwrites what it wrote; the
+    counts are summed when the table is read. Calling again takes up what has arrived since.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        counts(batch, "result_path", "query").write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
+
+    once = log.where("id is not null").dropDuplicates(["id"])
+    query = once.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    names = [k.lower() for k in KINDS]
+    schema = f"result_path string, query string, {', '.join(f'{n} bigint' for n in names)}"
+    summed = log.sparkSession.read.schema(schema).parquet(f"{folder}/counts").groupBy("result_path", "query").agg(*[F.sum(n).alias(n) for n in names])
+    return summed.select("result_path", "query", multiplier(F.col("positive") + F.col("clicked"), F.col("negative")).alias("multiplier"))
+
+
+def run_once(stream: DataFrame, folder: str) -> DataFrame:
+    """What an append-mode stream gives for all that is there now, written to a table below ``folder``."""
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")

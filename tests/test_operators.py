@@ -10,7 +10,7 @@ from shoebox.operators import dedup, feedback, library, people, search
 from shoebox.operators.graph import components, groups, numbered
 from shoebox.operators.hamming import near_hash_pairs
 from shoebox.operators.orphans import find_orphans, number_key, orphans_by_period, text_key
-from shoebox.operators.similarity import cosine_pairs, lsh_pairs, top_similar
+from shoebox.operators.similarity import approximate_pairs, cosine_pairs, least_marks, nearest, neighbour_counts, top_similar
 from shoebox.sources.files import ResultCache, VectorIndex, batches, cache_rows, listing, save_snapshot, with_cached_vectors
 from shoebox.sources.tables import current
 
@@ -162,8 +162,34 @@ def test_cosine_pairs_equal_all_pairs(spark):
     assert union_find({(a, b) for a, b, _ in cosine_pairs(df, 0.6, forest=True, block=20).collect()}) == union_find(want)
     best = sorted(((-(u[i] @ u[0]), i) for i in range(90)))[:5]
     assert [r["id"] for r in top_similar(df, list(x[0]), 5).collect()] == [i for _, i in best]
-    assert {(a, b) for a, b, _ in lsh_pairs(df.where("id < 90"), 0.6, tables=20).collect()} <= want
     assert cosine_pairs(df.limit(0), 0.6).count() == 0
+    other = spark.createDataFrame([(i, [1.0] * (4 + i % 2)) for i in range(200, 204)], "id bigint, vector array<double>")
+    both = {(a, b) for a, b, _ in cosine_pairs(df.union(other), 0.6, block=20).collect()}
+    assert both == want | {(200, 202), (201, 203)}
+    top = {r["id"]: r["other"] for r in nearest(df.union(other), 1, 0.6, block=20).collect()}
+    assert {k: v for k, v in top.items() if k < 100} == {i: max((j for j in range(90) if j != i), key=lambda j: (u[i] @ u[j], -j)) for i in {x for p in want for x in p}}
+    assert top[200] == 202 and nearest(df.limit(0), 3, 0.6).count() == 0
+    n = {i: sum(i in p for p in want) for i in range(90)}
+    assert {(r["id"], r["n"]) for r in neighbour_counts(df, 0.6, block=20).collect()} == {(i, k) for i, k in n.items() if k}
+    marked = df.withColumn("mark", F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1))
+    near = {i: min((j for p in want for j in p if i in p and j != i and j % 3 == 0), default=None) for i in range(90) if i % 3}
+    assert dict(least_marks(marked, 0.6, block=20).collect()) == {i: j for i, j in near.items() if j is not None}
+
+
+def test_approximate_pairs_reach_their_recall(spark):
+    g = np.random.default_rng(3)
+    x = g.normal(size=(400, 128))
+    x[200:] = x[:200] + 0.45 * g.normal(size=(200, 128))
+    x[:40] = x[0] + 0.3 * g.normal(size=(40, 128))  # more alike than one block holds
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    data = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(900, None), (901, [0.0] * 128), (902, [1.0] * 3)]
+    df = spark.createDataFrame(data, "id bigint, vector array<float>")
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if u[i] @ u[j] >= 0.9}
+    found = {(a, b) for a, b, _ in approximate_pairs(df, 0.9, block=16).collect()}
+    assert len(want) > 700 and found <= want and len(found) >= 0.95 * len(want)
+    linked = {(a, b) for a, b, _ in approximate_pairs(df, 0.9, block=16, forest=True).collect()}
+    assert linked <= want and union_find(linked) == union_find(found)
+    assert approximate_pairs(df.limit(0), 0.9).count() == 0
 
 
 # --- duplicates ----------------------------------------------------------------------------------------------------
@@ -183,7 +209,7 @@ def test_duplicates(spark):
     assert rows(found) == [("exact", 1, 1), ("exact", 1, 2), ("exact", 1, 3), ("semantic", 4, 4), ("semantic", 4, 5)]
     assert rows(dedup.representatives(found, df)) == [(1, "/c", 2, 3), (4, "/e", 1, 2)]
     assert rows(dedup.marks(found, df)) == [("/a", "/c"), ("/b", "/c"), ("/d", "/e")]
-    assert rows(dedup.least_distance(found, dedup.hash_links(df))) == [(1, 0), (4, 999)]
+    assert rows(dedup.least_distance(found, dedup.hash_links(df))) == [(1, 0), (4, 0)]
     assert rows(dedup.summary(found)) == [(2, 3)]
     tie = dedup.representatives(spark.createDataFrame([(1, 1), (1, 2)], "component bigint, id bigint"), df)
     assert rows(tie) == [(1, "/b", 1, 2)]
@@ -221,6 +247,27 @@ def test_people(spark):
     assert rows(people.cluster(faces.limit(1))) == [(1, -1)] and rows(people.cluster(faces.limit(0))) == []
 
 
+def test_assign_by_blocks_and_density_of_three(spark):
+    g = np.random.default_rng(8)
+    x, c = g.normal(size=(60, 6)), g.normal(size=(23, 6))
+    c[7] = c[3]  # a tie
+    u, v = (m / np.linalg.norm(m, axis=1)[:, None] for m in (x, c))
+    faces = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(90, None), (91, [0.0] * 6), (92, [1.0] * 4)], "id bigint, embedding array<double>")
+    centres = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)] + [(None, v[0].tolist())], "person_id bigint, centroid array<double>")
+    want = {i: int((1 - u[i] @ v.T).round(9).argmin()) for i in range(60) if (1 - u[i] @ v.T).min() < 0.3}
+    for sent in (100, 5):
+        found = {r["id"]: r["person_id"] for r in people.assign(faces, centres, 0.3, sent=sent, block=25).collect()}
+        assert {i: p for i, p in found.items() if p is not None} == want and 90 not in found and found[92] is None
+    assert people.assign(faces, centres.limit(0), 0.3).where("person_id is not null").count() == 0
+    near = u @ u.T >= 1 - 0.2
+    core = near.sum(axis=1) >= 3
+    label = {r["id"]: r["label"] for r in people.density_clusters(faces.where("id < 60"), 0.2, 3).collect()}
+    assert {i for i in label if label[i] >= 0} == {i for i in range(60) if core[i] or (near[i] & core).any()}
+    for i in range(60):
+        if label[i] >= 0 and not core[i]:
+            assert label[i] == min(label[j] for j in range(60) if near[i, j] and core[j])
+
+
 # --- snapshots -----------------------------------------------------------------------------------------------------
 
 
