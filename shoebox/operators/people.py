@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shoebox.config import SearchConfig
 from shoebox.functions.vec import is_vector, unit_if_long
-from shoebox.operators.graph import groups, numbered
+from shoebox.operators.graph import components, groups, numbered
 from shoebox.operators.similarity import cosine_pairs, least_marks, neighbour_counts
 from shoebox.session import cut
 
@@ -132,8 +132,10 @@ def density_clusters(faces: DataFrame, eps: float = 0.45, least: int = 2) -> Dat
     """
     vectors = faces.select("id", F.col("embedding").alias("vector"))
     core = cut(neighbour_counts(vectors, 1 - eps).where(F.col("n") + 1 >= least).select("id"))
-    linked = cut(groups(cosine_pairs(vectors.join(core, "id", "left_semi"), 1 - eps, forest=True)).select(F.col("node").alias("id"), "label"))
-    found = linked
+    links = cosine_pairs(vectors.join(core, "id", "left_semi"), 1 - eps, forest=True).select("a", "b")
+    joined = cut(components(links.union(core.select(F.col("id").alias("a"), F.col("id").alias("b")))))  # a core alone is a cluster too
+    named = numbered(joined.select("component").distinct(), "component", "label")
+    linked = found = joined.join(named, "component").select(F.col("node").alias("id"), "label")
     if least > 2:  # else whoever has a neighbour is a core
         marked = vectors.join(linked, "id", "left").select("id", "vector", F.coalesce("label", F.lit(-1)).alias("mark"))
         found = linked.unionByName(least_marks(marked, 1 - eps).select("id", F.col("mark").alias("label")))
