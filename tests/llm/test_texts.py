@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shoebox.llm.contamination import find_leaks, words_of
 from shoebox.llm.mixing import letter_share, mix, source_key
-from shoebox.llm.scans import Lexicon, Page, decode, number_of, paragraphs, repair, repair_pages, words_to_count
+from shoebox.llm.scans import Lexicon, Page, Titles, decode, number_of, paragraphs, repair, repair_pages, words_to_count
 from shoebox.llm.splitting import plan, split_text, split_texts
 from shoebox.llm.tokens import encoder, token_count
 from tests.test_operators import rows
@@ -76,40 +76,81 @@ def lexicon(words="the old harbour lantern was carried by a gentle fisherman and
     return Lexicon({w: 60 for w in words} | {"lantem": 1}, {"short": 30, "well": 20, "long": 20})
 
 
+def words_of_stream(text, lex):
+    words, broken, misread = decode(text.split(), lex)
+    return " ".join(w.word for w in words), broken, misread
+
+
 def test_decoding():
     lex = lexicon()
     for seen, want, broken, misread in [
         ("the old lan- tern was carried", "the old lantern was carried", 1, 0), ("the 0ld harbour", "the old harbour", 0, 1), ("thc lantem was carriecl", "the lantern was carried", 0, 3),
         ("short- and long-range", "short- and long-range", 0, 0), ("fisher¬ rnan kept", "fisherman kept", 1, 1), ("every qui et lantern", "every quiet lantern", 0, 0), ("well-kn0wn harbour", "well-known harbour", 0, 1),
+        ("the old lan te rn was", "the old lantern was", 0, 0), ("theoldharbour was kept", "the old harbour was kept", 0, 0), ("har- bo- ur, near", "harbour, near", 2, 0),
+        ("theoldlan- tern", "the old lantern", 1, 0), ("theoldharb0ur.", "the old harbour.", 0, 1), ("the har bour", "the harbour", 0, 0), ("he kept", "he kept", 0, 0),
     ]:
-        words, b, m = decode(seen.split(), lex)
-        assert (" ".join(words), b, min(m, misread) if misread else m) == (want, broken, misread), seen
+        got, b, m = words_of_stream(seen, lex)
+        assert (got, b, min(m, misread) if misread else m) == (want, broken, misread), seen
     assert decode([], lex) == ([], 0, 0)
+    many = Lexicon({"international": 40, "the": 90}, {})
+    assert words_of_stream("the inter- nat- ional", many) == ("the international", 2, 0)
+
+
+def test_unknown_words_are_read_by_their_spelling():
+    lex = lexicon()
+    text, kinds, _, _ = repair("The ol$xd zqu1kx lantern was carried", lex)
+    assert kinds == ["chars"] and "$" not in text and "1" not in text and text.startswith("The olsxd zqu")
+    for plain in ("The 2nd lantern of 12mm and F1 was IMG_815", "The harbour Zzyq was kept"):
+        assert repair(plain, lex)[:2] == (plain, [])
+    assert Lexicon({w: 9 for w in ("cillilliil", "mill")}, {}).meant("c111111111") == ("cillilliil", 9)
 
 
 def test_page_edges():
-    p = Page("Sandy Baker Journal | [149]\nForest and harbour\n\nThe old lantern")
+    lex = lexicon()
+    known = lambda **x: Titles(lex, **x)
+    p = Page("Sandy Baker Journal | [149]\nForest and harbour\n\nThe old lantern", known())
     assert p.titles == ["Sandy Baker Journal"] and p.number == 149 and p.body.startswith("Forest and harbour")
-    assert Page("Page 12  The Old Lantern\n\nThe harbour was quiet").number == 12
+    assert Page("Page 12  The Old Lantern\n\nThe harbour was quiet", known()).number == 12
     assert Page("cxlii\nThe harbour was quiet").number == 142 and number_of("iiii") is None and number_of("xciv") == 94
-    assert Page("The harbour was quiet\nThe Old Lantern\np. 9").titles == ["The Old Lantern"]
-    plain = Page("The harbour was quiet and\nhe kept 12 lanterns near Lomor")
+    assert Page("The harbour was quiet\nThe Old Lantern\np. 9", known()).titles == ["The Old Lantern"]
+    plain = Page("The harbour was quiet and\nhe kept 12 lanterns near Lomor", known(runs=True))
     assert not plain.titles and plain.number is None
-    flat = Page("Every quiet harbour was kept by the old fisherman near Lomor. Marble Harbour Notes")
-    assert flat.titles == ["Marble Harbour Notes"] and flat.body.endswith("Lomor.")
-    assert Page("He kept the lantern 15").number is None and Page("He kept the lantern 15", 15, "end").number == 15
+    text = "Every quiet harbour was kept by the old fisherman near Lomor. Known Harbour Range"
+    flat = Page(text, known(runs=True))
+    assert flat.titles == ["Known Harbour Range"] and flat.body.endswith("Lomor.") and not Page(text, known()).titles
+    assert Page("He kept the lantern 15").number is None and Page("He kept the lantern 15", None, 15, "end").number == 15
     for text in ("", "\n\n", "7", "[3]", "|", "- -"):
-        Page(text)
+        Page(text, known(runs=True))
+
+
+def test_titles_need_more_than_their_shape():
+    lex = lexicon()
+    rest = "\nThe old lantern was carried by a gentle\nfisherman."
+    for few in (False, True):
+        for name in ("Maria Anna Schmidt", "Quiet Anna Schmidt"):
+            assert Page(name + rest, Titles(lex, few=few, runs=few)).body.startswith(name)
+    assert not Page("The Old Lantern" + rest, Titles(lex)).titles and Page("The Old Lantern" + rest, Titles(lex, few=True)).titles
+    for title in ("the quiet harbour journal", "A Short History of the Old Harbour Lantern", "Lomor"):
+        own = Titles(lex, agreed={title.lower(): 2}, runs=True)
+        assert Page(title + rest, own).titles == [title] and Page(f"{title} the old lantern was carried by a gentle fisherman.", own).titles == [title]
+    two = Page("The 0ld Lantern\nHe kept the har-\n\nThe Old Lantern\n\nbour near lomor.", Titles(lex, agreed={"the old lantern": 2}, runs=True))
+    chance = Titles(lex, agreed={"old harbour range": 3, "old harbour range the": 2}, runs=True)
+    assert Page("Old Harbour Range The lantern was carried by a gentle fisherman", chance).titles == ["Old Harbour Range"]
+    assert len(two.titles) == 2 and two.body == "He kept the har-\nbour near lomor."
 
 
 def test_repair_of_a_page():
-    text, kinds, number, title = repair("Marble Harbour Notes\nThe old lan-\ntern was carried by the fisher-\nman.\n\nHe kept it near thc harbour.\n12", lexicon())
-    assert text == "The old lantern was carried by the fisherman.\n\nHe kept it near the harbour." and number == 12 and title == "Marble Harbour Notes"
+    lex = lexicon()
+    page = "Gentle Harbour Range\nThe old lan-\ntern was carried by the fisher-\nman.\n\nHe kept it near thc harbour.\n12"
+    text, kinds, number, title = repair(page, lex, titles=Titles(lex, few=True))
+    assert text == "The old lantern was carried by the fisherman.\n\nHe kept it near the harbour." and number == 12 and title == "Gentle Harbour Range"
     assert kinds == ["chars", "header", "hyphen", "pageno"]
-    assert repair("The old lantern was carried", lexicon())[1] == []
-    assert "hyphen" in repair("The old lantern was car-", lexicon())[1] and repair("The old lantern was short-", lexicon())[1] == []
-    assert repair("", lexicon())[0] == "" and repair(" \n ", lexicon())[1] == []
+    assert repair("The old lantern was carried", lex)[1] == []
+    assert repair("The old lantern was car-", lex)[:2] == ("The old lantern was car", ["hyphen"]) and repair("The old lantern was short-", lex)[1] == []
+    assert repair("", lex)[0] == "" and repair(" \n ", lex)[1] == []
     assert paragraphs([]) == [] and paragraphs([("A.", 0.0)]) == ["A."]
+    # as many short sentences as make a paragraph of usual length stay together
+    assert len(paragraphs([("Ab c.", -2.0)] * 100)) == 1
 
 
 def test_lexicon_tells_misreadings():
@@ -117,17 +158,20 @@ def test_lexicon_tells_misreadings():
     lex = Lexicon(counts, {})
     assert "lantern" in lex and "lantcrn" not in lex and "rare" in lex and "once" not in lex
     assert lex.meant("lantcrn")[0] == "lantern" and lex.meant("harb0ur") == ("harbour", 1) and lex.meant("zzz") is None
-    a, b = words_to_count("The lan- tern was short- and long-range")
-    assert "lan" not in a and "tern" not in a and b["short"] == 1
+    a, b, c = words_to_count("The lan- tern was short- and long-range")
+    assert "lan" not in a and "tern" not in a and b["short"] == 1 and c == {"the": 1}
 
 
 def test_repair_pages(spark):
     line = "the old harbour lantern was carried by a gentle fisherman and he kept it near the harbour every quiet evening"
     data = [(i, f"s{i % 3}", i, f"{line} {line}", 0) for i in range(30)]
     data += [(100, "s", 1, line + ". 51", 0), (101, "s", 2, line + ". 52", 0), (102, "s", 3, line + " 7", 0), (103, "s", None, None, 0), (104, None, None, " ", 0), (105, "t", 1, "The 0ld harb-\nour", 0), (105, "t", 1, "The 0ld harb-\nour", 0)]
+    long_title = "a short known range of every old harbour lantern"
+    data += [(200 + i, "u", i, t + "\nThe " + line + ".", 0) for i, t in enumerate(["the quiet harbour journal", "the qu1et harbour journal", "Maria Anna Schmidt", long_title, long_title, "Jane Doe"])]
     df = spark.createDataFrame(data, "id bigint, scan string, place int, text string, kinds int")
     got = {r["id"]: r for r in repair_pages(df, df).collect()}
     assert got[100]["page_number"] == 51 and got[101]["kinds"] == ["pageno"] and got[102]["kinds"] == []
+    assert got[200]["title"] == got[201]["title"] == "the quiet harbour journal" and got[202]["title"] is None and got[203]["title"] == "a short known range of every old harbour lantern"
     assert got[103]["text"] is None and got[103]["kinds"] == [] and got[104]["text"] == "" and got[105]["kinds"] == ["chars", "hyphen"]
     assert repair_pages(df, df).count() == len(data) and repair_pages(df.limit(0), df.limit(0)).count() == 0
     long = spark.createDataFrame([(1, "s", 1, (line + "\n") * 3000)], "id bigint, scan string, place int, text string")
