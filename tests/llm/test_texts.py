@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shoebox.llm.contamination import find_leaks, words_of
+from shoebox.llm.contamination import build_index, find_leaks, search_index, words_of
 from shoebox.llm.mixing import letter_share, mix, source_key
 from shoebox.llm.scans import Lexicon, Page, Titles, decode, number_of, paragraphs, repair, repair_pages, words_to_count
 from shoebox.llm.splitting import plan, split_text, split_texts
@@ -19,7 +19,7 @@ WORDS = [a + b for a in "ba ce di fo gu ka le mi no pu ra se ti vo".split() for
 
 
 def brute_leaks(docs, items, run=16, one_in=8):
-    known = {w for _, t in items for w in words_of(t)}
+    known = {w for _, t in items if len(words_of(t)) >= run for w in words_of(t)}
     out = set()
     for d, text in docs:
         w = words_of(text, known)
@@ -47,12 +47,20 @@ def test_leaks_equal_brute_force(spark):
             part[r.randrange(len(part))] = r.choice(WORDS)
         if r.random() < 0.2:
             r.shuffle(part)
-        docs.append((d, " ".join([r.choice(WORDS) for _ in range(r.randrange(20))] + part + [r.choice(WORDS) for _ in range(r.randrange(20))])))
+        text = " ".join([r.choice(WORDS) for _ in range(r.randrange(20))] + part + [r.choice(WORDS) for _ in range(r.randrange(20))])
+        if d % 2:  # lines that end anywhere, also within words
+            text = "".join(c + (r.choice(["\n", "-\n", "- "]) if r.random() < 0.06 and c.isalpha() else "") for c in text)
+        docs.append((d, text))
     a = spark.createDataFrame([*docs, (900, None), (901, " "), (None, docs[0][1])], "doc_id bigint, text string").withColumn("item_id", F.lit(1))
     b = spark.createDataFrame([*items, (99, None), (98, ""), (97, "too few words")], "item_id bigint, text string")
     got = find_leaks(a, b)
     want = brute_leaks(docs, items)
     assert {(x["doc_id"], x["item_id"]) for x in got.collect()} == want and len(want) > 10
+    index = build_index(a.coalesce(1), words_per_block=150).persist()
+    assert index.count() > 5
+    assert {(x["doc_id"], x["item_id"]) for x in search_index(index, b).collect()} == want
+    later = search_index(index, b.where("item_id in (3, 4)"))
+    assert {(x["doc_id"], x["item_id"]) for x in later.collect()} == brute_leaks(docs, [x for x in items if x[0] in (3, 4)])
     assert rows(find_leaks(a.limit(0), b)) == [] and rows(find_leaks(a, b.limit(0))) == []
 
 
@@ -62,7 +70,7 @@ def test_forms_of_one_passage(spark):
     forms = [
         plain.upper(), plain.replace(" ", "\n"), plain.replace("lantern", "lan-\ntern"), plain.replace("between", "be\ntween"), "> " + plain.replace("passed", "passed\n> "),
         plain.replace("harbour", "**harbour**").replace("kept", "<i>kept</i>"), plain.replace("naïve", "naïve"), plain.replace("sandy", "sand- y"), "- " + plain.replace(",", " — \n- "),
-        plain.replace("lantern", "lan­tern"),
+        plain.replace("lantern", "lan­tern"), plain.replace("kept", f'<a href="{"x/" * 500}">kept</a>'),
     ]
     docs = spark.createDataFrame([(i, f"So it goes. {t} And more") for i, t in enumerate(forms)], "doc_id bigint, text string")
     got = find_leaks(docs, spark.createDataFrame([(7, item)], "item_id bigint, text string")).collect()
