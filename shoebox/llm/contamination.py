@@ -70,6 +70,10 @@ def words_of(text: str, known: dict[str, int] | set[str] | None = None) -> list[
 #: Stand behind the first part of what may be a broken word: without and with a hyphen.
 _OPEN, _MARKED = "\x01", "\x02"
 _PARTS = re.compile(rf"{WORD}|[{_OPEN}{_MARKED}]")
+#: The places of ``_BREAK``, each found by its first sign: what is no line end, hyphen or blank is passed over at once.
+_BLANKS_AT_END = re.compile(r"[ \t\r]+\n")
+_HYPHENS = re.compile(r"[-‐‑¬=–—](?<=[^\W_].)(?:\n[\s>*•#|+-]*|(?<![–—])[ \t]+)(?=[^\W_])")
+_LINES = re.compile(r"\n(?<=[^\W_].)[\s>*•#|+-]*(?=[^\W_])", re.S)
 
 
 def parts_of(text: str) -> list[str]:
@@ -77,8 +81,8 @@ def parts_of(text: str) -> list[str]:
     plain = _plain_text(text)
     if not _may_break(plain):
         return _WORDS.findall(plain)
-    plain = plain.replace(_OPEN, " ").replace(_MARKED, " ")
-    return _PARTS.findall(_BREAK.sub(lambda m: f"{m.group(1)} {_MARKED if m.group(2) or m.group(3) else _OPEN} ", plain))
+    plain = _BLANKS_AT_END.sub("\n", plain.replace(_OPEN, " ").replace(_MARKED, " "))
+    return _PARTS.findall(_LINES.sub(f" {_OPEN} ", _HYPHENS.sub(f" {_MARKED} ", plain)))
 
 
 def _hash(word: str) -> int:
