@@ -3,12 +3,16 @@
 Members of a group claim values for fields; each claim comes from a source. Starting from equal trust, the claims vote
 with their source's reliability, each field of each group takes the value with the highest support, and a source's
 reliability becomes the share of its votes that went to such values; this alternates until no reliability moves by more
-than ``tolerance``. Claims are summed by group, field, value and source before anything else, so that a group that holds
+than ``tolerance``. Reliability follows from the chosen values alone, so that values chosen a second time end it too: if
+they were chosen the round before, nothing can change any more; if earlier, the rounds since go round in a circle, and
+each source is given its mean reliability in them. Claims are summed by group, field, value and source before anything else, so that a group that holds
 a third of all records costs no more than its distinct values.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +47,7 @@ def claims_of(members: DataFrame, fields: dict[str, Column]) -> DataFrame:
     return long.select("group_id", "id", "source", "recency", "x.field", "x.value").where("value is not null")
 
 
-def survivors(claims: DataFrame, largest: tuple[str, ...] = (), tolerance: float = 1e-3, most_rounds: int = 12, prior: float = 2.0) -> DataFrame:
+def survivors(claims: DataFrame, largest: tuple[str, ...] = (), tolerance: float = 1e-3, most_rounds: int = 1000, prior: float = 2.0) -> DataFrame:
     """(group_id, field, value, id, claimants, agreeing, support): the surviving value of each field of each group.
 
     claims: group_id, id, source, recency (DOUBLE), field, value (STRING); other columns are ignored. id is the member
@@ -51,7 +55,9 @@ def survivors(claims: DataFrame, largest: tuple[str, ...] = (), tolerance: float
     the members that say anything about the field, agreeing those that claim the survivor. Fields in ``largest`` take
     the largest number instead of a vote. Equal support is decided by the latest recency, then by the value as text.
     NULL groups, members, fields and values claim nothing; a NULL source is a source of its own; repeated rows of a
-    member count once; no claims give no rows. ``prior`` is the number of half-right votes each source starts with.
+    member count once; no claims give no rows. ``prior`` is the number of half-right votes each source starts with. It
+    runs until it has converged; should it not have after ``most_rounds``, it fails. For sizes of copies of one file the
+    largest is what is wanted (the others were cut or made smaller), however few have it: such fields aren't voted on.
     """
     given = claims.where("group_id is not null and id is not null and field is not null and value is not null")
     recency = F.coalesce(F.col("recency").cast("double"), F.lit(float("-inf")))
@@ -77,13 +83,26 @@ def survivors(claims: DataFrame, largest: tuple[str, ...] = (), tolerance: float
         top = F.max(F.struct("support", "giver.recency", "value", "giver.less", "agreeing")).alias("top")
         return by_value.groupBy("group_id", "field").agg(top, F.sum("agreeing").alias("claimants"))
 
-    for _ in range(most_rounds if not contested.isEmpty() else 0):
-        chosen = best(contested, trust).select("group_id", "field", F.col("top.value").alias("value"))
+    seen: dict[tuple, int] = {}
+    states: list[DataFrame] = []
+    while not contested.isEmpty() and len(states) <= most_rounds:
+        if len(states) == most_rounds:
+            raise RuntimeError(f"trust still changes after {most_rounds} rounds")
+        chosen = cut(best(contested, trust).select("group_id", "field", F.col("top.value").alias("value")))
+        mark = tuple(chosen.agg(F.count("*"), F.sum(F.xxhash64("group_id", "field", "value").cast("decimal(38,0)"))).first())
+        if mark in seen:
+            circle = states[seen[mark] :]
+            if len(circle) > 1:
+                every = functools.reduce(DataFrame.unionByName, [s.select("source", "trust") for s in circle])
+                trust = cut(every.groupBy("source").agg(F.avg("trust").alias("trust")))
+            break
+        seen[mark] = len(states)
         won = contested.join(chosen, ["group_id", "field", "value"]).groupBy("source").agg(F.sum("n").alias("more"))
         share = (F.col("won") + F.coalesce("more", F.lit(0)) + prior / 2) / (F.col("all") + prior)
         moved = cut(trust.join(won, "source", "left").select("source", "all", "won", share.alias("trust"), F.abs(share - F.col("trust")).alias("step")))
         largest_step = moved.agg(F.max("step")).first()[0] or 0.0
         trust = moved
+        states.append(trust)
         if largest_step <= tolerance:
             break
     out = best(marked, trust).select(
