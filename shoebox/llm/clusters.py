@@ -1,18 +1,21 @@
 """Grouping records into similarity clusters: k-means with parallel oversampled seeding, in two levels.
 
-Vectors become hashed, weighted features of length one. The first level finds up to ``most_cells`` centroids by
-k-means||: in a few passes each record is drawn as a seed with a probability in proportion to its distance from the
-seeds so far, the seeds are weighted by what lies nearest to them and clustered themselves, and Lloyd's step follows.
-Each record goes to the cell of its nearest centroid. Within a cell, in blocks of bounded size, k-means is run again
-with oversampled seeding until every record is near a seed, which gives fragments: a fragment is known by its size and
-the mean of its vectors, and the product of two means is the average similarity of their members. Fragments meet in the
-cells of the centroids nearest to them and are merged where that average is high enough; a record on its own joins
-only the fragments it is most similar to. So a cluster that lies across cells, or fills many blocks, is still found.
+The first level works on hashed weighted features: each element of a vector is weighted by how little it spreads over
+all records, and added with a sign to one of fewer places. It finds up to ``most_cells`` centroids by k-means||: in a
+few passes each record is drawn as a seed with a probability in proportion to its distance from the seeds so far, the
+seeds are weighted by what lies nearest to them and clustered themselves, and Lloyd's step follows until the cost stands
+still. Each record goes to the cell of its nearest centroid; centroids only say who meets whom. Within a cell, in blocks
+of bounded size, k-means is run again on the vectors themselves, with oversampled seeding until every record is near a
+seed, which gives fragments: a fragment is known by its size and the mean of its vectors, and the product of two means is
+the average similarity of their members. Fragments meet in the cells of the centroids nearest to them, again in blocks,
+and are merged where that average is high enough, until none moves; a record on its own joins only the fragments it is
+most similar to. So a cluster that lies across cells, or fills many blocks, is still found. All sums are taken in whole
+numbers, so that the result doesn't depend on how the records lie in partitions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,27 +24,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.llm.components import group_pairs
-from shoebox.llm.vectors import packed, slices, sums_by, unit_rows, unpacked
+from shoebox.llm.vectors import packed, slices, sums_by, totals, unit_rows, unpacked
 from shoebox.session import cut
 
 
 def hashed_features(matrix: np.ndarray, width: int, weights: np.ndarray | None = None, seed: int = 5) -> np.ndarray:
-    """Rows of features hashed to ``width`` places with signs, times their weights, scaled to length one.
+    """Rows of features times their weights, hashed to ``width`` places with signs, scaled to length one.
 
-    The hash is an odd multiplier modulo a power of two, so that up to ``width`` features collide nowhere.
+    The hash is an odd multiplier modulo ``width``, so that a power of two is filled evenly.
     """
     n = matrix.shape[1]
     rng = np.random.default_rng(seed)
-    odd = int(rng.integers(0, width // 2)) * 2 + 1
-    signs = rng.choice([-1.0, 1.0], n).astype("float32")
-    values = matrix * (signs if weights is None else signs * weights.astype("float32"))
-    place = (np.arange(n) * odd) % width
-    if n <= width:
-        out = np.zeros((len(matrix), width), "float32")
-        out[:, place] = values
-    else:
-        out = np.zeros((len(matrix), width), "float32")
-        np.add.at(out.T, place, values.T)
+    odd = int(rng.integers(0, max(1, width // 2))) * 2 + 1
+    to = np.zeros((n, width), "float32")
+    to[np.arange(n), (np.arange(n) * odd) % width] = rng.choice([-1.0, 1.0], n)
+    out = matrix.astype("float32") @ (to if weights is None else to * np.asarray(weights, "float32")[:, None])
     length = np.sqrt((out * out).sum(axis=1))[:, None]
     return out / np.where(length > 0, length, 1)
 
@@ -61,16 +58,15 @@ def restored(column) -> np.ndarray:
     return raw[:, 4:].view("int8").astype("float32") * np.ascontiguousarray(raw[:, :4]).view("float32")
 
 
-def features_of(vectors: DataFrame, dims: int, width: int, weights: list[float] | None = None) -> DataFrame:
-    """(id, unit): the hashed features, as bytes, of the latest version of each id that is a vector."""
-    scale = None if weights is None else np.asarray(weights, "float32")
+def units_of(vectors: DataFrame, dims: int) -> DataFrame:
+    """(id, unit): the latest version of each id that is a vector, scaled to length one, as bytes."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows, matrix = unit_rows(batch.column("vector"), dims)
             at = np.full(batch.num_rows, -1)
             at[rows] = np.arange(len(rows))
-            units = packed(quantized(hashed_features(matrix, width, scale))).take(pa.array(at, pa.int64(), mask=at < 0))
+            units = packed(quantized(matrix)).take(pa.array(at, pa.int64(), mask=at < 0))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("version"), units], names=["id", "version", "unit"])
 
     rows = vectors.where("id is not null").select("id", F.coalesce("version", F.lit(-(2**62))).alias("version"), "vector")
@@ -79,6 +75,35 @@ def features_of(vectors: DataFrame, dims: int, width: int, weights: list[float]
     return named.groupBy("id").agg(newest).where("x.unit is not null").select("id", "x.unit")
 
 
+def spread_weights(points: DataFrame, dims: int) -> tuple[int, np.ndarray]:
+    """(n, weights): the number of points (id, unit), and for each element one over its standard deviation, at most ten times the median."""
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total, square = 0, np.zeros(dims, "int64"), np.zeros(dims, "int64")
+        for frame in frames:
+            x = fixed(restored(frame["unit"])) if len(frame) else np.zeros((0, dims), "int64")
+            n += len(x)
+            total += x.sum(axis=0)
+            square += (x * x >> SHIFT).sum(axis=0)
+        yield pd.DataFrame({"n": [n], "total": [total.tobytes()], "square": [square.tobytes()]})
+
+    n, total, square = 0, np.zeros(dims, "int64"), np.zeros(dims, "int64")
+    for r in points.select("unit").mapInPandas(add, "n bigint, total binary, square binary").toLocalIterator():  # a row per partition
+        n, total, square = n + r["n"], total + np.frombuffer(r["total"], "int64"), square + np.frombuffer(r["square"], "int64")
+    one = float(1 << SHIFT)
+    spread = np.sqrt(np.maximum(square / one / max(n, 1) - (total / one / max(n, 1)) ** 2, 0))
+    usual = float(np.median(spread)) or 1.0
+    return n, (usual / np.maximum(spread, usual / 10)).astype("float32")
+
+
+#: Sums are taken in steps of 2**-SHIFT: in whole numbers their order doesn't matter.
+SHIFT = 20
+
+
+def fixed(x: np.ndarray) -> np.ndarray:
+    return np.rint(x.astype("float64") * (1 << SHIFT)).astype("int64")
+
+
 def _nearest(x: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The greatest product of each row with a seed, and which seed that is."""
     best, which = np.full(len(x), -1.0, "float32"), np.zeros(len(x), "int64")
@@ -94,41 +119,43 @@ def _nearest(x: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, which
 
 
-def oversampled_centroids(points: DataFrame, k: int, rounds: int = 3, lloyd: int = 1, seed: int = 3) -> np.ndarray:
-    """At most ``k`` centroids of length one of ``points`` (id, unit), by k-means|| over all of them."""
+def oversampled_centroids(points: DataFrame, k: int, n: int, features: Callable, rounds: int = 3, settled: float = 1e-3, most_steps: int = 100, seed: int = 3) -> np.ndarray:
+    """At most ``k`` centroids of length one of the ``n`` ``points`` (id, unit), by k-means|| over all of them.
+
+    ``features`` makes rows of the units. Lloyd's step is repeated until the cost falls by less than the share
+    ``settled``; should it not after ``most_steps``, this fails.
+    """
     spark = points.sparkSession
-    first = points.orderBy(F.xxhash64("id", F.lit(seed))).limit(1).collect()
+    first = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(1).collect()
     if not first:
         return np.zeros((0, 1), "float32")
-    seeds, spread = restored([first[0]["unit"]]), None
+    seeds = features([first[0]["unit"]])
 
     def draw_with(seeds_: np.ndarray, rate: float, number: int):
         shared = spark.sparkContext.broadcast(seeds_)
 
         def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = 0.0
+            total = 0
             for frame in frames:
-                x = restored(frame["unit"])
-                distance = np.maximum(0, 1 - _nearest(x, shared.value)[0])
-                total += float(distance.sum())
+                distance = np.maximum(0, 1 - _nearest(features(frame["unit"]), shared.value)[0]) if len(frame) else np.zeros(0)
+                total += int(fixed(distance).sum())
                 chosen = frame["u"].to_numpy() < np.minimum(1, rate * distance)
-                yield pd.DataFrame({"unit": frame["unit"][chosen], "distance": 0.0})
-            yield pd.DataFrame({"unit": [None], "distance": [total]})
+                yield pd.DataFrame({"id": frame["id"][chosen], "unit": frame["unit"][chosen], "distance": 0})
+            yield pd.DataFrame({"id": [-1], "unit": [None], "distance": [total]})
 
         u = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed + number)), 11).cast("double") / float(2**53)).alias("u")
-        return points.select("unit", u).mapInPandas(draw, "unit binary, distance double")
+        return points.select("id", "unit", u).mapInPandas(draw, "id bigint, unit binary, distance bigint")
 
-    n = points.count()
     spread = float(n)
     for number in range(rounds):
         rows = draw_with(seeds, 2.0 * k / rounds / max(spread, 1e-9), number + 1).collect()  # about 2k / rounds of them
-        found = [r["unit"] for r in rows if r["unit"] is not None]
-        spread = sum(r["distance"] for r in rows)
+        found = sorted((r["id"], r["unit"]) for r in rows if r["unit"] is not None)
+        spread = sum(r["distance"] for r in rows) / (1 << SHIFT)
         if found:
-            seeds = np.concatenate([seeds, restored(found)])
-    weight = _sums(points, seeds)[0]
+            seeds = np.concatenate([seeds, features([u for _, u in found])])
+    weight = _sums(points, seeds, features)[0]
     seeds = seeds[weight > 0]
-    weight = weight[weight > 0]
+    weight = weight[weight > 0].astype("float64")
     rng = np.random.default_rng(seed)
     # the weighted seeds, at most some times k, are clustered here
     start = [int(weight.argmax())]
@@ -143,11 +170,16 @@ def oversampled_centroids(points: DataFrame, k: int, rounds: int = 3, lloyd: int
     for _ in range(5):
         which = _nearest(seeds, centroids)[1]
         sums = np.zeros_like(centroids)
-        np.add.at(sums, which, seeds * weight[:, None])
+        np.add.at(sums, which, seeds * weight[:, None].astype("float32"))
         centroids = _units(sums, centroids)
-    for _ in range(lloyd):
-        centroids = _units(_sums(points, centroids)[1], centroids)
-    return centroids
+    cost = None
+    for _ in range(most_steps):
+        counts, sums, now = _sums(points, centroids, features)
+        centroids = _units(sums, centroids)
+        if cost is not None and cost - now <= settled * cost:
+            return centroids
+        cost = now
+    raise RuntimeError(f"the cost still falls after {most_steps} steps")
 
 
 def _units(sums: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
@@ -155,32 +187,37 @@ def _units(sums: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
     return np.where(length > 1e-9, sums / np.where(length > 1e-9, length, 1), otherwise).astype("float32")
 
 
-def _sums(points: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many points are nearest to each centroid, and their sum: as many rows as centroids and partitions."""
+def _sums(points: DataFrame, centroids: np.ndarray, features: Callable) -> tuple[np.ndarray, np.ndarray, float]:
+    """How many points are nearest to each centroid, their sum, and the sum of all distances: a row per centroid and task."""
     shared = points.sparkSession.sparkContext.broadcast(centroids)
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, sums = np.zeros(len(shared.value)), np.zeros(shared.value.shape, "float32")
+        counts, sums, cost = np.zeros(len(shared.value), "int64"), np.zeros(shared.value.shape, "int64"), 0
         for frame in frames:
-            x = restored(frame["unit"])
-            which = _nearest(x, shared.value)[1]
+            if not len(frame):
+                continue
+            x = features(frame["unit"])
+            best, which = _nearest(x, shared.value)
+            cost += int(fixed(np.maximum(0, 1 - best)).sum())
             counts += np.bincount(which, minlength=len(counts))
             order = np.argsort(which, kind="stable")
             cells, first = np.unique(which[order], return_index=True)
-            if len(cells):
-                sums[cells] += np.add.reduceat(x[order], first)
+            sums[cells] += np.add.reduceat(fixed(x[order]), first)
         used = np.flatnonzero(counts)
-        yield pd.DataFrame({"c": used, "n": counts[used], "s": [sums[c].tobytes() for c in used]})
+        yield pd.DataFrame({"c": np.append(used, -1), "n": np.append(counts[used], cost), "s": [*(sums[c].tobytes() for c in used), b""]})
 
-    counts, sums = np.zeros(len(centroids)), np.zeros(centroids.shape, "float32")
+    counts, sums, cost = np.zeros(len(centroids), "int64"), np.zeros(centroids.shape, "int64"), 0
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(s, "float32") for s in frame["s"]], axis=0, dtype="float64").astype("float32")
+        total = np.sum([np.frombuffer(s, "int64") for s in frame["s"]], axis=0)
         return pd.DataFrame({"c": [frame["c"].iloc[0]], "n": [frame["n"].sum()], "s": [total.tobytes()]})
 
-    for r in points.select("unit").mapInPandas(add, "c bigint, n double, s binary").groupBy("c").applyInPandas(merge, "c bigint, n double, s binary").collect():
-        counts[r["c"]], sums[r["c"]] = r["n"], np.frombuffer(r["s"], "float32")
-    return counts, sums
+    for r in points.select("unit").mapInPandas(add, "c bigint, n bigint, s binary").groupBy("c").applyInPandas(merge, "c bigint, n bigint, s binary").collect():
+        if r["c"] < 0:
+            cost = r["n"] / (1 << SHIFT)
+        else:
+            counts[r["c"]], sums[r["c"]] = r["n"], np.frombuffer(r["s"], "int64")
+    return counts, sums / float(1 << SHIFT), cost
 
 
 def local_clusters(x: np.ndarray, sure: float, rng: np.random.Generator, lloyd: int = 2) -> np.ndarray:
@@ -256,26 +293,34 @@ def _merged(means: np.ndarray, size: np.ndarray, least: float) -> np.ndarray:
 PARTS = "fragment bigint, size bigint, first bigint, mean binary, members array<bigint>"
 
 
-def similarity_clusters(vectors: DataFrame, least: float = 0.5, sure: float = 0.58, dims: int = 512, cell_rows: int = 3000, block_rows: int = 4000, most_cells: int = 4096, meet: int = 4, most_merges: int = 4, weights: list[float] | None = None, seed: int = 3) -> DataFrame:
+def similarity_clusters(vectors: DataFrame, least: float = 0.5, sure: float | None = None, dims: int = 512, cell_rows: int = 3000, block_rows: int = 4000, most_cells: int = 4096, meet: int = 4, most_merges: int = 60, width: int | None = None, seed: int = 3) -> DataFrame:
     """(cluster_id, id): all members of clusters of two or more, cluster_id being the smallest id among them.
 
     vectors: id, version, vector; other columns are ignored. The latest version of an id counts (a NULL version is the
     oldest); what isn't a vector of ``dims`` finite elements that aren't all zero is in no cluster; lengths don't
-    matter; copies are similar like others. Records join where their average similarity is at least ``sure``; a record
-    on its own joins its most similar fragment from ``least`` on. Records similar to no other are in no cluster. No
-    vectors give no rows.
+    matter; copies are similar like others. Records join where their average similarity is at least ``sure`` (``least``
+    and 0.08); a record on its own joins its most similar fragment from ``least`` on. Records similar to no other are in
+    no cluster. No vectors give no rows.
+
+    Who meets whom is decided on features hashed to ``width`` places (half of the elements): fragments meet in the
+    ``meet`` cells nearest to them, and later in twice as many. That isn't certain to bring all together that belong
+    together; with ``meet`` as large as ``most_cells`` all meet all. Merging goes on until nothing moves; should it not
+    end after ``most_merges`` rounds, this fails.
     """
     spark = vectors.sparkSession
-    width = 1 << (dims - 1).bit_length()
-    points = cut(features_of(vectors, dims, width, weights))
-    n = points.count()
+    sure = least + 0.08 if sure is None else sure
+    width = width or 1 << max(0, (dims // 2 - 1).bit_length())
+    points = cut(units_of(vectors, dims))
+    n, weights = spread_weights(points, dims)
+    features = lambda units: hashed_features(restored(units), width, weights)
     k = int(min(most_cells, max(1, -(-n // cell_rows))))
-    centroids = oversampled_centroids(points, k, seed=seed) if k > 1 else np.zeros((1, width), "float32")
+    centroids = oversampled_centroids(points, k, n, features, seed=seed) if k > 1 else np.zeros((1, width), "float32")
+    k = len(centroids)
     shared = spark.sparkContext.broadcast(centroids)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(cell=_nearest(restored(frame["unit"]), shared.value)[1] if len(frame) else [])
+            yield frame.assign(cell=_nearest(features(frame["unit"]), shared.value)[1] if len(frame) else [])
 
     placed = points.mapInPandas(place, "id bigint, unit binary, cell bigint") if k > 1 else points.withColumn("cell", F.lit(0).cast("bigint"))
     blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))  # a row per cell
@@ -297,7 +342,7 @@ def similarity_clusters(vectors: DataFrame, least: float = 0.5, sure: float = 0.
 
     def invite(frames: Iterator[pd.DataFrame], m: int) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            s = restored(frame["mean"]) @ shared.value.T if len(frame) else np.zeros((0, k))
+            s = features(frame["mean"]) @ shared.value.T if len(frame) else np.zeros((0, k))
             cells = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < k else np.tile(np.arange(k), (len(frame), 1))
             row = np.repeat(np.arange(len(frame)), m)
             yield pd.DataFrame({"cell": cells.ravel(), "fragment": frame["fragment"].to_numpy()[row], "size": frame["size"].to_numpy()[row], "mean": frame["mean"].to_numpy()[row]})
@@ -317,7 +362,7 @@ def similarity_clusters(vectors: DataFrame, least: float = 0.5, sure: float = 0.
             near = top >= least
             a.append(ids[rows[near]])
             b.append(ids[best[near]])
-            value.append(top[near])
+            value.append(np.round(top[near], 5))
         if len(big) > 1:
             label = _merged(x[big], size[big].astype("float64"), sure)
             order = np.argsort(label, kind="stable")
@@ -331,9 +376,14 @@ def similarity_clusters(vectors: DataFrame, least: float = 0.5, sure: float = 0.
         return pd.DataFrame({"a": cat(a, "int64"), "b": cat(b, "int64"), "s": cat(value, "float64")})
 
     def merged(pieces: DataFrame, m: int) -> DataFrame:
-        """(fragment, set) of the pieces that join others they meet in ``m`` cells."""
+        """(fragment, set) of the pieces that join others they meet in ``m`` cells, in pairs of blocks where a cell has many."""
         guests = pieces.mapInPandas(lambda frames: invite(frames, m), "cell bigint, fragment bigint, size bigint, mean binary")
-        met = cut(guests.groupBy("cell").applyInPandas(join, "a bigint, b bigint, s double"))
+        crowds = pieces.select("fragment", "mean").mapInPandas(lambda frames: (f[["cell"]] for f in invite((g.assign(size=0) for g in frames), m)), "cell bigint")
+        crowds = crowds.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))  # a row per cell
+        guests = guests.join(F.broadcast(crowds), "cell").withColumn("own", F.pmod(F.xxhash64("fragment"), F.col("parts")).cast("int"))
+        guests = guests.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        guests = guests.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("parts", "own", "other")
+        met = cut(guests.groupBy("cell", "i", "j").applyInPandas(join, "a bigint, b bigint, s double"))
         offers = met.where("s <= 1.5").withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).where("rank = 1")
         return group_pairs(met.where("s > 1.5").select("a", "b").union(offers.select("a", "b"))).withColumnsRenamed({"node": "fragment", "group_id": "set"})
 
@@ -341,16 +391,18 @@ def similarity_clusters(vectors: DataFrame, least: float = 0.5, sure: float = 0.
         for batch in batches:
             if batch.num_rows:
                 n = batch.column("n").to_numpy(zero_copy_only=False)
-                means = unpacked(batch.column("sum").to_pylist(), "float32") / n[:, None]
+                means = totals(batch.column("sum").to_pylist()) / n[:, None]
                 yield pa.RecordBatch.from_arrays([batch.column("set"), batch.column("n"), packed(quantized(means))], names=["fragment", "size", "mean"])
 
     # records that were alone may make sets that are similar to others: merge until nothing moves
     owned, pieces = fragments.select("fragment", "size", "mean", F.col("fragment").alias("set")), fragments.select("fragment", "size", "mean")
-    for number in range(most_merges):
+    for number in range(most_merges + 1):
         # later there are fewer pieces, which can look further
         groups = cut(merged(pieces, min(k, meet if number == 0 else 2 * meet)))
         if groups.isEmpty():
             break
+        if number == most_merges:
+            raise RuntimeError(f"clusters still merge after {most_merges} rounds")
         renamed = groups.select(F.col("fragment").alias("set"), F.col("set").alias("into"))
         owned = cut(owned.join(renamed, "set", "left").select("fragment", "size", "mean", F.coalesce("into", "set").alias("set")))
         pieces = cut(sums_by(owned, "set", "size", "mean", restored).mapInArrow(average, "fragment bigint, size bigint, mean binary"))
@@ -362,7 +414,7 @@ def similarity_clusters(vectors: DataFrame, least: float = 0.5, sure: float = 0.
     @F.pandas_udf("double")
     def rest(mean: pd.Series, size: pd.Series, sums: pd.Series, n: pd.Series) -> pd.Series:
         x, own, all_ = restored(mean), size.to_numpy("float64"), n.to_numpy("float64")
-        s = unpacked(sums, "float32")
+        s = totals(sums)
         product, square = (x * s).sum(axis=1), (x * x).sum(axis=1)
         return pd.Series((product - own * square) / np.maximum(all_ - own, 1))
 
@@ -374,18 +426,17 @@ def similarity_clusters(vectors: DataFrame, least: float = 0.5, sure: float = 0.
     return final.join(sized, "own").select("cluster_id", "id")
 
 
-def typical_members(vectors: DataFrame, clusters: DataFrame, top: int = 3, dims: int = 512, weights: list[float] | None = None) -> DataFrame:
+def typical_members(vectors: DataFrame, clusters: DataFrame, top: int = 3, dims: int = 512) -> DataFrame:
     """(cluster_id, size, typical): each cluster's size and the ids of its ``top`` members nearest to its centroid.
 
     Ties go to the smaller id. Members without a vector are counted, but aren't typical.
     """
-    width = 1 << (dims - 1).bit_length()
-    points = clusters.join(features_of(vectors, dims, width, weights), "id").withColumns({"salt": F.pmod(F.xxhash64("id"), F.lit(32)), "one": F.lit(1)})
+    points = clusters.join(units_of(vectors, dims), "id").withColumns({"salt": F.pmod(F.xxhash64("id"), F.lit(32)), "one": F.lit(1)})
     sums = sums_by(points, "cluster_id", "one", "unit", restored).drop("n")
 
     @F.pandas_udf("double")
     def near(unit: pd.Series, sums: pd.Series) -> pd.Series:
-        return pd.Series((restored(unit) * unpacked(sums, "float32")).sum(axis=1))
+        return pd.Series((restored(unit) * totals(sums)).sum(axis=1))
 
     scored = points.select("cluster_id", "id", "salt", "unit").join(sums, "cluster_id").select("cluster_id", "id", "salt", F.round(near("unit", "sum"), 4).alias("s"))
     for key in (["cluster_id", "salt"], ["cluster_id"]):  # the best of each salt first

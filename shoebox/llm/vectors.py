@@ -86,10 +86,38 @@ def cosine(a: str, b: str) -> Column:
     return of(F.col(a), F.col(b))
 
 
+#: Sums are kept as whole numbers of steps of 1 / STEPS, four bytes each where that is enough; a first number says if not.
+STEPS = 1 << 16
+
+
+def _narrow(rows: np.ndarray) -> pa.Array:
+    fits = np.abs(rows).max(axis=1, initial=0) < 2**31
+    if fits.all():
+        return packed(np.concatenate([np.zeros((len(rows), 1), "int32"), rows.astype("int32")], axis=1))
+    heads = np.int32(0).tobytes(), np.int32(1).tobytes()
+    return pa.array([heads[0] + r.astype("int32").tobytes() if f else heads[1] + r.tobytes() for r, f in zip(rows, fits)], pa.binary())
+
+
+def _wide(column) -> np.ndarray:
+    values = list(column)
+    if not values:
+        return np.zeros((0, 1), "int64")
+    if len({len(v) for v in values}) == 1:
+        raw = np.frombuffer(b"".join(values), "int32").reshape(len(values), -1)
+        if not raw[:, 0].any():
+            return raw[:, 1:].astype("int64")
+    return np.stack([np.frombuffer(v, "int64" if v[0] else "int32", offset=4).astype("int64") for v in values])
+
+
+def totals(column) -> np.ndarray:
+    """The sums of ``sums_by`` as numbers."""
+    return (_wide(column) / float(STEPS)).astype("float32")
+
+
 def sums_by(df: DataFrame, key: str, size: str, vector: str, restore) -> DataFrame:
-    """(key, n, sum): of each key the sum of ``size`` and of ``size`` times the vector, as float32 bytes.
+    """(key, n, sum): of each key the sum of ``size`` and of ``size`` times the vector, as bytes for ``totals``.
 
-    Each batch is summed before the shuffle, so that a key that a third of all rows have is moved as a few rows.
+    Sums are taken in whole steps, so that they don't depend on their order. Each batch is summed before the shuffle, so that a key that a third of all rows have is moved as a few rows.
     """
 
     def reduced(keys: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,13 +127,13 @@ def sums_by(df: DataFrame, key: str, size: str, vector: str, restore) -> DataFra
         return keys[first], np.add.reduceat(sizes, first), np.add.reduceat(rows, first)
 
     def batch_of(keys: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sizes), packed(rows.astype("float32"))], names=[key, "n", "sum"])
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sizes), _narrow(rows)], names=[key, "n", "sum"])
 
     def early(batches):
         for batch in batches:
             if batch.num_rows:
                 sizes = batch.column(size).to_numpy(zero_copy_only=False).astype("int64")
-                rows = restore(batch.column(vector).to_pylist()) * sizes[:, None]
+                rows = np.rint(restore(batch.column(vector).to_pylist()).astype("float64") * sizes[:, None] * STEPS).astype("int64")
                 yield batch_of(*reduced(batch.column(key).to_numpy(zero_copy_only=False), sizes, rows))
 
     def late(batches):
@@ -114,7 +142,7 @@ def sums_by(df: DataFrame, key: str, size: str, vector: str, restore) -> DataFra
             if not batch.num_rows:
                 continue
             keys, sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in (key, "n"))
-            rows = unpacked(batch.column("sum").to_pylist(), "float32").astype("float64")
+            rows = _wide(batch.column("sum").to_pylist())
             if kept is not None:
                 keys, sizes, rows = np.append(kept[0], keys), np.append(kept[1], sizes), np.concatenate([kept[2], rows])
             keys, sizes, rows = reduced(keys, sizes, rows)

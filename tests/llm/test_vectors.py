@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from shoebox.llm.clusters import similarity_clusters, typical_members
+from shoebox.llm.clusters import hashed_features, similarity_clusters, typical_members
 from shoebox.llm.neighbours import similar_pairs
 from tests.test_operators import rows
 
@@ -125,3 +125,31 @@ def test_cluster_corner_cases(spark):
     assert told["size"] == 5 and len(told["typical"]) == 2
     assert rows(similarity_clusters(df.limit(0))) == []
     assert rows(typical_members(df, got.limit(0))) == []
+
+
+def test_clusters_do_not_depend_on_partitions(spark):
+    """Cells, blocks within cells, and pairs of blocks of fragments, over rows dealt in two ways."""
+    sizes = [90] + [6] * 25 + [2] * 20 + [1] * 30
+    x, _ = planted(16, len(sizes), sizes, noise=0.6)
+    df = frame(spark, x)
+    small = {"cell_rows": 60, "block_rows": 25, "width": 64}
+    a = rows(similarity_clusters(df.repartition(3), **small))
+    b = rows(similarity_clusters(df.repartition(7, "id"), **small))
+    assert a == b and len(a) > 200
+
+
+def test_hashed_features_keep_similarity_about():
+    g = np.random.default_rng(1)
+    x = g.normal(size=(300, 512))
+    y = x + 0.3 * g.normal(size=x.shape)
+    f, h = (hashed_features(m, 128, np.ones(512)) for m in (x, y))
+    assert f.shape == (300, 128) and np.allclose((f * f).sum(axis=1), 1, atol=1e-5)
+    assert (f * h).sum(axis=1).mean() == pytest.approx(1 / np.sqrt(1.09), abs=0.02)
+    light = hashed_features(x, 128, np.r_[np.zeros(500), np.ones(12)])
+    assert np.allclose(light, hashed_features(np.c_[np.zeros((300, 500)), x[:, 500:]], 128, np.ones(512)), atol=1e-5)
+
+
+def test_merging_fails_loudly(spark):
+    x, _ = planted(17, 1, 40, noise=0.5)
+    with pytest.raises(RuntimeError):
+        similarity_clusters(frame(spark, x), block_rows=8, most_merges=0)
