@@ -81,7 +81,7 @@ def spread_weights(points: DataFrame, dims: int) -> tuple[int, np.ndarray]:
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, total, square = 0, np.zeros(dims, "int64"), np.zeros(dims, "int64")
         for frame in frames:
-            x = fixed(restored(frame["unit"])) if len(frame) else np.zeros((0, dims), "int64")
+            x = fixed(restored(frame["unit"])).astype("int64") if len(frame) else np.zeros((0, dims), "int64")
             n += len(x)
             total += x.sum(axis=0)
             square += (x * x >> SHIFT).sum(axis=0)
@@ -97,11 +97,12 @@ def spread_weights(points: DataFrame, dims: int) -> tuple[int, np.ndarray]:
 
 
 #: Sums are taken in steps of 2**-SHIFT: in whole numbers their order doesn't matter.
-SHIFT = 20
+SHIFT = 16
 
 
 def fixed(x: np.ndarray) -> np.ndarray:
-    return np.rint(x.astype("float64") * (1 << SHIFT)).astype("int64")
+    """Numbers between -1 and 1 as steps."""
+    return np.rint(x * np.float32(1 << SHIFT)).astype("int32")
 
 
 def _nearest(x: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +120,7 @@ def _nearest(x: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, which
 
 
-def oversampled_centroids(points: DataFrame, k: int, n: int, features: Callable, rounds: int = 3, settled: float = 1e-3, most_steps: int = 100, seed: int = 3) -> np.ndarray:
+def oversampled_centroids(points: DataFrame, k: int, n: int, features: Callable, rounds: int = 3, settled: float = 5e-3, most_steps: int = 100, seed: int = 3) -> np.ndarray:
     """At most ``k`` centroids of length one of the ``n`` ``points`` (id, unit), by k-means|| over all of them.
 
     ``features`` makes rows of the units. Lloyd's step is repeated until the cost falls by less than the share
@@ -138,7 +139,7 @@ def oversampled_centroids(points: DataFrame, k: int, n: int, features: Callable,
             total = 0
             for frame in frames:
                 distance = np.maximum(0, 1 - _nearest(features(frame["unit"]), shared.value)[0]) if len(frame) else np.zeros(0)
-                total += int(fixed(distance).sum())
+                total += int(fixed(distance).sum(dtype="int64"))
                 chosen = frame["u"].to_numpy() < np.minimum(1, rate * distance)
                 yield pd.DataFrame({"id": frame["id"][chosen], "unit": frame["unit"][chosen], "distance": 0})
             yield pd.DataFrame({"id": [-1], "unit": [None], "distance": [total]})
@@ -198,11 +199,11 @@ def _sums(points: DataFrame, centroids: np.ndarray, features: Callable) -> tuple
                 continue
             x = features(frame["unit"])
             best, which = _nearest(x, shared.value)
-            cost += int(fixed(np.maximum(0, 1 - best)).sum())
+            cost += int(fixed(np.maximum(0, 1 - best)).sum(dtype="int64"))
             counts += np.bincount(which, minlength=len(counts))
             order = np.argsort(which, kind="stable")
             cells, first = np.unique(which[order], return_index=True)
-            sums[cells] += np.add.reduceat(fixed(x[order]), first)
+            sums[cells] += np.add.reduceat(fixed(x[order]), first, dtype="int64")
         used = np.flatnonzero(counts)
         yield pd.DataFrame({"c": np.append(used, -1), "n": np.append(counts[used], cost), "s": [*(sums[c].tobytes() for c in used), b""]})
 
@@ -220,10 +221,16 @@ def _sums(points: DataFrame, centroids: np.ndarray, features: Callable) -> tuple
     return counts, sums / float(1 << SHIFT), cost
 
 
+def _sums_of(x: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The sum of the rows of each label; labels count from 0 without gaps."""
+    order = np.argsort(label, kind="stable")
+    return np.add.reduceat(x[order], np.unique(label[order], return_index=True)[1])
+
+
 def local_clusters(x: np.ndarray, sure: float, rng: np.random.Generator, lloyd: int = 2) -> np.ndarray:
     """Labels of rows of length one: k-means with oversampled seeding until each row is near a seed."""
     n = len(x)
-    best, seeds = np.full(n, -1.0, "float32"), np.zeros(0, int)
+    best, label, count = np.full(n, -1.0, "float32"), np.zeros(n, "int64"), 0
     while True:
         open_ = np.flatnonzero(best < sure)
         if not len(open_):
@@ -231,21 +238,17 @@ def local_clusters(x: np.ndarray, sure: float, rng: np.random.Generator, lloyd:
         mass = 1 - best[open_].astype("float64")
         take = min(len(open_), max(8, len(open_) // 4))
         new = rng.choice(open_, take, replace=False, p=mass / mass.sum())
-        seeds = np.concatenate([seeds, new])
-        best = np.maximum(best, _nearest(x, x[new])[0])
-        best[new] = 1.0
-    label = _nearest(x, x[seeds])[1]
+        value, which = _nearest(x, x[new])
+        value[new], which[new] = 2.0, np.arange(take)  # a seed is its own, whatever its copies are
+        nearer = value > best
+        best[nearer], label[nearer] = value[nearer], which[nearer] + count
+        count += take
     for _ in range(lloyd):
         used, label = np.unique(label, return_inverse=True)
         size = np.bincount(label)
-        means = np.zeros((len(used), x.shape[1]), "float32")
-        np.add.at(means, label, x)
-        means /= size[:, None]
-        label = _merged(means, size, sure)[label]
+        label = _merged(_sums_of(x, label) / size[:, None], size, sure)[label]
         count = label.max() + 1
-        size = np.bincount(label, minlength=count)
-        sums = np.zeros((count, x.shape[1]), "float32")
-        np.add.at(sums, label, x)
+        size, sums = np.bincount(label, minlength=count), _sums_of(x, label)
         # average similarity to the rest of one's own cluster, and to all of any other
         own, means = label, sums / size[:, None]
         mine = np.where(size[own] > 1, ((x * sums[own]).sum(axis=1) - 1) / np.maximum(size[own] - 1, 1), -1)
@@ -263,16 +266,16 @@ def local_clusters(x: np.ndarray, sure: float, rng: np.random.Generator, lloyd:
 def _merged(means: np.ndarray, size: np.ndarray, least: float) -> np.ndarray:
     """Labels of clusters after merging, most similar first, all whose average similarity stays at least ``least``.
 
-    Averages of averages follow from the products of the means alone, so these are multiplied once.
+    Averages of averages follow from the products of the means alone, so these are multiplied once. An average is never
+    over what it is made of: a cluster that is similar to none is done with, and only the others are looked at again.
     """
-    n, size = len(means), size.astype("float64")
-    label, g = np.arange(n), means @ means.T
-    while n > 1:
+    size, into, ids, g = size.astype("float64"), np.arange(len(means)), np.arange(len(means)), means @ means.T
+    while len(ids) > 1:
         np.fill_diagonal(g, -1)
         mate = g.argmax(axis=1)
-        value = g[np.arange(n), mate]
+        near = g[np.arange(len(ids)), mate] >= least
         # pairs that are each other's nearest merge together
-        pair = np.flatnonzero((mate[mate] == np.arange(n)) & (np.arange(n) < mate) & (value >= least))
+        pair = np.flatnonzero((mate[mate] == np.arange(len(ids))) & (np.arange(len(ids)) < mate) & near)
         if not len(pair):
             break
         other = mate[pair]
@@ -280,14 +283,13 @@ def _merged(means: np.ndarray, size: np.ndarray, least: float) -> np.ndarray:
         g[pair] += share[:, None] * (g[other] - g[pair])
         g[:, pair] += share * (g[:, other] - g[:, pair])
         size[pair] += size[other]
-        into = np.arange(n)
-        into[other] = pair
-        rest = np.setdiff1d(np.arange(n), other)
-        place = np.zeros(n, int)
-        place[rest] = np.arange(len(rest))
-        label, size, n = place[into[label]], size[rest], len(rest)
-        g = g[np.ix_(rest, rest)]
-    return label
+        into[ids[other]] = ids[pair]
+        near[other] = False
+        rest = np.flatnonzero(near)
+        ids, size, g = ids[rest], size[rest], g[np.ix_(rest, rest)]
+    while (into[into] != into).any():
+        into = into[into]
+    return np.unique(into, return_inverse=True)[1]
 
 
 PARTS = "fragment bigint, size bigint, first bigint, mean binary, members array<bigint>"
