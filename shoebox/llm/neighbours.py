@@ -2,10 +2,11 @@
 
 The distance of two vectors is the angle between them. There are several sets of orthogonal vantage points, each point
 with its opposite; every vector lies, for each set, in the shard of the vantage point nearest to it. Near vectors mostly
-share the nearest point of a set, and of several sets next to always one. Each shard holds a vantage-point tree over its
-vectors, described by their angles to fixed vantage points, one byte each: level l splits at the median angle to point
-l, and by the triangle inequality a branch can be left out if it lies further than the search radius from the asking
-vector's angle. ``relax`` divides that radius: in many dimensions the angles of near vectors differ by far less than the
+share the nearest point of a set, and of several sets next to always one. The more vectors there are, the more points
+in a row name a shard, and the more sets there are to make up for it, so that shards don't grow. Each shard holds a
+vantage-point tree over its vectors, described by their angles to fixed vantage points, one byte each: each node splits
+at the median angle to the point from which its own vectors spread most, and by the triangle inequality a branch can be
+left out if it lies further than the search radius from the asking vector's angle. ``relax`` divides that radius: in many dimensions the angles of near vectors differ by far less than the
 inequality allows, so that 6 loses next to nothing. With 1 there is one shard, pruned without loss: exact search. The
 vectors themselves aren't moved until a pair is to be checked.
 """
@@ -25,28 +26,57 @@ from shoebox.session import cut
 
 #: An angle is stored as its difference from a right angle in steps of STEP, cut off at 127 steps.
 STEP = 0.002
-SKETCH = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("same", pa.binary()), ("sketch", pa.binary()), ("shards", pa.list_(pa.int32()))])
+SKETCH = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("same", pa.binary()), ("sketch", pa.binary()), ("shards", pa.list_(pa.int64()))])
 #: A pair, or (without id_b) a row of a task that has many candidates there.
-FOUND = pa.schema([("id_a", pa.int64()), ("id_b", pa.int64()), *((c, pa.int32()) for c in ("shard", "i", "j", "own"))])
+FOUND = pa.schema([("id_a", pa.int64()), ("id_b", pa.int64()), ("shard", pa.int64()), *((c, pa.int32()) for c in ("i", "j", "own"))])
 
 
-def sketches(vectors: DataFrame, dims: int, points: int, sets: int, seed: int) -> DataFrame:
+def _width(dims: int) -> int:
+    return min(256, dims)
+
+
+def plan(n: int, least: float, dims: int, sets: int, shard_rows: int, seed: int) -> tuple[int, int]:
+    """(depth, sets): how many points name a shard of ``n`` vectors, and how many sets of shards then lose no more pairs.
+
+    That is told from how often random pairs at the limit share a point. Of all depths the one is taken at which a vector
+    meets fewest others: in ``sets`` shards, each in as many blocks of ``shard_rows`` as it fills.
+    """
+    rng, width = np.random.default_rng(seed), _width(dims)
+    x, away = rng.standard_normal((2, 4000, dims))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    away -= (away * x).sum(axis=1)[:, None] * x
+    away /= np.sqrt((away * away).sum(axis=1))[:, None]
+    y = least * x + np.sqrt(max(0.0, 1 - least * least)) * away
+    a, b = (_axis(m @ directions(dims, width, seed)) for m in (x, y))
+    share = min(0.99, max(1e-3, float((a == b).mean())))
+    need = lambda d: int(np.ceil(sets * np.log(1 - share) / np.log(1 - share**d)))
+    return min(((d, need(d)) for d in range(1, 4)), key=lambda x: x[1] * max(1.0, n / ((2 * width) ** x[0] * shard_rows)))
+
+
+def _axis(near: np.ndarray) -> np.ndarray:
+    at = np.abs(near).argmax(axis=1)
+    return at * 2 + (near[np.arange(len(at)), at] < 0)
+
+
+def sketches(vectors: DataFrame, dims: int, points: int, sets: int, seed: int, depth: int = 1) -> DataFrame:
     """(id, version, same, sketch, shards) of the latest version of each id of ``vectors`` (id, version BIGINT, vector) that is a vector.
 
-    ``same`` is a hash of the vector, equal for copies; ``shards`` has the nearest vantage point of each set.
+    ``same`` is a hash of the vector, equal for copies; ``shards`` has the nearest vantage points of each set, ``depth``
+    of them in a row.
     """
-    width = min(256, dims)
+    width = _width(dims)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows, matrix = unit_rows(batch.column("vector"), dims)
-            nearest = np.zeros((len(rows), sets), "int32")
+            nearest = np.zeros((len(rows), sets), "int64")
             for number in range(sets):
-                near = matrix @ directions(dims, width, seed + number)
-                if number == 0:
-                    codes = np.clip(np.rint(np.arcsin(np.clip(near[:, :points], -1, 1)) / STEP), -127, 127).astype("int8")
-                at = np.abs(near).argmax(axis=1)
-                nearest[:, number] = (number * width + at) * 2 + (near[np.arange(len(at)), at] < 0)
+                nearest[:, number] = number
+                for level in range(depth):
+                    near = matrix @ directions(dims, width, seed + number * depth + level)
+                    if number == level == 0:
+                        codes = np.clip(np.rint(np.arcsin(np.clip(near[:, :points], -1, 1)) / STEP), -127, 127).astype("int8")
+                    nearest[:, number] = nearest[:, number] * 2 * width + _axis(near)
             at = np.full(batch.num_rows, -1)
             at[rows] = np.arange(len(rows))
             take = pa.array(at, pa.int64(), mask=at < 0)
@@ -55,22 +85,21 @@ def sketches(vectors: DataFrame, dims: int, points: int, sets: int, seed: int) -
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("version"), hashes.take(take), packed(codes).take(take), shards.take(take)], schema=SKETCH)
 
     rows = vectors.where("id is not null").select("id", F.coalesce("version", F.lit(-(2**62))).alias("version"), "vector")
-    named = rows.mapInArrow(describe, "id bigint, version bigint, same binary, sketch binary, shards array<int>")
+    named = rows.mapInArrow(describe, "id bigint, version bigint, same binary, sketch binary, shards array<bigint>")
     newest = F.max(F.struct("version", F.col("sketch").isNotNull().alias("is"), "same", "sketch", "shards")).alias("x")
     return named.groupBy("id").agg(newest).where("x.sketch is not null").select("id", "x.version", "x.same", "x.sketch", "x.shards")
 
 
 def _search(codes: np.ndarray, first: int, slack: int, joint: float, leaf: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, dense): pairs of rows of ``codes`` whose sketches are near, by a tree, and which rows have more than ``most`` of them.
+    """(a, b, dense): pairs of rows of ``codes`` whose sketches are near, by a vantage-point tree, and which rows have more than ``most`` of them.
 
     The rows before ``first`` ask those from it on; with 0 all ask all. Pairs of two dense rows are left out: there may
     be as many as the square of the rows, and they are dropped while the search runs.
     """
     home, ask = codes[first:], codes[: first or len(codes)]
-    points = home.shape[1]
     stored, asking = home.astype("float32"), ask.astype("float32")
     norm_s, norm_a = (stored * stored).sum(axis=1), (asking * asking).sum(axis=1)
-    stack, found_a, found_b, held = [(np.arange(len(home)), np.arange(len(ask)), 0)], [], [], 0
+    stack, found_a, found_b, held = [(np.arange(len(home)), np.arange(len(ask)))], [], [], 0
     near = np.zeros(len(codes), "int64")
 
     def kept() -> tuple[np.ndarray, np.ndarray]:
@@ -79,17 +108,20 @@ def _search(codes: np.ndarray, first: int, slack: int, joint: float, leaf: int,
         return a[fine], b[fine]
 
     while stack:
-        s, a, level = stack.pop()
+        s, a = stack.pop()
         if not len(s) or not len(a):
             continue
-        if len(s) > leaf and level < points:
-            values = home[s, level]
+        if len(s) > leaf:
+            # the point from which some of the node's vectors spread most
+            point = int(stored[s[:: max(1, len(s) // 256)]].std(axis=0).argmax())
+            values = home[s, point]
             middle = int(np.median(values))
             low = values <= middle
-            asked = ask[a, level].astype("int32")
-            stack.append((s[low], a[asked <= middle + slack], level + 1))
-            stack.append((s[~low], a[asked > middle - slack], level + 1))
-            continue
+            if not low.all():
+                asked = ask[a, point].astype("int32")
+                stack.append((s[low], a[asked <= middle + slack]))
+                stack.append((s[~low], a[asked > middle - slack]))
+                continue
         for lo in range(0, len(s), 2048):
             part = s[lo : lo + 2048]
             for la in range(0, len(a), 4096):
@@ -159,12 +191,18 @@ def similar_pairs(vectors: DataFrame, k: int = 10, least: float = 0.9, dims: int
     candidates for are compared with each other by their exact cosines there, and each keeps its k most similar: no
     candidate is left out by its sketch's rank. No vectors give no rows.
 
-    A shard of more than ``shard_rows`` vectors is searched in pairs of blocks of that size.
+    A shard of more than ``shard_rows`` vectors is searched in pairs of blocks of that size; ``plan`` keeps shards so
+    small that a vector meets about as many others whatever their number. With ``relax`` 1 all vectors are one shard:
+    the work grows with the square of their number.
     """
     if not -1 <= least <= 1 or relax < 1:
         raise ValueError("least must be a cosine and relax at least 1")
-    points, sets = min(points, dims), 1 if relax == 1 else sets
-    rows = cut(sketches(vectors, dims, points, sets, seed))
+    points, depth = min(points, _width(dims)), 1
+    if relax > 1:
+        depth, sets = plan(vectors.count(), least, dims, sets, shard_rows, seed)
+    else:
+        sets = 1
+    rows = cut(sketches(vectors, dims, points, sets, seed, depth))
     crowds = cut(rows.groupBy("same").agg(F.count("*").alias("copies")).where(F.col("copies") > k + 1))
     tails = None
     if not crowds.isEmpty():
@@ -184,10 +222,10 @@ def similar_pairs(vectors: DataFrame, k: int = 10, least: float = 0.9, dims: int
     part = 1.07 if relax == 1 else min(1.07, 1.25 * points / dims)
     joint = (np.sqrt(apart * part) / STEP + (np.sqrt(points) if relax == 1 else 1)) ** 2
     most = 8 * k  # of a row's candidates in a task: beyond it the exact way is taken
-    stored = rows.select("id", "sketch", F.explode("shards").alias("shard") if relax > 1 else F.lit(0).alias("shard"))
-    # a row per shard, at most 2 * 256 * sets of them
+    stored = rows.select("id", "sketch", F.explode("shards").alias("shard") if relax > 1 else F.lit(0).cast("bigint").alias("shard"))
     blocks = stored.groupBy("shard").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("blocks"))
-    placed = stored.join(F.broadcast(blocks), "shard").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = stored.join(F.broadcast(blocks) if depth == 1 else blocks, "shard")  # at depth 1 there are at most 2 * 256 * sets shards
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "sketch")
     placed = placed.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "own", "id")
@@ -198,11 +236,11 @@ def similar_pairs(vectors: DataFrame, k: int = 10, least: float = 0.9, dims: int
             if task[1] != task[2] and first in (0, len(ids)):
                 continue
             a, b, dense = _search(codes, first, slack, joint, 48, most)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), *(pa.nulls(len(a), pa.int32()) for _ in range(4))], schema=FOUND)
-            of = [pa.array(np.full(dense.sum(), x, "int32")) for x in task]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.nulls(len(a), pa.int64()), *(pa.nulls(len(a), pa.int32()) for _ in range(3))], schema=FOUND)
+            of = [pa.array(np.full(dense.sum(), x, kind)) for x, kind in zip(task, ("int64", "int32", "int32"))]
             yield pa.RecordBatch.from_arrays([pa.array(ids[dense]), pa.nulls(dense.sum(), pa.int64()), *of, pa.array(own[dense])], schema=FOUND)
 
-    found = cut(placed.mapInArrow(search, "id_a bigint, id_b bigint, shard int, i int, j int, own int"))
+    found = cut(placed.mapInArrow(search, "id_a bigint, id_b bigint, shard bigint, i int, j int, own int"))
     near = found.where("id_b is not null").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
     near = cut(near.distinct())
     dense = found.where("id_b is null").select("shard", "i", "j", "own", F.col("id_a").alias("id"))

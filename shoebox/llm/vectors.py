@@ -58,13 +58,14 @@ def unpacked(column, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(values), kind).reshape(len(values), -1) if values else np.zeros((0, 1), kind)
 
 
-#: Bits of the filter that decides which vectors are shuffled: 2 MB, whatever the data.
-FILTER_BITS, BLOCK_BITS = 2**24, 32768
+#: Bits of the filter that decides which vectors are shuffled: 2 MB, or eight for each listed one up to 16 MB.
+FILTER_BITS, MOST_FILTER_BITS, BLOCK_BITS = 2**24, 2**27, 32768
 
 
 def only_listed(df: DataFrame, listed: DataFrame, *key: str) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is in ``listed``, and a few others: by a broadcast bitmap of fixed size."""
-    hashed = F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+    """Rows of ``df`` whose ``key`` is in ``listed``, and a few others: by a broadcast bitmap of bounded size."""
+    size = min(MOST_FILTER_BITS, max(FILTER_BITS, 1 << (8 * listed.count()).bit_length()))
+    hashed = F.pmod(F.xxhash64(*key), F.lit(size))
     bits = listed.select(hashed.alias("h")).groupBy((F.col("h") / BLOCK_BITS).cast("int").alias("block"))
     bits = bits.agg(F.bitmap_construct_agg(F.col("h") % BLOCK_BITS).alias("bits"))
     place = F.col("h") % BLOCK_BITS

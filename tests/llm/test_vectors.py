@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 
 from shoebox.llm.clusters import hashed_features, similarity_clusters, typical_members
-from shoebox.llm.neighbours import similar_pairs
+from shoebox.llm import neighbours
+from shoebox.llm.neighbours import plan, similar_pairs
 from tests.test_operators import rows
 
 SCHEMA = "id bigint, version bigint, vector array<float>, cosine double"
@@ -153,3 +154,20 @@ def test_merging_fails_loudly(spark):
     x, _ = planted(17, 1, 40, noise=0.5)
     with pytest.raises(RuntimeError):
         similarity_clusters(frame(spark, x), block_rows=8, most_merges=0)
+
+
+def test_shards_do_not_grow_with_the_vectors():
+    met = []
+    for n in (10**5, 10**7, 10**8, 10**9, 10**10):
+        depth, sets = plan(n, 0.9, 512, 8, 8192, 11)
+        met.append(sets * max(1.0, n / (512**depth * 8192)))
+    assert plan(10**5, 0.9, 512, 8, 8192, 11) == (1, 8) and plan(10**9, 0.9, 512, 8, 8192, 11)[0] == 2
+    assert met == sorted(met) and met[-1] < 200  # pieces of shards that a vector meets
+
+
+def test_shards_named_by_two_points(spark, monkeypatch):
+    x, label = planted(21, 40, 8, noise=0.3)
+    want = {(r["id_a"], r["id_b"]) for r in similar_pairs(frame(spark, x), relax=1).collect()}
+    monkeypatch.setattr(neighbours, "plan", lambda *_: (2, 26))
+    got = {(r["id_a"], r["id_b"]) for r in similar_pairs(frame(spark, x)).collect()}
+    assert len(want) > 500 and got <= want and len(got) >= 0.97 * len(want)
