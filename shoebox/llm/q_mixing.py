@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from shoebox.llm.mixing import letter_share, mix
-from shoebox.llm.tokens import token_count
+from shoebox.llm.mixing import mix, weighed
 from shoebox.sources.tables import table
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    documents = table(spark, d, "documents").select("doc_id", "source", letter_share(F.col("text")).alias("weight"), token_count(F.col("text")).alias("tokens"))
-    return mix(documents, table(spark, d, "mix_targets"))
+    targets = table(spark, d, "mix_targets")
+    return mix(weighed(table(spark, d, "documents"), targets), targets)
 
 
 def p8_selection(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,9 @@ import tiktoken
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The public byte-level vocabulary and the pattern that cuts text before its merges.
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The vocabulary file, unless a caller or SHOEBOX_VOCABULARY names another: on a cluster one that is on every executor.
+RANKS = os.environ.get("SHOEBOX_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: The pattern that cuts text before the merges of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -31,6 +33,28 @@ def token_bytes(path: str = RANKS) -> np.ndarray:
     return np.array([len(code.decode_single_token_bytes(i)) for i in range(code.n_vocab)], "int64")
 
 
+def token_codes(text: Column, path: str = RANKS) -> Column:
+    """The tokens of a text, two bytes each; NULL for NULL."""
+
+    @F.pandas_udf("binary")
+    def code(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = encoder(path)
+        if of.n_vocab > 2**16:
+            raise ValueError("the vocabulary has more tokens than two bytes tell apart")
+        for series in texts:
+            yield pd.Series([None if t is None else np.array(of.encode_ordinary(t), CODES).tobytes() for t in series], dtype=object)
+
+    return code(text)
+
+
+#: Two bytes hold the tokens of a vocabulary of up to 65,536.
+CODES = "uint16"
+
+
+def codes_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, CODES)
+
+
 def token_count(text: Column, path: str = RANKS) -> Column:
     """How many tokens a text has; 0 for NULL."""
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoebox.llm.contamination import build_index, find_leaks, search_index, words_of
-from shoebox.llm.mixing import letter_share, mix, source_key
+from shoebox.llm.mixing import mix, source_key, weighed
 from shoebox.llm.scans import Lexicon, Page, Titles, decode, number_of, paragraphs, repair, repair_pages, words_to_count
 from shoebox.llm.splitting import plan, split_text, split_texts
 from shoebox.llm.tokens import encoder, token_count
@@ -267,10 +267,39 @@ def test_mix(spark):
         assert mix(a, b)[0].count() == 0
 
 
+def test_the_edge_of_a_budget_is_found_in_ever_smaller_buckets(spark):
+    r = random.Random(4)
+    data = [(i, "a" if i % 3 else "b", r.randrange(1, 200), r.choice([0.0, 0.2, 1.0, 1.0]), 0) for i in range(3000)]
+    df, targets = spark.createDataFrame(data, DOC), spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], TARGET)
+    for total in (None, 90_000, 7):
+        want = rows(mix(df, targets, total)[0], "doc_id", "copies")
+        for edge in (1, 40):
+            assert rows(mix(df, targets, total, edge_rows=edge)[0], "doc_id", "copies") == want
+    got = {x["source"]: x["selected_tokens"] for x in mix(df, targets, 90_000, edge_rows=1)[1].collect()}
+    assert all(abs(n - 45_000) <= 200 for n in got.values())
+
+
 def test_sources_and_weights(spark):
-    df = spark.createDataFrame([(" Ocr Export", "ab 1"), ("ocr-export", ""), (None, None)], "s string, t string")
-    got = df.select(source_key(F.col("s")).alias("s"), F.round(letter_share(F.col("t")), 3).alias("w"), token_count(F.col("t")).alias("n")).collect()
-    assert [tuple(x) for x in got] == [("ocr_export", 0.667, 2), ("ocr_export", 0.05, 0), (None, 0.05, 0)]
+    r = random.Random(2)
+    plain = [" ".join(r.choice(WORDS[:20]) for _ in range(60)) for _ in range(60)]
+    odd = ["".join(chr(r.randrange(33, 1000)) for _ in range(300)), "balan balan " * 100]
+    data = [(i, "Ocr Export" if i % 2 else " ocr-export", t, 0) for i, t in enumerate([*plain, *odd, ""])]
+    data += [(90, "one", "a text alone", 0), (91, "other", "no target", 0), (92, None, "x", 0), (93, "one", None, 0), (None, "one", "x", 0)]
+    df = spark.createDataFrame(data, "doc_id bigint, source string, text string, tokens int")
+    targets = spark.createDataFrame([("ocr_export", 0.5, 1), ("ONE", 0.5, 1), (None, 0.1, 1)], TARGET)
+    got = {x["doc_id"]: x for x in weighed(df, targets, smoothing=50.0).collect()}
+    assert set(got) == {*range(63), 90} and got[62]["weight"] == 0.05 and got[62]["tokens"] == 0 and got[90]["weight"] == 1
+    code = {i: encoder().encode_ordinary(t) for i, _, t, _ in data if i in got}
+    counts = np.bincount([c for i in code if i < 90 for c in code[i]], minlength=encoder().n_vocab)
+    usual = 1.0 + counts + np.bincount(code[90], minlength=len(counts))
+    cost = -np.log((counts + 50 * usual / usual.sum()) / (counts.sum() + 50))
+    entropy = {i: cost[code[i]].mean() for i in range(62)}
+    mean, spread = np.mean(list(entropy.values())), np.std(list(entropy.values()))
+    for i in range(62):
+        assert got[i]["tokens"] == len(code[i]) and got[i]["entropy"] == pytest.approx(entropy[i], rel=1e-5)
+        assert got[i]["weight"] == pytest.approx(max(0.05, np.exp(-(((entropy[i] - mean) / spread) ** 2) / 2)), abs=1e-4)
+    assert got[60]["weight"] == 0.05 and np.mean([got[i]["weight"] for i in range(60)]) > 0.8
+    assert weighed(df.limit(0), targets).count() == 0 and weighed(df, targets.limit(0)).count() == 0
 
 
 def test_token_counts_are_the_tokenizers(spark):
