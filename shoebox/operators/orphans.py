@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MISSING, LATER = "missing", "later"
+MISSING, REMOVED, LATER = "missing", "removed", "later"
 OUT = "ref_field string, ref_id bigint, t bigint, reason string"
 
 
@@ -85,31 +85,37 @@ def _probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             while len(open_):  # more than once only where hashes of texts collide
                 open_ = open_[at[open_] < len(keys)]
                 open_ = open_[keys[at[open_]] == k[open_]]
-                same = np.array([a is None or a == b for a, b in zip(s[open_], texts[at[open_]])], dtype=bool)
+                asked = s[open_]
+                same = pd.isna(asked) | (asked == texts[at[open_]]).astype(bool)
                 found[open_[same]] = at[open_[same]]
                 open_ = open_[~same]
                 at[open_] += 1
             missing = found < 0
-            later = ~missing
-            later[later] = times[found[later]] > refs["t"].to_numpy("int64")[later]
-            bad = missing | later
+            when = np.where(missing, NEVER, times[found] if len(times) else NEVER)
+            gone = when == GONE
+            bad = missing | gone | (when > refs["t"].to_numpy("int64"))
             if bad.any():
                 out = refs[bad]
                 yield pd.DataFrame({
                     "ref_field": out["field"].to_numpy(),
                     "ref_id": out["ref_id"].to_numpy(),
                     "t": out["t"].to_numpy(),
-                    "reason": np.where(missing[bad], MISSING, LATER),
+                    "reason": np.select([missing[bad], gone[bad]], [MISSING, REMOVED], LATER).astype(object),
                 })
 
 
 #: Microseconds that stand for a time that isn't known: never before anything as a referrer, before all as a parent.
 FOREVER, NEVER = 2**62, -(2**62)
+#: Stands for the time of a parent that was taken out.
+GONE = 2**61
 
 
-def find_orphans(references: DataFrame, parents: DataFrame, per_range: int = 131_072, chunk: int = 1_000_000) -> DataFrame:
+def find_orphans(references: DataFrame, parents: DataFrame, removals: DataFrame | None = None, per_range: int = 32_768, chunk: int = 65_536) -> DataFrame:
     """References without a parent, or whose parent came later: (ref_field, ref_id, ref_time, reason).
 
+    reason is ``missing``, ``removed`` where ``removals`` (target, k, s) has the key of a parent that isn't there any
+    more, or ``later``. A task holds pieces of at most ``chunk`` references and about ``per_range`` parents.
+
     references: ref_field, target INT, k, s, ref_id, ref_time (TIMESTAMP_NTZ); parents: target INT, k, s, first_loaded;
     k and s by ``number_key`` or ``text_key``. Other columns are ignored. Rows with a NULL k, or with a text key whose s
     is NULL, refer to nothing and are no orphans. Of repeated parents the earliest counts; repeated references come out
@@ -118,12 +124,11 @@ def find_orphans(references: DataFrame, parents: DataFrame, per_range: int = 131
     """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     real = F.col("k").cast("double").alias("k_real")
-    parents = (
-        parents.where(F.col("k").isNotNull())
-        .groupBy("target", "k", "s")
-        .agg(F.min(F.coalesce(micros("first_loaded"), F.lit(NEVER))).alias("t"))
-        .select("target", "k", "s", "t", real)
-    )
+    parents = parents.select("target", "k", "s", F.coalesce(micros("first_loaded"), F.lit(NEVER)).alias("t"))
+    if removals is not None:
+        # a key that is there again is there: its time is the lesser
+        parents = parents.unionByName(removals.select("target", "k", "s", F.lit(GONE).alias("t")))
+    parents = parents.where(F.col("k").isNotNull()).groupBy("target", "k", "s").agg(F.min("t").alias("t")).select("target", "k", "s", "t", real)
     references = references.where(F.col("k").isNotNull()).select(
         F.col("ref_field").alias("field"), "target", "k", "s", "ref_id", F.coalesce(micros("ref_time"), F.lit(FOREVER)).alias("t"), real
     )
@@ -147,15 +152,16 @@ def find_orphans(references: DataFrame, parents: DataFrame, per_range: int = 131
 
 
 def orphans_by_period(orphans: DataFrame, references: DataFrame, period: str = "month") -> DataFrame:
-    """(ref_field, period, refs, orphans, missing, later) of each field and period in which references arrived."""
+    """(ref_field, period, refs, orphans, missing, removed, later) of each field and period in which references arrived."""
     when = lambda c: F.date_format(F.date_trunc(period, F.col(c)), "yyyy-MM-dd").alias("period")
     all_ = references.where(F.col("k").isNotNull()).groupBy("ref_field", when("ref_time")).agg(F.count("*").alias("refs"))
     bad = orphans.groupBy("ref_field", when("ref_time")).agg(
         F.count("*").alias("orphans"),
         F.count_if(F.col("reason") == MISSING).alias("missing"),
+        F.count_if(F.col("reason") == REMOVED).alias("removed"),
         F.count_if(F.col("reason") == LATER).alias("later"),
     )
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("orphans", "missing", "later")}
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("orphans", "missing", "removed", "later")}
     a, b = all_.alias("a"), bad.alias("b")
     same = (F.col("a.ref_field") == F.col("b.ref_field")) & F.col("a.period").eqNullSafe(F.col("b.period"))
     return a.join(b, same, "left").select("a.ref_field", "a.period", "refs", *[zero[c].alias(c) for c in zero])

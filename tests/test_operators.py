@@ -92,6 +92,21 @@ def test_orphans_of_empty_tables(spark):
     assert rows(orphans_by_period(find_orphans(refs.limit(0), parents), refs.limit(0))) == []
 
 
+def test_removed_parents_are_told_from_those_never_stored(spark):
+    refs = [("f", 0, k, i, T(5), 0) for i, k in enumerate([1, 2, 3, 3, 4, None])] + [("f", 0, 2, 9, None, 0)]
+    a = number_key(spark.createDataFrame(refs, REF.format("bigint")), "key")
+    b = number_key(spark.createDataFrame([(0, 1, T(1)), (0, 4, T(9))], PARENT.format("bigint")), "key")
+    gone = number_key(spark.createDataFrame([(0, 2), (0, 1), (0, 2), (0, 4), (1, 3), (0, None)], "target int, key bigint"), "key")
+    got = find_orphans(a, b, gone, per_range=1, chunk=2)
+    want = [(1, "removed"), (2, "missing"), (3, "missing"), (4, "later"), (9, "removed")]
+    assert rows(got, "ref_id", "reason") == want
+    assert sum(x["removed"] for x in orphans_by_period(got, a).collect()) == 2
+    text = lambda data: text_key(spark.createDataFrame(data, REF.format("string")), "key").where("key is not null")
+    b = text_key(spark.createDataFrame([], PARENT.format("string")), "key")
+    gone = text_key(spark.createDataFrame([(0, "/x")], "target int, key string"), "key")
+    assert rows(find_orphans(text([("g", 0, "/x", 1, T(1), 0), ("g", 0, "/y", 2, T(1), 0)]), b, gone), "ref_id", "reason") == [(1, "removed"), (2, "missing")]
+
+
 # --- graphs --------------------------------------------------------------------------------------------------------
 
 
