@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoebox.session import cut
+
 MISSING, REMOVED, LATER = "missing", "removed", "later"
 OUT = "ref_field string, ref_id bigint, t bigint, reason string"
 
@@ -132,8 +134,10 @@ def find_orphans(references: DataFrame, parents: DataFrame, removals: DataFrame
     references = references.where(F.col("k").isNotNull()).select(
         F.col("ref_field").alias("field"), "target", "k", "s", "ref_id", F.coalesce(micros("ref_time"), F.lit(FOREVER)).alias("t"), real
     )
+    parents = cut(parents)
     bounds = _bounds(parents, per_range)
-    parents, references = _ranged(parents, bounds), _ranged(references, bounds)
+    # written, as references are both counted and placed
+    parents, references = _ranged(parents, bounds), cut(_ranged(references, bounds))
     # one row per range that needs more than one piece; ranges are as many as parents / per_range
     pieces = references.groupBy("target", "range").agg(F.ceil(F.count("*") / chunk).cast("int").alias("pieces")).where("pieces > 1")
     references = references.join(pieces, ["target", "range"], "left").withColumn(
