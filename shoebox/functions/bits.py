@@ -56,3 +56,34 @@ def image_hash(grays: Column) -> Column:
         return rows.map(lambda g: hash_of_grays(np.asarray(g).reshape(16, 16)) if g is not None and len(g) == 256 else None)
 
     return of(grays)
+
+
+def resampling(old: int, new: int, lobes: int = 3) -> np.ndarray:
+    """The (new, old) weights that bring ``old`` values to ``new`` ones by a windowed sinc, widened when there are fewer."""
+    ratio = old / new
+    wide = max(ratio, 1.0)
+    away = (np.arange(old)[None, :] + 0.5 - (np.arange(new)[:, None] + 0.5) * ratio) / wide
+    weights = np.where(np.abs(away) < lobes, np.sinc(away) * np.sinc(away / lobes), 0.0)
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def grays_of_picture(rgb: np.ndarray, side: int = 16) -> np.ndarray:
+    """The gray values of a picture brought to ``side`` x ``side``; each of the steps gives whole numbers up to 255."""
+    whole = lambda x: np.clip(np.rint(x), 0, 255)
+    gray = (rgb.astype("int64") @ np.array([19595, 38470, 7471]) + 32768) >> 16
+    across = whole(gray @ resampling(gray.shape[1], side).T)
+    return whole(resampling(gray.shape[0], side) @ across)
+
+
+def picture_hash(pixels: Column, width: Column, height: Column) -> Column:
+    """The hash of pictures given as bytes of RGB rows; NULL where the bytes don't fit the size."""
+
+    @F.pandas_udf("binary")
+    def of(raw, w, h):
+        import pandas as pd
+
+        fits = lambda d, x, y: d is not None and x > 0 and y > 0 and len(d) == int(x) * int(y) * 3
+        made = lambda d, x, y: hash_of_grays(grays_of_picture(np.frombuffer(d, "uint8").reshape(int(y), int(x), 3)))
+        return pd.Series([made(d, x, y) if fits(d, x, y) else None for d, x, y in zip(raw, w, h)], dtype=object)
+
+    return of(pixels, width, height)

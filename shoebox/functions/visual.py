@@ -21,6 +21,7 @@ COLOR_RANGES = {
     "gray": [((0, 0, 51), (179, 30, 199))],
     "brown": [((10, 50, 30), (30, 200, 150))],
 }
+#: Ranges of sky and vegetation, and which colours are warm and cool.
 SKY, GREEN = ((90, 30, 150), (130, 255, 255)), ((35, 40, 40), (85, 255, 255))
 WARM, COOL = ["red", "orange", "yellow", "brown"], ["blue", "green", "purple"]
 
@@ -39,7 +40,9 @@ def scene(sky: Column, green: Column, edge: Column, brightness: Column) -> dict[
 def colors(shares: Column, saturation: Column) -> dict[str, Column]:
     """dominant_colors, color_tone and color_vibrance of a map from colour to share."""
     entries = F.filter(F.map_entries(shares), lambda e: e["value"] > 0.05)
-    order = F.array_sort(F.transform(entries, lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k"))))
+    # equal shares stand in the order of the table
+    place = lambda name: F.array_position(F.array(*[F.lit(n) for n in COLOR_RANGES]), name)
+    order = F.array_sort(F.transform(entries, lambda e: F.struct((-e["value"]).alias("v"), place(e["key"]).alias("p"), e["key"].alias("k"))))
     best = F.transform(F.slice(order, 1, 3), lambda e: e["k"])
     part = lambda names: sum((F.coalesce(F.element_at(shares, n), F.lit(0.0)) for n in names), F.lit(0.0))
     warm, cool = part(WARM), part(COOL)
@@ -74,21 +77,72 @@ def _share(hsv: np.ndarray, low: tuple, high: tuple) -> float:
     return float(((hsv >= low) & (hsv <= high)).all(axis=2).mean()) if hsv.size else 0.0
 
 
+def resized(picture: np.ndarray, width: int, height: int) -> np.ndarray:
+    """A picture of bytes, linearly interpolated to another size; the corners of the pictures, not of their pixels, meet."""
+    out = picture.astype("float64")
+    for axis, size in ((0, height), (1, width)):
+        old = out.shape[axis]
+        at = np.clip((np.arange(size) + 0.5) * old / size - 0.5, 0, old - 1)
+        low = np.floor(at).astype(int)
+        part = (at - low).reshape([-1 if k == axis else 1 for k in range(out.ndim)])
+        out = out.take(low, axis) * (1 - part) + out.take(np.minimum(low + 1, old - 1), axis) * part
+    return np.rint(out).astype("uint8")
+
+
+def scaled_to(picture: np.ndarray, longest: int) -> np.ndarray:
+    """A picture whose longer side is brought to ``longest``, up or down; sides are cut down to whole pixels."""
+    h, w = picture.shape[:2]
+    scale = longest / max(h, w)
+    return resized(picture, max(1, int(w * scale)), max(1, int(h * scale)))
+
+
+def gray_of(rgb: np.ndarray) -> np.ndarray:
+    return np.rint(rgb.astype("float64") @ [0.299, 0.587, 0.114]).astype("uint8")
+
+
+def edges(gray: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
+    """Where the edges of a gray picture are: ridges of the gradient over ``low`` that hang together with one over ``high``."""
+    p = np.pad(gray.astype("int64"), 1, mode="edge")
+    down = p[2:] - p[:-2]
+    right = p[:, 2:] - p[:, :-2]
+    dy = down[:, :-2] + 2 * down[:, 1:-1] + down[:, 2:]
+    dx = right[:-2] + 2 * right[1:-1] + right[2:]
+    strength = np.abs(dx) + np.abs(dy)
+    m = np.pad(strength, 1)
+    side = lambda y, x: m[1 + y : 1 + y + strength.shape[0], 1 + x : 1 + x + strength.shape[1]]
+    flat, steep = np.abs(dy) < np.abs(dx) * np.tan(np.pi / 8), np.abs(dy) > np.abs(dx) * np.tan(3 * np.pi / 8)
+    falling = (dx >= 0) == (dy >= 0)
+    before = np.select([flat, steep, falling], [side(0, -1), side(-1, 0), side(-1, -1)], side(-1, 1))
+    after = np.select([flat, steep, falling], [side(0, 1), side(1, 0), side(1, 1)], side(1, -1))
+    slanted = ~flat & ~steep
+    ridge = (strength > before) & np.where(slanted, strength > after, strength >= after) & (strength > low)
+    # from the strong ones on, along the others: a rim of nothing keeps steps inside
+    open_, found = np.pad(ridge, 1).ravel(), np.pad(ridge & (strength > high), 1).ravel()
+    wide = ridge.shape[1] + 2
+    steps = np.array([-wide - 1, -wide, -wide + 1, -1, 1, wide - 1, wide, wide + 1])
+    front = np.flatnonzero(found)
+    while len(front):
+        near = (front[:, None] + steps).ravel()
+        front = np.unique(near[open_[near] & ~found[near]])
+        found[front] = True
+    return found.reshape(-1, wide)[1:-1, 1:-1]
+
+
 def measures(rgb: np.ndarray) -> dict:
-    """The pixel measures of one picture that the decisions above take."""
-    hsv, gray = hsv_of(rgb), rgb.astype("float64") @ [0.299, 0.587, 0.114]
-    inner = gray[1:-1, 1:-1]
-    laplace = gray[:-2, 1:-1] + gray[2:, 1:-1] + gray[1:-1, :-2] + gray[1:-1, 2:] - 4 * inner if min(gray.shape) > 2 else np.zeros((1, 1))
-    dy, dx = np.gradient(gray) if min(gray.shape) > 1 else (np.zeros_like(gray), np.zeros_like(gray))
+    """The pixel measures of one picture that the decisions above take, each at the scale it is meant for."""
+    scene_, color, gray = scaled_to(rgb, 256), scaled_to(rgb, 128), scaled_to(gray_of(rgb), 512)
+    hsv, tint = hsv_of(scene_), hsv_of(color)
+    p = np.pad(gray.astype("float64"), 1, mode="reflect" if min(gray.shape) > 1 else "edge")
+    laplace = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]
     return {
-        "sky": _share(hsv[: max(1, len(hsv) // 3)], *SKY), "green": _share(hsv, *GREEN), "edge": float((np.hypot(dx, dy) > 50).mean()),
-        "brightness": float(gray.mean()), "saturation": float(hsv[..., 1].mean()), "blur": float(laplace.var()),
-        "dark": float((gray < 20).mean()), "bright": float((gray >= 235).mean()),
-        "shares": {name: min(1.0, sum(_share(hsv, *r) for r in ranges)) for name, ranges in COLOR_RANGES.items()},
+        "sky": _share(hsv[: len(hsv) // 3], *SKY), "green": _share(hsv, *GREEN), "edge": float(edges(gray_of(scene_)).mean()),
+        "brightness": float(hsv[..., 2].mean()), "saturation": float(tint[..., 1].mean()), "blur": float(laplace.var()),
+        "dark": float((gray < 20).mean()), "bright": float((gray >= 235).mean()), "mean": float(gray.mean()),
+        "shares": {name: sum(_share(tint, *r) for r in ranges) for name, ranges in COLOR_RANGES.items()},
     }
 
 
-MEASURES = "sky double, green double, edge double, brightness double, saturation double, blur double, dark double, bright double, shares map<string,double>"
+MEASURES = "sky double, green double, edge double, brightness double, saturation double, blur double, dark double, bright double, mean double, shares map<string,double>"
 
 
 def pixel_measures(pixels: Column, width: Column, height: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoebox.functions.bits import picture_hash
 from shoebox.functions.text import basename
 from shoebox.operators.graph import numbered
 
@@ -83,6 +84,16 @@ def set_hash(photos: DataFrame, hashes: DataFrame) -> DataFrame:
     return update(photos, hashes, "path", ["phash"])
 
 
+def backfill_hashes(photos: DataFrame, pictures: DataFrame) -> DataFrame:
+    """Photos whose missing hashes are made from ``pictures`` (path, pixels, width, height); only those pictures are read.
+
+    Photos that have a hash keep it; those without a picture, or with one that doesn't fit its size, stay without.
+    """
+    wanted = pictures.join(photos.where("phash is null").select("path"), "path", "left_semi")
+    made = wanted.select("path", picture_hash(F.col("pixels"), F.col("width"), F.col("height")).alias("phash"))
+    return set_hash(photos, made.where("phash is not null").dropDuplicates(["path"]))
+
+
 def add_faces(faces: DataFrame, rows: DataFrame) -> DataFrame:
     """Faces with ``rows`` appended, with ids after the largest one in the order of (photo_id, bbox_x1, bbox_y1)."""
     top = faces.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))

@@ -322,7 +322,7 @@ def file_names(spark: SparkSession, d: str) -> DataFrame:
     return photos(spark, d, "path").select("id", basename(F.col("path")).alias("filename"))
 
 
-@query()
+@query(f"select id, len(embedding) dims, round(l / (l + 1e-8::double), 3) \"length\" from (select *, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) l from {P('embedding')}) where embedding is not null")
 def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """OP13, SRC10, SNK15: the vector index built, written, added to, and read."""
     import os

@@ -262,7 +262,10 @@ def group_faces(spark: SparkSession, d: str) -> DataFrame:
     return persons.select("id", "representative_face_id").join(n, "id")
 
 
-@query()
+_DENSE = _FACE_PAIRS.replace("< 0.50)", "<= 0.45)")
+
+
+@query(f"with recursive {_components(_DENSE)}, {_LABELS} select f.id, coalesce(label, -1) label from {FC()} f left join l using (id)")
 def density_faces(spark: SparkSession, d: str) -> DataFrame:
     """OP15: faces clustered by density."""
     return people.density_clusters(faces(spark, d, "embedding"))
@@ -451,28 +454,39 @@ def report_text(spark: SparkSession, d: str) -> DataFrame:
 # --- pictures and their files --------------------------------------------------------------------------------------
 
 _E = lambda i: f"(embedding[{i}]::double + 1) / 2"
+_SHARE = {name: f"floor({_E(10 + i)} * 12) / 20 - 0.2" for i, name in enumerate(visual.COLOR_RANGES)}
+_SORTED = "list_sort(list_filter([" + ", ".join(f"{{'v': -s_{n}, 'p': {i}, 'k': '{n}'}}" for i, n in enumerate(visual.COLOR_RANGES)) + "], lambda x: x.v < -0.05))"
+_PART = lambda names: " + ".join(f"s_{n}" for n in names)
 _OUT = f"({_E(1)} > 0.60 or {_E(2)} > 0.62 or ({_E(4)} * 255 > 160 and ({_E(1)} > 0.5 or {_E(2)} > 0.5)))"
 
 
-@query(f"""select vec_id id, case (vec_id % 5)::int when 0 then 'no_faces' when 1 then 'portrait' when 2 then 'duo' else 'group' end face_category,
-case when b < 100 then true else false end is_blurry, case when dk > 0.40 then 'underexposed' when br > 0.40 then 'overexposed' when mn < 60 then 'dark' when mn > 200 then 'bright' else 'well_exposed' end exposure,
-case when sky > 0.10 or gr > 0.15 or (mn > 160 and (sky > 0.05 or gr > 0.08)) then 'outdoor' else 'indoor' end scene_type
-from (select vec_id, 400 * {_E(5)} b, {_E(6)} - 0.2 dk, {_E(7)} - 0.25 br, 255 * {_E(4)} mn, {_E(1)} - 0.5 sky, {_E(2)} - 0.5 gr from embeddings)""")
+@query(f"""with m as (select vec_id, 400 * {_E(5)} b, {_E(6)} - 0.2 dk, {_E(7)} - 0.25 br, 255 * {_E(4)} mn, {_E(1)} - 0.5 sky, {_E(2)} - 0.5 gr, {_E(3)} - 0.4 ed, 200 * {_E(8)} sat,
+{', '.join(f"{x} s_{n}" for n, x in _SHARE.items())} from embeddings),
+x as (select *, case when dk > 0.40 then 'underexposed' when br > 0.40 then 'overexposed' when mn < 60 then 'dark' when mn > 200 then 'bright' else 'well_exposed' end exposure,
+sky > 0.10 or gr > 0.15 or (mn > 160 and (sky > 0.05 or gr > 0.08)) outdoor, {_SORTED} hues, {_PART(visual.WARM)} warm, {_PART(visual.COOL)} cool from m)
+select vec_id id, case (vec_id % 5)::int when 0 then 'no_faces' when 1 then 'portrait' when 2 then 'duo' else 'group' end face_category,
+b < 100 is_blurry, exposure, case when outdoor then 'outdoor' else 'indoor' end scene_type,
+case when not outdoor then 'indoor' when gr > 0.15 and ed < 0.12 then 'natural' when ed > 0.15 then 'urban' when sky > 0.20 and gr < 0.05 then 'sky' else 'mixed' end scene_environment,
+case when len(hues) = 0 then ['mixed'] else list_transform(hues[1:3], lambda h: h.k) end dominant_colors,
+case when warm > cool * 1.5 then 'warm' when cool > warm * 1.5 then 'cool' else 'neutral' end color_tone, case when sat > 120 then 'vibrant' when sat > 60 then 'moderate' else 'muted' end color_vibrance,
+case (case when b >= 100 then 2 else 0 end + case when b > 300 then 1 else 0 end + case when exposure = 'well_exposed' then 2 when exposure in ('dark', 'bright') then 1 else 0 end)
+when 5 then 'excellent' when 4 then 'excellent' when 3 then 'good' when 2 then 'fair' else 'poor' end quality_rating from x""")
 def visual_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """FN22, FN23: decisions on pixel measures, here made from vectors."""
+    """FN22, FN23, TK6: decisions on pixel measures, here made from vectors; shares are made so that many are equal."""
     e = lambda i: (F.col("vector")[i - 1].cast("double") + 1) / 2
-    q = visual.quality(400 * e(5), e(6) - 0.2, e(7) - 0.25, 255 * e(4))
-    s = visual.scene(e(1) - 0.5, e(2) - 0.5, e(3) - 0.4, 255 * e(4))
+    shares = F.create_map(*[x for i, n in enumerate(visual.COLOR_RANGES) for x in (F.lit(n), F.floor(e(10 + i) * 12) / 20 - 0.2)])
+    said = visual.quality(400 * e(5), e(6) - 0.2, e(7) - 0.25, 255 * e(4)) | visual.scene(e(1) - 0.5, e(2) - 0.5, e(3) - 0.4, 255 * e(4)) | visual.colors(shares, 200 * e(8))
     count = F.when(F.col("id") % 5 > 2, 3).otherwise(F.col("id") % 5)
-    return _vectors(spark, d).select("id", visual.face_category(count).alias("face_category"), q["is_blurry"].alias("is_blurry"), q["exposure"].alias("exposure"), s["scene_type"].alias("scene_type"))
+    return _vectors(spark, d).select("id", visual.face_category(count).alias("face_category"), *[c.alias(n) for n, c in said.items() if n != "blur_score"])
 
 
 @query()
 def picture_measures(spark: SparkSession, d: str) -> DataFrame:
-    """AG12, TK6, SRC12: pixel measures of pictures, here of 4 x 4 made from hashes, and the decisions on them."""
-    pixels = F.concat("phash", F.substring("phash", 1, F.lit(16)))
-    rows = photos(spark, d, "phash").where("octet_length(phash) = 32").select("id", visual.pixel_measures(pixels, F.lit(4), F.lit(4)).alias("x"))
+    """AG12, TK6, SRC12: pixel measures of pictures, here of 24 x 16 made from hashes, and the decisions on them."""
+    pixels = F.concat(*[F.col("phash")] * 36)
+    rows = photos(spark, d, "phash").where("octet_length(phash) = 32").select("id", visual.pixel_measures(pixels, F.lit(24), F.lit(16)).alias("x"))
     decided = visual.colors(F.col("x.shares"), F.col("x.saturation")) | visual.scene(F.col("x.sky"), F.col("x.green"), F.col("x.edge"), F.col("x.brightness"))
+    decided |= visual.quality(F.col("x.blur"), F.col("x.dark"), F.col("x.bright"), F.col("x.mean"))
     return rows.select("id", *[c.alias(n) for n, c in decided.items()])
 
 

@@ -41,12 +41,35 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut: written to the shared checkpoint folder as a table, and read from there.
 
     Lost executors cost nothing, later plans are small, and the optimizer knows the table's size; the estimates that
-    checkpoint() carries along multiply from one round of an iteration to the next. The JVM deletes the table when it ends.
+    checkpoint() carries along multiply from one round of an iteration to the next. ``release`` deletes the table, or the
+    JVM when it ends.
     """
     spark = df.sparkSession
     use_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Tables that ``cut`` wrote and nothing has deleted.
+_WRITTEN: list[str] = []
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that ``cut`` has written so far, and say how many.
+
+    For long sessions, once results are stored: DataFrames that were made before and are still to be read lose their input.
+    """
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        place, files = _place(spark, _WRITTEN.pop())
+        files.delete(place, True)
+    return n

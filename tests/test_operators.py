@@ -12,6 +12,7 @@ from shoebox.operators.hamming import near_hash_pairs
 from shoebox.operators.orphans import find_orphans, number_key, orphans_by_period, text_key
 from shoebox.operators.similarity import approximate_pairs, cosine_pairs, least_marks, nearest, neighbour_counts, top_similar
 from shoebox.sources.files import ResultCache, VectorIndex, batches, cache_rows, listing, save_snapshot, with_cached_vectors
+from shoebox.session import cut, release
 from shoebox.sources.tables import current
 
 
@@ -107,6 +108,14 @@ def test_removed_parents_are_told_from_those_never_stored(spark):
     assert rows(find_orphans(text([("g", 0, "/x", 1, T(1), 0), ("g", 0, "/y", 2, T(1), 0)]), b, gone), "ref_id", "reason") == [(1, "removed"), (2, "missing")]
 
 
+def test_written_tables_are_released(spark):
+    release(spark)
+    df = cut(spark.range(5))
+    assert df.count() == 5 and release(spark) == 1 and release(spark) == 0
+    with pytest.raises(Exception):
+        df.count()
+
+
 # --- graphs --------------------------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ import pytest
 from tests.verify import compare
 
 FOLDER = "/root/testdata/sf0.001"
-MODULES = [importlib.import_module(f"shoebox.plans.{m}") for m in ("orphans", "records", "retrieval")]
+MODULES = [importlib.import_module(f"shoebox.plans.{m}") for m in ("orphans", "records", "retrieval", "files")]
 QUERIES = {n: (q, m.SQL.get(n)) for m in MODULES for n, q in m.QUERIES.items()}
 
 
