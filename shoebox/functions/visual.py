@@ -171,6 +171,28 @@ def fitted(width: int, height: int, most: int) -> tuple[int, int]:
     return (width, height) if longest <= most else (max(1, int(width * most / longest)), max(1, int(height * most / longest)))
 
 
+def gray_for_text(pixels: Column, width: Column, height: Column, most: int = 640) -> Column:
+    """Pictures as they are given to be read: gray, stretched to 0-255, the longer side at most ``most``: (width, height, gray).
+
+    Pictures come as bytes of RGB rows; NULL where the bytes don't fit the size.
+    """
+
+    @F.pandas_udf("width int, height int, gray binary")
+    def of(raw: pd.Series, w: pd.Series, h: pd.Series) -> pd.DataFrame:
+        out = []
+        for data, x, y in zip(raw, w, h):
+            if data is None or not x > 0 or not y > 0 or len(data) != int(x) * int(y) * 3:
+                out.append((None, None, None))
+                continue
+            x, y = fitted(int(x), int(y), most)
+            gray = gray_of(np.frombuffer(data, "uint8").reshape(int(h.iloc[len(out)]), int(w.iloc[len(out)]), 3))
+            out.append((x, y, stretched(gray if gray.shape == (y, x) else resized(gray, x, y)).tobytes()))
+        done = pd.DataFrame(out, columns=["width", "height", "gray"], dtype=object)
+        return done.astype({"width": "Int32", "height": "Int32"})
+
+    return of(pixels, width, height)
+
+
 def kept_lines(lines: Column, least: float = 0.5) -> Column:
     """The text of recognised lines (text, confidence) that are sure enough and not blank."""
     good = F.filter(lines, lambda x: (x["confidence"] >= least) & (F.trim(x["text"]) != ""))

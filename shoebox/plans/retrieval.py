@@ -380,6 +380,26 @@ def picture_rules(spark: SparkSession, d: str) -> DataFrame:
     return _rule_scores(spark, d, "people team", "outdoor sky", "warm red", "unfocused poor underexposed", "crisp excellent")
 
 
+def _placed(asked: str) -> tuple[str, float]:
+    """The SQL of rule L2: a longer word of the query is a part of the place's name."""
+    return " or ".join(f"contains({_LOC}, '{w}')" for w in asked.split() if len(w) > 3), 1.0
+
+
+_SEEN = f"coalesce({_J('scene_type')}, 'unknown') not in ('unknown', '')"
+_TINT = f"len({_HUES}) > 0 and {_J('color_tone')}"
+_MORE = ["village afternoon", "indoor garden street", "cool muted vivid", "overexposed nobody", "well exposed no flash"]
+
+
+@query(f"""select id, {_points((f"contains({_LOC}, 'village')", 1.5), _placed(_MORE[0]), (f"hour({_AT}) >= 12 and hour({_AT}) < 17", 1.0))} q0,
+{_points(_placed(_MORE[1]), (f"{_J('scene_type')} = 'indoor'", 1.5), (f"{_SEEN} and {_J('scene_environment')} = 'natural'", 1.5), (f"{_SEEN} and {_J('scene_environment')} = 'urban'", 1.5))} q1,
+{_points(_placed(_MORE[2]), (f"{_TINT} = 'cool'", 1.5), (f"len({_HUES}) > 0 and {_J('color_vibrance')} = 'vibrant'", 1.5), (f"len({_HUES}) > 0 and {_J('color_vibrance')} = 'muted'", 1.5))} q2,
+{_points(_placed(_MORE[3]), (f"{_J('exposure')} = 'overexposed'", 1.0), (f"not coalesce({_J('has_faces', 'boolean')}, false)", 1.0))} q3,
+{_points(_placed(_MORE[4]), (f"{_J('exposure')} = 'well_exposed'", 1.0), (f"contains(lower({_J('flash')}), 'yes') or contains(lower({_J('flash')}), 'fired')", 1.0), (f"contains(lower({_J('flash')}), 'no')", 0.8))} q4 from {_M}""")
+def further_rules(spark: SparkSession, d: str) -> DataFrame:
+    """L1, D4, S2-S4, K2-K4, Q5, Q6, F4, C5, C6: the rules that the queries above don't ask for."""
+    return _rule_scores(spark, d, *_MORE)
+
+
 @query()
 def rule_reasons(spark: SparkSession, d: str) -> DataFrame:
     """FN12, OP19: why photos match a query."""

@@ -117,3 +117,15 @@ def test_equal_shares_stand_in_the_order_of_the_table(spark):
     got = spark.range(1).select(visual.colors(shares, F.lit(10.0))["dominant_colors"]).first()[0]
     assert got == ["red", "pink", "white"]
     assert rows(spark.range(1).select(visual.colors(F.create_map(F.lit("red"), F.lit(0.0)), F.lit(0.0))["dominant_colors"])) == [(["mixed"],)]
+
+
+def test_pictures_to_be_read(spark):
+    x = np.zeros((4, 8, 3), "uint8")
+    x[:, 4:] = 100
+    data = [(1, bytearray(x.tobytes()), 8, 4), (2, bytearray(b"x"), 8, 4), (3, None, 8, 4), (4, bytearray(x.tobytes()), None, 4)]
+    df = spark.createDataFrame(data, "id int, pixels binary, w int, h int")
+    for most, size in ((640, (8, 4)), (4, (4, 2))):
+        got = {r["id"]: r["g"] for r in df.select("id", visual.gray_for_text(F.col("pixels"), F.col("w"), F.col("h"), most).alias("g")).collect()}
+        gray = np.frombuffer(got[1]["gray"], "uint8").reshape(size[::-1])
+        assert (got[1]["width"], got[1]["height"]) == size and gray.min() == 0 and gray.max() == 255
+        assert all(got[i]["gray"] is None for i in (2, 3, 4))
