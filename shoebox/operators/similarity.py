@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -185,9 +186,10 @@ def least_marks(vectors: DataFrame, least: float, block: int = 4096) -> DataFram
     return _over_blocks(vectors, task, "id bigint, mark bigint", block, "mark").groupBy("id").agg(F.min("mark").alias("mark"))
 
 
+@functools.lru_cache(maxsize=128)
 def _rotation(dims: int, seed: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))
-    return q * np.sign(np.diag(r))
+    return (q * np.sign(np.diag(r))).astype("float32")
 
 
 def _axes(x: np.ndarray, number: int, depth: int, seed: int) -> np.ndarray:

@@ -444,19 +444,22 @@ _MULTIPLIER = """case when neg > 0 and pos = 0 then greatest(0.1::double, 1.0::d
 when neg > 0 then greatest(0.3::double, 1.0::double - 0.7::double * (neg::double / (pos + neg))) when pos > 0 then least(1.3::double, 1.0::double + 0.06::double * pos) else 1.0::double end"""
 
 
-@query(f"""with c as (select p.id, p.path, lower(p.ocr_text) b, p.metadata, {_VISION} v from {P('path', 'embedding', 'ocr_text', 'metadata')} p, {_SEED} s
+_KIND = """coalesce(nullif(concat_ws(' + ', case when v > 0.2 then 'Visual' end, case when o > 0 then 'OCR Text' end, case when m > 0 then 'Metadata' end), ''), 'Visual')"""
+_RESULTS = f"""with c as (select p.id, p.path, lower(p.ocr_text) b, p.metadata, {_VISION} v from {P('path', 'embedding', 'ocr_text', 'metadata')} p, {_SEED} s
 where p.embedding is not null and len(p.embedding) = 512 and len(list_filter(p.embedding, lambda x: isnan(x))) = 0 order by v desc, p.id limit 100),
 j as (select *, case when metadata is not null and json_valid(metadata) and coalesce(len(json_keys(metadata)), 0) > 0 then metadata end j from c),
-m as (select id, path, v, case when b is null or b = '' then 0.0 else {_OCR.format("['sunset', 'harbour']")} end o,
+m as (select id, path, v, j, case when b is null or b = '' then 0.0 else {_OCR.format("['sunset', 'harbour']")} end o,
 {_points((f"contains({_LOC}, 'sunset') or contains({_LOC}, 'over') or contains({_LOC}, 'harbour')", 1.0), (f"{_J('scene_type')} = 'outdoor' or coalesce({_J('scene_environment')}, '') = 'sky'", 1.0))} m from j),
 f as (select result_path path, {_MULTIPLIER} x from (select result_path, count(*) filter (feedback_type in ('POSITIVE', 'CLICKED')) pos, count(*) filter (feedback_type = 'NEGATIVE') neg from {FEEDBACK_SQL} where query = '{_ASK}' group by 1)),
 w as (select m.*, coalesce(x, 1.0) penalty, v * 0.8::double + o * 0.1::double + m * 0.1::double raw from m left join f using (path)),
 s as (select *, raw * penalty score, row_number() over (order by raw * penalty desc, raw desc, v desc, id) rank from w),
 l as (select *, max(score) over () top, lag(score) over (order by rank) last from s),
 g as (select arg_min(last - 0.05::double * (last - score), rank) gap from l where rank <= 30 and last - score >= 0.10::double * top),
-t as (select case when gap is null then share else greatest(gap, share) end thr from g, (select greatest(max(top) * 0.70::double, max(top) * (1 - 0.30::double)) share from l))
-select rank, id, path, round(score, 5) score, round(v, 5) v_score, round(o, 5) o_score, round(m, 5) m_score, round(penalty, 5) penalty,
-coalesce(nullif(concat_ws(' + ', case when v > 0.2 then 'Visual' end, case when o > 0 then 'OCR Text' end, case when m > 0 then 'Metadata' end), ''), 'Visual') match_type
+t as (select case when gap is null then share else greatest(gap, share) end thr from g, (select greatest(max(top) * 0.70::double, max(top) * (1 - 0.30::double)) share from l))"""
+
+
+@query(f"""{_RESULTS} select rank, id, path, round(score, 5) score, round(v, 5) v_score, round(o, 5) o_score, round(m, 5) m_score, round(penalty, 5) penalty,
+{_KIND} match_type
 from l, t where (score >= thr or rank = 1) and rank <= 50""")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """OP2, JN5, JN6, FN24: the whole search for a query, in the place of whose vector stands a mean of photos'."""
@@ -465,7 +468,13 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("rank", "id", "path", *[F.round(c, 5).alias(c) for c in ("score", "v_score", "o_score", "m_score", "penalty")], kind.alias("match_type"))
 
 
-@query()
+_FOUND_IN = "list_filter(['sunset', 'over', 'harbour'], lambda w: contains(" + _LOC + ", w))[1]"
+
+
+@query(f"""{_RESULTS} select rank, concat_ws(' | ', '[' || rank || '] Score: ' || printf('%.4f', score) || ' (' || {_KIND} || ')',
+case when penalty > 1 then 'Boosted ' || trunc((penalty - 1) * 100)::int || '%' when penalty < 1 then 'Downranked ' || trunc((1 - penalty) * 100)::int || '%' end, path,
+printf('Visual=%.3f, OCR=%.1f, Metadata=%.2f', v, o, m), nullif(concat_ws(', ', 'Location contains: ' || {_FOUND_IN}, case when {_J('scene_type')} = 'outdoor' or coalesce({_J('scene_environment')}, '') = 'sky' then 'Sky visible' end), '')) line
+from l, t where (score >= thr or rank = 1) and rank <= 50""")
 def report_text(spark: SparkSession, d: str) -> DataFrame:
     """SNK17, FN24, FN25: the results as lines of a report."""
     return search.report_lines(_search(spark, d))
