@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoebox.llm.tokens import RANKS, codes_of, encoder, token_codes
+from shoebox.llm.tokens import RANKS, codes_of, encoder, ship, token_codes
 from shoebox.session import cut
 
 
@@ -38,6 +38,7 @@ def weighed(documents: DataFrame, targets: DataFrame, path: str = RANKS, smoothi
     each source of the targets.
     """
     spark = documents.sparkSession
+    ship(spark, path)
     wanted = targets.where("source is not null").select(source_key(F.col("source")).alias("source")).distinct()
     rows = documents.where("doc_id is not null and text is not null").select("doc_id", source_key(F.col("source")).alias("source"), "text")
     coded = cut(rows.join(wanted, "source", "left_semi").select("doc_id", "source", token_codes(F.col("text"), path).alias("codes")))

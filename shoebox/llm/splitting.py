@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm.tokens import RANKS, encoder, token_bytes
+from shoebox.llm.tokens import RANKS, encoder, ship, token_bytes
 
 #: Boundaries by strength; a piece begins where a match ends.
 BOUNDARIES = [
@@ -115,6 +115,7 @@ def split_texts(texts: DataFrame, limit: int = 1000, overlap: int = 50, key: str
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
+    ship(texts.sparkSession, path)
     rows = texts.select(F.col(key).alias("key"), F.col(text).alias("body")).where("body is not null")
     kind = texts.schema[key].dataType.simpleString()
     schema = f"key {kind}, piece int, pieces int, start bigint, end bigint, tokens bigint" + ", text string" * with_text

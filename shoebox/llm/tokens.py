@@ -10,18 +10,26 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import tiktoken
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: The vocabulary file, unless a caller or SHOEBOX_VOCABULARY names another: on a cluster one that is on every executor.
+#: The vocabulary file, unless a caller or SHOEBOX_VOCABULARY names another: one of the driver's, which ships it.
 RANKS = os.environ.get("SHOEBOX_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The pattern that cuts text before the merges of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def ship(spark: SparkSession, path: str = RANKS) -> None:
+    """Make the driver's vocabulary file one of the session's, which every executor fetches before its tasks."""
+    name = os.path.basename(path)
+    if os.path.exists(path) and not any(f.endswith(f"/{name}") for f in spark.sparkContext.listFiles):
+        spark.sparkContext.addFile(path)
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str = RANKS) -> tiktoken.Encoding:
-    with open(path, "rb") as file:
+    with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -56,7 +64,7 @@ def codes_of(data: bytes) -> np.ndarray:
 
 
 def token_count(text: Column, path: str = RANKS) -> Column:
-    """How many tokens a text has; 0 for NULL."""
+    """How many tokens a text has; 0 for NULL. Where executors lack the file, ``ship`` it first."""
 
     @F.pandas_udf("bigint")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

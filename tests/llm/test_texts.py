@@ -1,5 +1,6 @@
 import random
 import re
+import shutil
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from shoebox.llm.contamination import build_index, find_leaks, search_index, wor
 from shoebox.llm.mixing import mix, source_key, weighed
 from shoebox.llm.scans import Lexicon, Page, Titles, decode, number_of, paragraphs, repair, repair_pages, words_to_count
 from shoebox.llm.splitting import plan, split_text, split_texts
-from shoebox.llm.tokens import encoder, token_count
+from shoebox.llm.tokens import RANKS, encoder, ship, token_count
 from tests.test_operators import rows
 
 WORDS = [a + b for a in "ba ce di fo gu ka le mi no pu ra se ti vo".split() for b in "lan mor nik rus tel vad wyn".split()]
@@ -319,3 +320,13 @@ def test_lexicon_holds_every_word(spark):
     rare = spark.createDataFrame([("zebrine zebrine",)], "text string")
     page = spark.createDataFrame([(1, "s", 1, "ze brine")], "id bigint, scan string, place int, text string")
     assert repair_pages(page, common.unionByName(rare)).first()["text"] == "zebrine"
+
+
+def test_the_vocabulary_is_shipped(spark, tmp_path):
+    """Executors that lack the file read the copy they were sent."""
+    own = tmp_path / "shipped.tiktoken"
+    shutil.copy(RANKS, own)
+    ship(spark, str(own))
+    ship(spark, str(own))
+    df = spark.createDataFrame([("the old harbour",), (None,)], "t string")
+    assert [r[0] for r in df.select(token_count(F.col("t"), "/nowhere/shipped.tiktoken")).collect()] == [len(encoder().encode_ordinary("the old harbour")), 0]
