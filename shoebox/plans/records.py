@@ -346,7 +346,7 @@ def feedback_stream(spark: SparkSession, d: str) -> DataFrame:
     from shoebox.streaming import feedback as stream
 
     use_checkpoint_dir(spark)
-    log = stream.read(spark, d, "search_feedback.parquet")
+    log = stream.read_table(spark, d, "search_feedback")
     found = stream.multiplier_table(log, f"{spark.sparkContext.getCheckpointDir()}/stream-{os.urandom(6).hex()}")
     return found.withColumn("multiplier", F.round("multiplier", 9))
 

@@ -14,6 +14,13 @@ def read(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFr
     return spark.readStream.schema(FEEDBACK).option("pathGlobFilter", pattern).parquet(folder)
 
 
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The log as a stream of the table ``name`` in ``folder``, be it one file or a folder of part files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    return read(spark, f"{folder}/{name}.parquet") if status.isDirectory() else read(spark, folder, f"{name}.parquet")
+
+
 def distinct_entries(log: DataFrame, late: str = "30 days") -> DataFrame:
     """Entries once each; the state of ids is dropped when the watermark has passed them."""
     timed = log.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late)
