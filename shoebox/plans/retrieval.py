@@ -17,6 +17,7 @@ from shoebox.operators.graph import groups
 from shoebox.operators.library import mark_duplicates as marked
 from shoebox.operators.similarity import approximate_pairs, cosine_pairs, nearest, top_similar
 from shoebox.plans.tables import FEEDBACK_SQL, NOW, faces, feedback, photos, sql_current
+from shoebox.session import spread
 from shoebox.sources.tables import current, table
 
 Q: dict = {}
@@ -513,7 +514,8 @@ def visual_decisions(spark: SparkSession, d: str) -> DataFrame:
 def picture_measures(spark: SparkSession, d: str) -> DataFrame:
     """AG12, TK6, SRC12: pixel measures of pictures, here of 24 x 16 made from hashes, and the decisions on them."""
     pixels = F.concat(*[F.col("phash")] * 36)
-    rows = photos(spark, d, "phash").where("octet_length(phash) = 32").select("id", visual.pixel_measures(pixels, F.lit(24), F.lit(16)).alias("x"))
+    some = photos(spark, d, "phash").where("octet_length(phash) = 32")
+    rows = spread(some, "id").select("id", visual.pixel_measures(pixels, F.lit(24), F.lit(16)).alias("x"))
     decided = visual.colors(F.col("x.shares"), F.col("x.saturation")) | visual.scene(F.col("x.sky"), F.col("x.green"), F.col("x.edge"), F.col("x.brightness"))
     decided |= visual.quality(F.col("x.blur"), F.col("x.dark"), F.col("x.bright"), F.col("x.mean"))
     return rows.select("id", *[c.alias(n) for n, c in decided.items()])

@@ -37,6 +37,23 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shoebox-"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt to all cores by ``keys``, for rows that are small but take long: by bytes they would come to few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder beside the tables of ``cut``, for files that tasks write and read; deleted with these."""
+    use_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+    place, files = _place(spark, path)
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    _WRITTEN.append(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut: written to the shared checkpoint folder as a table, and read from there.
 
@@ -54,7 +71,7 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Tables that ``cut`` wrote and nothing has deleted.
+#: Tables that ``cut`` wrote and folders of ``shared_folder`` that nothing has deleted.
 _WRITTEN: list[str] = []
 
 

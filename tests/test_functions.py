@@ -184,3 +184,25 @@ def test_migration(spark):
 def test_url_escapes_of_all_bytes(spark):
     name = "/a/" + "é ü&=+%".strip() + ".jpg"
     assert one(spark, x=canonical_path(F.lit(urllib.parse.quote(name))))[0] == name
+
+
+def test_picture_measures_are_dealt_to_all_cores(spark, tmp_path):
+    import datetime as dt
+
+    from shoebox.plans.retrieval import picture_measures
+
+    g = np.random.default_rng(4)
+    data = [(i, bytearray(g.bytes(32)), dt.datetime(2024, 1, 1)) for i in range(40)]
+    spark.createDataFrame(data, "id bigint, phash binary, loaded_at timestamp_ntz").coalesce(1).write.parquet(str(tmp_path / "photos.parquet"))
+    found = picture_measures(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and found.count() == 40
+
+
+def test_hues_by_tables_equal_the_formula():
+    x = np.random.default_rng(5).integers(0, 256, (60, 50, 3), dtype="uint8")
+    x[:20] = x[:20] // 128 * 255  # many equal channels
+    got = visual.hsv_of(x)
+    for (r, g, b), hsv in zip(x.reshape(-1, 3).astype(float), got.reshape(-1, 3)):
+        high, span = max(r, g, b), max(r, g, b) - min(r, g, b)
+        hue = 0 if not span else ((g - b) / span % 6 if high == r else (b - r) / span + 2 if high == g else (r - g) / span + 4) * 30
+        assert tuple(hsv) == (np.rint(hue) % 180, np.rint(span / high * 255) if high else 0, high)
