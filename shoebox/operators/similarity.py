@@ -13,14 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.functions.vec import inner_with, is_vector
+from shoebox.operators.blocks import Blocks, Side, over_pairs, side, store
 from shoebox.session import cut
 
-#: (ids, unit vectors, marks) of one block, sorted by id.
-Side = tuple[np.ndarray, np.ndarray, np.ndarray]
-
-
-def _raw(vectors: DataFrame, mark: str | None = None) -> DataFrame:
-    """(id, dims, raw, mark): the vectors as bytes of their own type; what isn't a vector is left out."""
+def _raw(vectors: DataFrame) -> DataFrame:
+    """(id, dims, raw): the vectors as bytes of their own type; what isn't a vector is left out."""
     kind = vectors.schema["vector"].dataType.elementType.simpleString()
     width = {"float": 4, "double": 8}[kind]
 
@@ -31,45 +28,93 @@ def _raw(vectors: DataFrame, mark: str | None = None) -> DataFrame:
             data = np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False)).view("uint8")
             ends = np.append(0, np.cumsum(size.astype("int64") * width))
             raw = pa.array([data[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size), raw, batch.column("mark")], names=["id", "dims", "raw", "mark"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size), raw], names=["id", "dims", "raw"])
 
     rows = vectors.where(F.col("id").isNotNull() & is_vector(F.col("vector")))
-    marks = F.lit(0).cast("bigint") if mark is None else F.col(mark).cast("bigint")
-    # written once, as sizes and blocks are both made of it
-    return cut(rows.select("id", "vector", marks.alias("mark")).mapInArrow(pack, "id bigint, dims int, raw binary, mark bigint")).withColumn("kind", F.lit(f"f{width}"))
+    # written once, as sizes and buckets are both made of it
+    return cut(rows.select("id", "vector").mapInArrow(pack, "id bigint, dims int, raw binary")).withColumn("kind", F.lit(f"f{width}"))
 
 
-def _over_blocks(vectors: DataFrame, task: Callable[[Side, Side, bool], pd.DataFrame], schema: str, block: int, mark: str | None = None) -> DataFrame:
-    """``task`` on each pair of blocks of about ``block`` vectors of one length; of a block with itself too."""
-    rows = _raw(vectors, mark)
-    sizes = rows.groupBy("dims").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row per length
-    dealt = rows.join(sizes, "dims").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("id", "raw", "mark", "kind", "dims", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+#: Elements are tried in steps of so many; a tile of the table of cosines is compared by a first part of the elements only
+#: if at most SOME of its pairs get past that in vain, and pair by pair if at most MANY do.
+STEP, SOME, MANY = 32, 2e-4, 0.02
 
-    def side(frame: pd.DataFrame) -> Side:
-        frame = frame.sort_values("id")
-        kind = frame["kind"].iloc[0] if len(frame) else "f4"
-        x = np.frombuffer(b"".join(frame["raw"]), kind).reshape(len(frame), -1 if len(frame) else 0).astype("float64")
-        return frame["id"].to_numpy(), x / np.sqrt((x * x).sum(axis=1))[:, None], frame["mark"].to_numpy()
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-        left = side(frame[frame["own"] == i])
-        return task(left, left if i == j else side(frame[frame["own"] == j]), i == j)
+def _first_part(x: np.ndarray, y: np.ndarray, limit: float) -> int:
+    """How many first elements of unit vectors rule out nearly all pairs that lie below the limit: tried on some of them."""
+    x, y = x[:: max(1, len(x) // 256)], y[max(1, len(y) // 256) // 2 :: max(1, len(y) // 256)]
+    dims, s, below = x.shape[1], np.zeros((len(x), len(y)), "float32"), x @ y.T < limit
+    for k in range(STEP, dims, STEP):
+        s += x[:, k - STEP : k] @ y[:, k - STEP : k].T
+        rest = [np.sqrt((v[:, k:] * v[:, k:]).sum(axis=1)) for v in (x, y)]
+        if ((s + rest[0][:, None] * rest[1] >= limit) & below).mean() <= SOME:
+            return k
+    return dims
+
 
-    return dealt.groupBy("dims", "i", "j").applyInPandas(compare, schema)
+class _Tiles:
+    """Which pairs of two groups lie over a limit, by tiles of the table of their cosines.
 
+    Products are taken in four bytes, and of the first elements only where these rule out nearly all pairs: the rest of
+    two vectors adds at most the product of its lengths, which is taken as one element more. What comes within the
+    error of four bytes of the limit is decided by the cosine in eight bytes.
+    """
 
-def _near(left: Side, right: Side, same: bool, least: float, strict: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Slices of (place on the left, place on the right, cosine) of pairs over the limit; within a block each pair once."""
-    p, x, _ = left
-    q, y, _ = right
-    for lo in range(0, len(x) if len(y) else 0, 1024):
-        s = x[lo : lo + 1024] @ y.T
-        r, c = np.nonzero(s > least if strict else s >= least)
-        once = p[lo + r] < q[c] if same else p[lo + r] != q[c]
-        yield lo + r[once], c[once], s[r[once], c[once]]
+    def __init__(self, left: Side, right: Side, least: float, strict: bool):
+        self.left, self.right, self.least, self.strict = left, right, least, strict
+        self.dims = left.unit.shape[1]
+        self.margin = 1e-5 + 2.5e-7 * self.dims
+        self.limit = np.float32(least - self.margin)
+        self.k = _first_part(left.unit, right.unit, self.limit) if len(left.ids) and len(right.ids) else self.dims
+
+    def over(self, value: np.ndarray) -> np.ndarray:
+        return value > self.least if self.strict else value >= self.least
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """(places on the left, on the right, cosines in four bytes or None) of all pairs that may lie over the limit."""
+        x, y, k = self.left.unit, self.right.unit, self.k
+        if k < self.dims:
+            x, y = (np.concatenate([v[:, :k], np.sqrt((v[:, k:] * v[:, k:]).sum(axis=1))[:, None]], axis=1) for v in (x, y))
+        for lo in range(0, len(x), 1024):
+            for at in range(0, len(y), 4096):
+                s = x[lo : lo + 1024] @ y[at : at + 4096].T
+                rows = np.flatnonzero(s.max(axis=1) >= self.limit)
+                r, c = np.nonzero(s[rows] >= self.limit)
+                if k < self.dims and len(r) > MANY * s.size:
+                    s = self.left.unit[lo : lo + 1024] @ self.right.unit[at : at + 4096].T
+                    rows = np.arange(len(s))
+                    r, c = np.nonzero(s >= self.limit)
+                    yield r + lo, c + at, s[r, c]
+                else:
+                    yield rows[r] + lo, c + at, s[rows[r], c] if k == self.dims else None
+
+    def cosines(self, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        out = np.empty(len(r))
+        for some in (slice(n, n + 2048) for n in range(0, len(r), 2048)):
+            out[some] = np.einsum("ij,ij->i", self.left.exact(r[some]), self.right.exact(c[some]))
+        return out
+
+    def true(self, r: np.ndarray, c: np.ndarray, value: np.ndarray | None) -> np.ndarray:
+        """Which of these pairs lie over the limit; ``value``: their cosines in four bytes, if known."""
+        if value is None:
+            value = np.empty(len(r), "float32")
+            for some in (slice(n, n + 2048) for n in range(0, len(r), 2048)):
+                value[some] = np.einsum("ij,ij->i", self.left.unit[r[some]], self.right.unit[c[some]])
+        out = value >= self.least + self.margin
+        doubt = np.flatnonzero(np.abs(value - self.least) <= 2 * self.margin)
+        out[doubt] = self.over(self.cosines(r[doubt], c[doubt]))
+        return out
+
+
+def _near(left: Side, right: Side, same: bool, least: float, strict: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slices of (place on the left, place on the right) of pairs over the limit; within a group each pair once."""
+    tiles = _Tiles(left, right, least, strict)
+    for r, c, value in tiles:
+        p, q = left.ids[r], right.ids[c]
+        once = p < q if same else p != q
+        r, c, value = r[once], c[once], None if value is None else value[once]
+        over = tiles.true(r, c, value)
+        yield r[over], c[over]
 
 
 def _frame(schema: str, *columns: list[np.ndarray]) -> pd.DataFrame:
@@ -81,27 +126,52 @@ def _frame(schema: str, *columns: list[np.ndarray]) -> pd.DataFrame:
 PAIRS = "a bigint, b bigint, cosine double"
 
 
+def _connecting(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which of the links (u, v) connect what all connect and ``label`` doesn't yet; ``label`` is brought up to date."""
+    kept, at = [], np.arange(len(u))
+    while True:
+        a, b = label[u[at]], label[v[at]]
+        at, a, b = at[a != b], np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+        if not len(at):
+            return np.sort(np.concatenate(kept)) if kept else np.zeros(0, "int64")
+        # each label is led to one smaller label: no circles
+        _, first = np.unique(b, return_index=True)
+        kept.append(at[first])
+        lead = np.arange(len(label))
+        lead[b[first]] = a[first]
+        while (lead != lead[lead]).any():
+            lead = lead[lead]
+        label[:] = lead[label]
+
+
+def _forest(left: Side, right: Side, least: float, strict: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slices of places of pairs over the limit that connect what all would connect; pairs connected so far aren't looked at."""
+    _, number = np.unique(np.append(left.ids, right.ids), return_inverse=True)
+    label, of_left, of_right = np.arange(len(number)), number[: len(left.ids)], number[len(left.ids) :]
+    tiles = _Tiles(left, right, least, strict)
+    for r, c, value in tiles:
+        for trial in range(4):
+            a, b = label[of_left[r]], label[of_right[c]]
+            apart = np.flatnonzero(a != b)
+            if not len(apart):
+                break
+            r, c, value, b = r[apart], c[apart], None if value is None else value[apart], np.maximum(a, b)[apart]
+            # first one pair for each label, which mostly settles the others; at last all that are left
+            some = np.unique(b, return_index=True)[1] if trial < 3 else np.arange(len(r))
+            over = some[tiles.true(r[some], c[some], None if value is None else value[some])]
+            kept = over[_connecting(label, of_left[r[over]], of_right[c[over]])]
+            yield r[kept], c[kept]
+            rest = np.ones(len(r), bool)
+            rest[some] = False
+            r, c, value = r[rest], c[rest], None if value is None else value[rest]
+
+
 def _pairs_of(least: float, strict: bool, forest: bool) -> Callable[[Side, Side, bool], pd.DataFrame]:
     def pairs(left: Side, right: Side, same: bool) -> pd.DataFrame:
-        p, q, out, root = left[0], right[0], ([], [], []), {}
-
-        def top(v: int) -> int:
-            while root.setdefault(v, v) != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
-
-        for r, c, value in _near(left, right, same, least, strict):
-            a, b = np.minimum(p[r], q[c]), np.maximum(p[r], q[c])
-            if forest:
-                kept = []
-                for k, (u, v) in enumerate(zip(a.tolist(), b.tolist())):
-                    u, v = top(u), top(v)
-                    if u != v:
-                        root[v] = u
-                        kept.append(k)
-                a, b, value = a[kept], b[kept], value[kept]
-            for column, part in zip(out, (a, b, value)):
+        p, q, out = left.ids, right.ids, ([], [], [])
+        tiles = _Tiles(left, right, least, strict)
+        for r, c in _forest(left, right, least, strict) if forest else _near(left, right, same, least, strict):
+            for column, part in zip(out, (np.minimum(p[r], q[c]), np.maximum(p[r], q[c]), tiles.cosines(r, c))):
                 column.append(part)
         return _frame(PAIRS, *out)
 
@@ -111,13 +181,18 @@ def _pairs_of(least: float, strict: bool, forest: bool) -> Callable[[Side, Side,
 def cosine_pairs(vectors: DataFrame, least: float, strict: bool = False, forest: bool = False, block: int = 4096) -> DataFrame:
     """(a, b, cosine): all pairs a < b of ``vectors`` (id, vector) with a cosine of at least (``strict``: above) ``least``.
 
-    The vectors are dealt into blocks of about ``block``; each task compares two of them by one matrix product and gives
-    only pairs over the limit. With ``forest`` it gives only as many of them as connect what all would connect: for
-    components. NULL and zero vectors and vectors with NULL or NaN are similar to nothing, nor are vectors of different
-    lengths. This is the exact join: n vectors are copied n / ``block`` times, whatever n; ``approximate_pairs`` copies
-    them a number of times that doesn't grow.
+    The vectors are written once, in blocks of at most ``block``; each task reads two groups of them, compares these by
+    matrix products and gives only pairs over the limit. With ``forest`` it gives only as many of them as connect what
+    all would connect: for components. NULL and zero vectors and vectors with NULL or NaN are similar to nothing, nor are
+    vectors of different lengths. This is the exact join: its work grows with the square of the vectors, its disk
+    doesn't; that of ``approximate_pairs`` is less where vectors are many.
     """
-    return _over_blocks(vectors, _pairs_of(least, strict, forest), PAIRS, block)
+    return near_pairs(store(vectors, block), least, strict, forest)
+
+
+def near_pairs(blocks: Blocks, least: float, strict: bool = False, forest: bool = False) -> DataFrame:
+    """``cosine_pairs`` of stored vectors."""
+    return over_pairs(blocks, _pairs_of(least, strict, forest), PAIRS)
 
 
 NEAREST = "id bigint, other bigint, cosine double"
@@ -142,16 +217,22 @@ def nearest(vectors: DataFrame, k: int, least: float, block: int = 4096) -> Data
 
     def task(left: Side, right: Side, same: bool) -> pd.DataFrame:
         out: tuple[list, list, list] = ([], [], [])
-        for (p, x, _), (q, y, _) in [(left, right)] if same else [(left, right), (right, left)]:
-            for lo in range(0, len(x) if len(y) else 0, 1024):
-                s = x[lo : lo + 1024] @ y.T
-                s[p[lo : lo + 1024, None] == q[None, :]] = -2
-                r, c = best_of(s, q)
-                for column, part in zip(out, (p[lo + r], q[c], s[r, c])):
-                    column.append(part)
+        for one, other in [(left, right)] if same else [(left, right), (right, left)]:
+            p, q = one.ids, other.ids
+            best: tuple[list, list, list] = ([], [], [])
+            for at in range(0, len(q), 4096):
+                y = other.exact(slice(at, at + 4096))
+                for lo in range(0, len(p), 1024):
+                    s = one.exact(slice(lo, lo + 1024)) @ y.T
+                    s[p[lo : lo + 1024, None] == q[None, at : at + 4096]] = -2
+                    r, c = best_of(s, q[at : at + 4096])
+                    for column, part in zip(best, (p[lo + r], q[at + c], s[r, c])):
+                        column.append(part)
+            for column, part in zip(out, best):
+                column.extend(part)
         return _frame(NEAREST, *out)
 
-    found = _over_blocks(vectors, task, NEAREST, block)
+    found = over_pairs(store(vectors, block), task, NEAREST)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 12)), "other"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -160,14 +241,14 @@ def neighbour_counts(vectors: DataFrame, least: float, block: int = 4096) -> Dat
     """(id, n): how many others each of ``vectors`` (id, vector) has with a cosine of at least ``least``; none gives no row."""
 
     def task(left: Side, right: Side, same: bool) -> pd.DataFrame:
-        n, m = np.zeros(len(left[0]), "int64"), np.zeros(len(right[0]), "int64")
-        for r, c, _ in _near(left, right, same, least, False):
+        n, m = np.zeros(len(left.ids), "int64"), np.zeros(len(right.ids), "int64")
+        for r, c in _near(left, right, same, least, False):
             n += np.bincount(r, minlength=len(n))
             m += np.bincount(c, minlength=len(m))
-        ids, counts = np.append(left[0], right[0]), np.append(n, m)
+        ids, counts = np.append(left.ids, right.ids), np.append(n, m)
         return pd.DataFrame({"id": ids[counts > 0], "n": counts[counts > 0]})
 
-    return _over_blocks(vectors, task, "id bigint, n bigint", block).groupBy("id").agg(F.sum("n").alias("n"))
+    return over_pairs(store(vectors, block), task, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def least_marks(vectors: DataFrame, least: float, block: int = 4096) -> DataFrame:
@@ -175,15 +256,15 @@ def least_marks(vectors: DataFrame, least: float, block: int = 4096) -> DataFram
 
     def task(left: Side, right: Side, same: bool) -> pd.DataFrame:
         ids, marks = [], []
-        for r, c, _ in _near(left, right, same, least, False):
+        for r, c in _near(left, right, same, least, False):
             for at, of, mine, its in ((left, right, r, c), (right, left, c, r)):
-                asks = (at[2][mine] < 0) & (of[2][its] >= 0)
-                ids.append(at[0][mine[asks]])
-                marks.append(of[2][its[asks]])
+                asks = (at.marks[mine] < 0) & (of.marks[its] >= 0)
+                ids.append(at.ids[mine[asks]])
+                marks.append(of.marks[its[asks]])
         found = _frame("id bigint, mark bigint", ids, marks)
         return found.groupby("id", as_index=False)["mark"].min()
 
-    return _over_blocks(vectors, task, "id bigint, mark bigint", block, "mark").groupBy("id").agg(F.min("mark").alias("mark"))
+    return over_pairs(store(vectors, block, "mark"), task, "id bigint, mark bigint").groupBy("id").agg(F.min("mark").alias("mark"))
 
 
 @functools.lru_cache(maxsize=128)
@@ -250,13 +331,11 @@ def approximate_pairs(vectors: DataFrame, least: float, recall: float = 0.98, fo
     task = _pairs_of(least, False, forest)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
-        x = np.frombuffer(b"".join(frame["raw"]), frame["kind"].iloc[0]).reshape(len(frame), -1).astype("float64")
-        x /= np.sqrt((x * x).sum(axis=1))[:, None]
+        x = np.frombuffer(b"".join(frame["raw"]), frame["kind"].iloc[0]).reshape(len(frame), -1)
         ids, own = frame["id"].to_numpy(), frame["own"].to_numpy()
         i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-        left = ids[own == i], x[own == i], own[own == i]
-        return task(left, left if i == j else (ids[own == j], x[own == j], own[own == j]), i == j)
+        left = side(ids[own == i], x[own == i], own[own == i])
+        return task(left, left if i == j else side(ids[own == j], x[own == j], own[own == j]), i == j)
 
     found = placed.join(rows.select("id", "raw", "kind"), "id").groupBy("dims", "number", "bucket", "i", "j").applyInPandas(compare, PAIRS)
     return found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))

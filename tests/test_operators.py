@@ -397,3 +397,43 @@ def test_caches(spark):
 
 def test_config_is_shared_by_nobody():
     assert SearchConfig().presets is not SearchConfig().presets
+
+
+# --- stored blocks -------------------------------------------------------------------------------------------------
+
+
+def _crowd(n: int = 400, dims: int = 96) -> np.ndarray:
+    """Vectors of which some are near the limit of 0.6, many are alike and most are far from all."""
+    g = np.random.default_rng(11)
+    x = g.normal(size=(n, dims))
+    x[: n // 4] = x[0] + 0.5 * g.normal(size=(n // 4, dims))  # one crowd
+    for k in range(n // 4, n // 2, 2):
+        x[k + 1] = x[k] + 1.33 * g.normal(size=dims)  # cosines around 0.6
+    return x.astype("float32")
+
+
+def test_vectors_are_stored_once_whatever_the_number_of_blocks(spark):
+    x = _crowd()
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id bigint, vector array<float>")
+    u = x.astype("float64") / np.linalg.norm(x.astype("float64"), axis=1)[:, None]
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.6, 1)))}
+    assert 3000 < len(want)
+    pairs = cosine_pairs(df, 0.6, block=16)
+    assert "Exchange" not in pairs._jdf.queryExecution().toString()  # before, each vector was sent once for each block
+    got = {(r["a"], r["b"]): r["cosine"] for r in pairs.collect()}
+    assert set(got) == want and all(abs(v - u[a] @ u[b]) < 1e-12 for (a, b), v in got.items())
+    forest = {(r["a"], r["b"]) for r in cosine_pairs(df, 0.6, forest=True, block=16).collect()}
+    assert forest <= want and union_find(forest) == union_find(want)
+
+
+def test_stored_vectors_less_some_are_as_if_never_stored(spark):
+    from shoebox.operators.blocks import store, without
+    from shoebox.operators.similarity import near_pairs
+
+    x = _crowd(120)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(500, None), (501, [0.0] * 96)], "id bigint, vector array<float>")
+    blocks = store(df, 16)
+    assert sorted(r["id"] for r in blocks.rows.collect()) == [*range(120), 500, 501] and sum(n for _, _, n in blocks.files) == 120
+    gone = df.where("id % 3 = 0 or id between 31 and 70 or id = 500").select("id")
+    kept = sorted((r["a"], r["b"]) for r in near_pairs(without(blocks, gone), 0.6).collect())
+    assert kept == sorted((r["a"], r["b"]) for r in cosine_pairs(df.join(gone, "id", "left_anti"), 0.6, block=16).collect())
