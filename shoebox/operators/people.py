@@ -128,12 +128,17 @@ def cluster(faces: DataFrame, limit: float | None = None) -> DataFrame:
 def density_clusters(faces: DataFrame, eps: float = 0.45, least: int = 2) -> DataFrame:
     """(id, label): faces by density: cores have ``least`` faces within ``eps``, themselves among them; others join a core.
 
-    What near faces are is only counted; links come out of each pair of blocks as far as they connect cores.
+    What near faces are is only counted; links come out of each pair of blocks as far as they connect cores. Where
+    ``least`` is two, whoever has a link is a core, and nothing needs to be counted.
     """
     vectors = faces.select("id", F.col("embedding").alias("vector"))
-    core = cut(neighbour_counts(vectors, 1 - eps).where(F.col("n") + 1 >= least).select("id"))
-    links = cosine_pairs(vectors.join(core, "id", "left_semi"), 1 - eps, forest=True).select("a", "b")
-    joined = cut(components(links.union(core.select(F.col("id").alias("a"), F.col("id").alias("b")))))  # a core alone is a cluster too
+    if least > 2:
+        core = cut(neighbour_counts(vectors, 1 - eps).where(F.col("n") + 1 >= least).select("id"))
+        links = cosine_pairs(vectors.join(core, "id", "left_semi"), 1 - eps, forest=True).select("a", "b")
+        links = links.union(core.select(F.col("id").alias("a"), F.col("id").alias("b")))  # a core alone is a cluster too
+    else:
+        links = cosine_pairs(vectors, 1 - eps, forest=True)
+    joined = cut(components(links))
     named = numbered(joined.select("component").distinct(), "component", "label")
     linked = found = joined.join(named, "component").select(F.col("node").alias("id"), "label")
     if least > 2:  # else whoever has a neighbour is a core
