@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.config import SearchConfig
+from shoebox.operators.blocks import store, without
 from shoebox.operators.graph import components
 from shoebox.operators.hamming import near_hash_pairs
-from shoebox.operators.similarity import approximate_pairs, cosine_pairs, nearest
+from shoebox.operators.similarity import approximate_pairs, cosine_pairs, near_pairs, nearest
+from shoebox.session import cut
 
 
 def _of_two(found: DataFrame) -> DataFrame:
@@ -80,14 +82,23 @@ def find_duplicates(photos: DataFrame, config: SearchConfig = SearchConfig(), us
     ``semantic``; with ``recall`` these are searched approximately (``vector_groups``).
     """
     photos = photos.where("embedding is not null")
-    by_hash = hash_groups(photos, config.phash_bits)
+    stored = None
+    if use_embedding and recall is None:
+        # rows that take a shuffle to make are made once, and vectors aren't moved again
+        stored = store(photos.select("id", "phash", F.col("embedding").alias("vector")), 4096, None, "phash")
+        photos = stored.rows
+    by_hash = cut(hash_groups(photos, config.phash_bits))
     hashes = by_hash.join(photos.select("id", "phash"), "id").groupBy("component", "phash").agg(F.count("*").alias("n"))
     kind = hashes.groupBy("component").agg(F.when(F.max("n") > 1, "exact").otherwise("near_exact").alias("type"))
     found = by_hash.join(kind, "component").select("type", "component", "id")
     if not use_embedding:
         return found
-    rest = photos.join(by_hash.select("id"), "id", "left_anti")
-    return found.unionByName(vector_groups(rest, config.embedding_similarity, recall=recall).select(F.lit("semantic").alias("type"), "component", "id"))
+    if stored is None:
+        rest = photos.join(by_hash.select("id"), "id", "left_anti")
+        alike = vector_groups(rest, config.embedding_similarity, recall=recall)
+    else:
+        alike = _of_two(components(near_pairs(without(stored, by_hash), config.embedding_similarity, forest=True)))
+    return found.unionByName(alike.select(F.lit("semantic").alias("type"), "component", "id"))
 
 
 def manifest(groups: DataFrame, photos: DataFrame, status: Column | None = None) -> DataFrame:
