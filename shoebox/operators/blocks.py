@@ -127,38 +127,66 @@ def store(vectors: DataFrame, block: int = 4096, mark: str | None = None, *carri
     return Blocks(folder, rows, sorted((r["_file"], r["_dims"], r["n"]) for r in found), block)
 
 
-def without(blocks: Blocks, ids: DataFrame) -> Blocks:
-    """``blocks`` less the vectors of ``ids`` (id): a list of places is put beside each file, the files stay."""
-    folder, name = blocks.folder, f"less-{uuid.uuid4().hex}"
+def _beside(blocks: Blocks, ids: DataFrame, kind: str, content: Callable[[pd.DataFrame], np.ndarray]) -> dict[str, tuple[str, int]]:
+    """Put ``content`` of the places of ``ids`` (id, and more) beside the file of each: file -> (name, how many places)."""
+    folder, name = blocks.folder, f"{kind}-{uuid.uuid4().hex}"
 
     def note(frame: pd.DataFrame) -> pd.DataFrame:
         files, path = _files(folder)
-        places = np.unique(frame["_place"].to_numpy("int32"))
+        frame = frame.drop_duplicates("_place").sort_values("_place")
         with files.open_output_stream(f"{path}/{frame['_file'].iloc[0]}-{name}") as out:
-            out.write(places.tobytes())
-        return pd.DataFrame({"file": [frame["_file"].iloc[0]], "n": [len(places)]})
+            out.write(content(frame).tobytes())
+        return pd.DataFrame({"file": [frame["_file"].iloc[0]], "n": [len(frame)]})
+
+    placed = blocks.rows.where("_file is not null").select("id", "_file", "_place").join(ids, "id").drop("id")
+    return {r["file"]: (f"{r['file']}-{name}", r["n"]) for r in placed.groupBy("_file").applyInPandas(note, "file string, n int").collect()}
 
-    gone = blocks.rows.where("_file is not null").join(ids.select("id"), "id", "left_semi").select("_file", "_place")
-    less = {r["file"]: r["n"] for r in gone.groupBy("_file").applyInPandas(note, "file string, n int").collect()}
-    files = [(f"{f} {f}-{name}" if f in less else f, dims, n - less.get(f, 0)) for f, dims, n in blocks.files]
+
+def without(blocks: Blocks, ids: DataFrame) -> Blocks:
+    """``blocks`` less the vectors of ``ids`` (id): a list of places is put beside each file, the files stay."""
+    less = _beside(blocks, ids.select("id").distinct(), "less", lambda frame: frame["_place"].to_numpy("int32"))
+    files = [(f"{f} {less[f][0]}" if f in less else f, dims, n - less.get(f, ("", 0))[1]) for f, dims, n in blocks.files]
     return blocks._replace(files=[x for x in files if x[2]])
 
 
+def marked(blocks: Blocks, marks: DataFrame) -> Blocks:
+    """``blocks`` with the numbers of ``marks`` (id, mark), a row for each vector: they are put beside each file."""
+    found = _beside(blocks, marks.select("id", F.col("mark").cast("bigint").alias("mark")), "mark", lambda frame: frame["mark"].to_numpy("int64"))
+    return blocks._replace(files=[(f"{f} {found[f][0]}", dims, n) for f, dims, n in blocks.files])
+
+
 def _load(folder: str, names: list[str]) -> Side:
     files, path = _files(folder)
+
+    def numbers(name: str, kind: str) -> np.ndarray:
+        with files.open_input_stream(f"{path}/{name}") as given:
+            return np.frombuffer(given.read(), kind)
+
     parts = []
     for name in names:
-        file, _, less = name.partition(" ")
+        file, _, other = name.partition(" ")
         table = pq.read_table(f"{path}/{file}", filesystem=files, use_threads=False, partitioning=None)
-        if less:
-            with files.open_input_stream(f"{path}/{less}") as given:
-                gone = np.frombuffer(given.read(), "int32")
-            table = table.take(pa.array(np.setdiff1d(np.arange(table.num_rows), gone)))
+        marks = numbers(other, "int64") if "-mark-" in other else table.column("_mark").to_numpy()
+        if "-less-" in other:
+            kept = np.setdiff1d(np.arange(table.num_rows), numbers(other, "int32"))
+            table, marks = table.take(pa.array(kept)), marks[kept]
         raw = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
-        parts.append((table.column("id").to_numpy(), raw, table.column("_mark").to_numpy()))
+        parts.append((table.column("id").to_numpy(), raw, marks))
     return side(*(np.concatenate(x) for x in zip(*parts)))
 
 
+def over_files(blocks: Blocks, task: Callable[[Side], pd.DataFrame], schema: str) -> DataFrame:
+    """``task`` on each block."""
+    spark, folder, names = blocks.rows.sparkSession, blocks.folder, [f for f, _, _ in blocks.files]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column("id").to_pylist():
+                yield pa.RecordBatch.from_pandas(task(_load(folder, [names[number]])), preserve_index=False)
+
+    return spark.range(0, len(names), 1, max(1, min(len(names), spark.sparkContext.defaultParallelism * 8))).mapInArrow(run, schema)
+
+
 #: Tasks compare groups of up to so many blocks, fewer where that leaves too few tasks.
 MOST_BLOCKS, LEAST_GROUPS = 4, 12
 

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from shoebox.config import SearchConfig
 from shoebox.functions.vec import is_vector, unit_if_long
+from shoebox.operators.blocks import store
 from shoebox.operators.graph import components, groups, numbered
-from shoebox.operators.similarity import cosine_pairs, least_marks, neighbour_counts
+from shoebox.operators.similarity import cosine_pairs, least_marks, links, neighbour_counts
 from shoebox.session import cut
 
 
@@ -121,7 +122,7 @@ def cluster(faces: DataFrame, limit: float | None = None) -> DataFrame:
     """
     limit = SearchConfig().face_distance if limit is None else limit
     vectors = faces.select("id", F.col("embedding").alias("vector"))
-    linked = groups(cosine_pairs(vectors, 1 - limit, strict=True, forest=True))
+    linked = groups(links(store(vectors), 1 - limit, strict=True))
     return faces.select("id").join(linked.select(F.col("node").alias("id"), "label"), "id", "left").select("id", F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"))
 
 

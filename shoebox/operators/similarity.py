@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.functions.vec import inner_with, is_vector
-from shoebox.operators.blocks import Blocks, Side, over_pairs, side, store
+from shoebox.operators.blocks import Blocks, Side, marked, over_files, over_pairs, side, store, without
+from shoebox.operators.graph import components
 from shoebox.session import cut
 
 def _raw(vectors: DataFrame) -> DataFrame:
@@ -144,9 +145,12 @@ def _connecting(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         label[:] = lead[label]
 
 
-def _forest(left: Side, right: Side, least: float, strict: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Slices of places of pairs over the limit that connect what all would connect; pairs connected so far aren't looked at."""
-    _, number = np.unique(np.append(left.ids, right.ids), return_inverse=True)
+def _forest(left: Side, right: Side, least: float, strict: bool, known: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slices of places of pairs over the limit that connect what all would connect; pairs connected so far aren't looked at.
+
+    With ``known`` vectors of one mark are connected from the start.
+    """
+    _, number = np.unique(np.append(*((x.marks if known else x.ids) for x in (left, right))), return_inverse=True)
     label, of_left, of_right = np.arange(len(number)), number[: len(left.ids)], number[len(left.ids) :]
     tiles = _Tiles(left, right, least, strict)
     for r, c, value in tiles:
@@ -166,11 +170,11 @@ def _forest(left: Side, right: Side, least: float, strict: bool) -> Iterator[tup
             r, c, value = r[rest], c[rest], None if value is None else value[rest]
 
 
-def _pairs_of(least: float, strict: bool, forest: bool) -> Callable[[Side, Side, bool], pd.DataFrame]:
+def _pairs_of(least: float, strict: bool, forest: bool, known: bool = False) -> Callable[[Side, Side, bool], pd.DataFrame]:
     def pairs(left: Side, right: Side, same: bool) -> pd.DataFrame:
         p, q, out = left.ids, right.ids, ([], [], [])
         tiles = _Tiles(left, right, least, strict)
-        for r, c in _forest(left, right, least, strict) if forest else _near(left, right, same, least, strict):
+        for r, c in _forest(left, right, least, strict, known) if forest else _near(left, right, same, least, strict):
             for column, part in zip(out, (np.minimum(p[r], q[c]), np.maximum(p[r], q[c]), tiles.cosines(r, c))):
                 column.append(part)
         return _frame(PAIRS, *out)
@@ -195,6 +199,84 @@ def near_pairs(blocks: Blocks, least: float, strict: bool = False, forest: bool
     return over_pairs(blocks, _pairs_of(least, strict, forest), PAIRS)
 
 
+#: Links to so many vectors are looked for before all are compared (32 MB at 512 elements), so many times.
+PIVOTS, ROUNDS = 8192, 2
+
+
+def _to_pivots(blocks: Blocks, least: float, strict: bool, most: int) -> DataFrame:
+    """(a, b): true links of stored vectors, each to the nearest of ``most`` of them, and among these what connects them."""
+    picked = blocks.rows.where("_file is not null").select("id").orderBy(F.xxhash64("id"), "id").limit(most).collect()
+    wanted, spark = np.array(sorted(r["id"] for r in picked), "int64"), blocks.rows.sparkSession
+
+    def take(given: Side) -> pd.DataFrame:
+        at = np.flatnonzero(np.isin(given.ids, wanted))
+        raw = given.raw[at]
+        return pd.DataFrame({"dims": [raw.shape[1]], "kind": [raw.dtype.str], "ids": [given.ids[at].tobytes()], "raw": [raw.tobytes()]})
+
+    parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for r in over_files(blocks, take, "dims bigint, kind string, ids binary, raw binary").collect():  # at most ``most`` vectors
+        parts.setdefault(r["dims"], []).append((np.frombuffer(r["ids"], "int64"), np.frombuffer(r["raw"], r["kind"]).reshape(-1, r["dims"])))
+    shared = spark.sparkContext.broadcast({d: tuple(np.concatenate(x) for x in zip(*own)) for d, own in parts.items()})
+
+    def pivots(dims: int) -> Side:
+        ids, raw = shared.value[dims]
+        return side(ids, raw, ids)
+
+    def task(given: Side) -> pd.DataFrame:
+        to = pivots(given.raw.shape[1])
+        out: tuple[list, list] = ([], [])
+        if len(to.ids):
+            tiles = _Tiles(given, to, least, strict)
+            for lo in range(0, len(given.ids), 1024):
+                s = given.unit[lo : lo + 1024] @ to.unit.T
+                s[given.ids[lo : lo + 1024, None] == to.ids[None, :]] = -2
+                c = s.argmax(axis=1)
+                value = s[np.arange(len(s)), c]
+                r = np.flatnonzero(value >= tiles.limit)
+                r = r[tiles.true(lo + r, c[r], value[r])]
+                out[0].append(given.ids[lo + r])
+                out[1].append(to.ids[c[r]])
+        return _frame(LINKS, *out)
+
+    def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dims in batch.column("id").to_pylist():
+                own, out = pivots(dims), ([], [])
+                for r, c in _forest(own, own, least, strict):
+                    out[0].append(own.ids[r])
+                    out[1].append(own.ids[c])
+                yield pa.RecordBatch.from_pandas(_frame(LINKS, *out), preserve_index=False)
+
+    lengths = spark.createDataFrame([(d,) for d, own in parts.items() if sum(len(i) for i, _ in own)], "id bigint")
+    return over_files(blocks, task, LINKS).union(lengths.mapInArrow(among, LINKS))
+
+
+LINKS = "a bigint, b bigint"
+
+
+def links(blocks: Blocks, least: float, strict: bool = False, pivots: int = PIVOTS) -> DataFrame:
+    """(a, b): pairs of stored vectors over the limit that connect what all such pairs connect, about as many as vectors.
+
+    The forests of all pairs of groups of blocks would hold a large component once for each group. So links to some
+    vectors are looked for first, then to some of those that have none, and what these connect is known when all are
+    compared: only pairs that connect more come out of that. It is as exact as ``cosine_pairs``.
+    """
+    if sum(n for _, _, n in blocks.files) <= blocks.block:
+        return near_pairs(blocks, least, strict, forest=True).select("a", "b")
+    left, found = blocks, []
+    for _ in range(ROUNDS):
+        if not left.files:
+            break
+        found.append(cut(_to_pivots(left, least, strict, pivots)))
+        ends = found[-1].select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        left = without(left, ends)._replace(rows=left.rows.join(ends, "id", "left_anti")) if len(found) < ROUNDS else left
+    some = functools.reduce(DataFrame.union, found)
+    joined = components(some).select(F.col("node").alias("id"), "component")
+    marks = blocks.rows.where("_file is not null").select("id").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("mark"))
+    more = over_pairs(marked(blocks, marks), _pairs_of(least, strict, True, known=True), PAIRS).select("a", "b")
+    return cut(some.union(more))
+
+
 NEAREST = "id bigint, other bigint, cosine double"
 
 

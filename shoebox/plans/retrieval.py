@@ -16,7 +16,7 @@ from shoebox.operators import dedup, people, search
 from shoebox.operators.graph import groups
 from shoebox.operators.library import mark_duplicates as marked
 from shoebox.operators.similarity import approximate_pairs, cosine_pairs, nearest, top_similar
-from shoebox.plans.tables import FEEDBACK_SQL, NOW, faces, feedback, photos, sql_current
+from shoebox.plans.tables import FEEDBACK_SQL, NOW, face_vectors, faces, feedback, photos, sql_current
 from shoebox.session import spread
 from shoebox.sources.tables import current, table
 
@@ -252,13 +252,13 @@ _LABELS = f"l as (select id, dense_rank() over (order by component) - 1 label fr
 @query(f"with recursive {_components(_FACE_PAIRS)}, {_LABELS} select f.id, coalesce(label, -1) label from {FC()} f left join l using (id)")
 def cluster_faces(spark: SparkSession, d: str) -> DataFrame:
     """OP6, AG9: faces linked by distances under 0.50."""
-    return people.cluster(faces(spark, d, "embedding"))
+    return people.cluster(face_vectors(spark, d))
 
 
 @query(f"with recursive {_components(_FACE_PAIRS)}, {_LABELS} select label + 1000 id, min(id) representative_face_id, count(*) n_faces from l group by label")
 def group_faces(spark: SparkSession, d: str) -> DataFrame:
     """OP7, SNK11, WN5: new persons for all clusters, represented by their first faces."""
-    persons, owners = people.new_persons(people.cluster(faces(spark, d, "embedding")), 1000, 0.0)
+    persons, owners = people.new_persons(people.cluster(face_vectors(spark, d)), 1000, 0.0)
     n = owners.groupBy(F.col("person_id").alias("id")).agg(F.count("*").alias("n_faces"))
     return persons.select("id", "representative_face_id").join(n, "id")
 

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoebox.sources.tables import current, table
+from shoebox.sources.tables import current, current_wide, table
 
 #: The time from which queries count days; a parameter of the operators.
 NOW = dt.datetime(2024, 6, 1)
@@ -20,6 +20,10 @@ def faces(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return current(table(spark, d, "faces"), *columns).drop("first_loaded")
 
 
+def face_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return current_wide(table(spark, d, "faces"), "embedding")
+
+
 def persons(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return current(table(spark, d, "persons"), *columns).drop("first_loaded")
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoebox.session import cut
+
+#: So many repeated keys are sent to all executors (some 64 MB).
+SENT = 1_000_000
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -25,3 +30,16 @@ def current(df: DataFrame, *columns: str, key: str = "id", version: str = "loade
         .agg(newest.alias("newest"), F.min(version).alias("first_loaded"))
         .select(key, *[F.col(f"newest.v{i}").alias(c) for i, c in enumerate(columns)], "first_loaded")
     )
+
+
+def current_wide(df: DataFrame, *columns: str, key: str = "id", version: str = "loaded_at") -> DataFrame:
+    """(key, columns) as ``current`` has them, for columns that are wide: only rows of repeated keys are shuffled.
+
+    Keys are counted first. If more than ``SENT`` come more than once, all rows are shuffled.
+    """
+    repeated = cut(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
+    if repeated.count() > SENT:
+        return current(df, *columns, key=key, version=version).drop("first_loaded")
+    once = df.where(F.col(key).isNotNull()).join(F.broadcast(repeated), key, "left_anti").select(key, *columns)
+    again = df.join(F.broadcast(repeated), key, "left_semi")
+    return once.unionByName(current(again, *columns, key=key, version=version).drop("first_loaded"))

@@ -437,3 +437,42 @@ def test_stored_vectors_less_some_are_as_if_never_stored(spark):
     gone = df.where("id % 3 = 0 or id between 31 and 70 or id = 500").select("id")
     kept = sorted((r["a"], r["b"]) for r in near_pairs(without(blocks, gone), 0.6).collect())
     assert kept == sorted((r["a"], r["b"]) for r in cosine_pairs(df.join(gone, "id", "left_anti"), 0.6, block=16).collect())
+
+
+def test_faces_of_one_person_give_about_a_link_each_however_many_blocks_they_fill(spark, monkeypatch):
+    from shoebox.operators import blocks
+
+    given = []
+    monkeypatch.setattr(blocks, "MOST_BLOCKS", 1)
+    monkeypatch.setattr(people, "groups", lambda edges: given.append(cut(edges)) or groups(given[-1]))
+    n = 20_000
+    one = F.array(F.lit(1.0), *[(F.rand(k) / 10) for k in range(7)]).cast("array<float>")
+    faces = spark.range(0, n, 1, 8).select("id", one.alias("embedding")).union(spark.createDataFrame([(n, [0.0] * 7 + [1.0]), (n + 1, None)], "id bigint, embedding array<float>"))
+    label = {(r["label"], r["n"]) for r in people.cluster(faces).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert label == {(0, n), (-1, 2)}
+    assert n - 1 <= given[0].count() < 2 * n + 8192  # before, one for each face and group of blocks
+
+
+@pytest.mark.parametrize("pivots", [1, 7, 64, 8192])
+def test_links_connect_what_all_pairs_connect(spark, pivots):
+    from shoebox.operators.blocks import store
+    from shoebox.operators.similarity import links
+
+    x = _crowd()
+    u = x.astype("float64") / np.linalg.norm(x.astype("float64"), axis=1)[:, None]
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.6, 1)))}
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(500, None), (501, [0.0] * 96), (502, [1.0, 0.0]), (503, [2.0, 0.0])], "id bigint, vector array<float>")
+    got = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in links(store(df, 16), 0.6, pivots=pivots).collect()}
+    assert got <= want | {(502, 503)} and union_find(got) == union_find(want | {(502, 503)})
+
+
+def test_current_rows_of_wide_columns(spark, monkeypatch):
+    from shoebox.sources import tables
+
+    t = [dt.datetime(2024, 1, k) for k in range(1, 5)]
+    given = [(1, [1.0], t[0]), (2, [2.0], t[1]), (2, None, t[2]), (3, [3.0], None), (3, [4.0], t[0]), (4, None, t[3]), (None, [5.0], t[0]), (5, [6.0], t[1]), (5, [7.0], t[1])]
+    df = spark.createDataFrame(given, "id bigint, v array<float>, loaded_at timestamp")
+    want = rows(current(df, "v").select("id", "v"))
+    assert rows(tables.current_wide(df, "v")) == want and len(want) == 5
+    monkeypatch.setattr(tables, "SENT", 0)
+    assert rows(tables.current_wide(df, "v")) == want
