@@ -476,3 +476,14 @@ def test_current_rows_of_wide_columns(spark, monkeypatch):
     assert rows(tables.current_wide(df, "v")) == want and len(want) == 5
     monkeypatch.setattr(tables, "SENT", 0)
     assert rows(tables.current_wide(df, "v")) == want
+
+
+def test_cluster_faces_shuffles_only_vectors_of_repeated_ids(spark, monkeypatch):
+    from shoebox.plans import retrieval
+    from shoebox.sources import tables
+
+    given, folder = [], "/root/testdata/sf0.001"
+    monkeypatch.setattr(tables, "current", lambda df, *a, **k: given.append(df) or current(df, *a, **k))
+    assert retrieval.cluster_faces(spark, folder).count() == spark.read.parquet(f"{folder}/faces.parquet").where("id is not null").select("id").distinct().count()
+    ids = [r["id"] for r in spark.read.parquet(f"{folder}/faces.parquet").select("id").collect()]
+    assert len(given) == 1 and given[0].count() == sum(ids.count(i) > 1 for i in ids)  # before, the rows of all ids
