@@ -6,6 +6,7 @@ it compares. So the disk a join takes is that of its vectors, not that times the
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -76,21 +77,26 @@ class Blocks(NamedTuple):
     block: int
 
 
-def store(vectors: DataFrame, block: int = 4096, mark: str | None = None, *carried: str) -> Blocks:
+def store(vectors: DataFrame, block: int = 4096, mark: str | None = None, *carried: str, hashed: bool = False) -> Blocks:
     """Write ``vectors`` (id, vector) with the numbers of column ``mark`` as blocks of at most ``block`` of one length.
 
-    The columns ``carried`` go along in ``rows``, so that vectors that take a shuffle to make are made once. Rows
-    without id are left out. What the driver gets is a row for each block.
+    The columns ``carried`` go along in ``rows``, so that vectors that take a shuffle to make are made once. With
+    ``hashed`` rows have a hash of 16 bytes of their vector, too. Rows without id are left out. What the driver gets is a
+    row for each block.
     """
     folder = shared_folder(vectors.sparkSession)
     marks = F.lit(0).cast("bigint") if mark is None else F.col(mark).cast("bigint")
     given = vectors.where("id is not null").select("id", *carried, marks.alias("_mark"), "vector")
     kept = ["id", *carried]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.select(*kept).schema) + ", _file string, _place int, _dims int"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.select(*kept).schema) + ", _file string, _place int, _dims int" + ", _hash binary" * hashed
 
     def batch_of(rows: pa.Table | pa.RecordBatch, *own: pa.Array) -> pa.RecordBatch:
         columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (rows.column(n) for n in kept)]
-        return pa.RecordBatch.from_arrays([*columns, *own], names=[*kept, "_file", "_place", "_dims"])
+        return pa.RecordBatch.from_arrays([*columns, *own], names=[*kept, "_file", "_place", "_dims", *["_hash"] * hashed])
+
+    def hashes(vectors: pa.ChunkedArray, n: int) -> pa.Array:
+        x = np.ascontiguousarray(vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(n, -1)
+        return pa.array([hashlib.blake2b(row, digest_size=16).digest() for row in x], pa.binary())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = _files(folder)
@@ -105,7 +111,8 @@ def store(vectors: DataFrame, block: int = 4096, mark: str | None = None, *carri
                 with files.open_output_stream(f"{path}/{name}") as out:
                     pq.write_table(part.select(["id", "_mark", "vector"]), out, compression="zstd")
                 n = part.num_rows
-                yield batch_of(part, pa.array([name] * n), pa.array(np.arange(n, dtype="int32")), pa.array(np.full(n, dims, "int32")))
+                own = [hashes(part.column("vector"), n)] if hashed else []
+                yield batch_of(part, pa.array([name] * n), pa.array(np.arange(n, dtype="int32")), pa.array(np.full(n, dims, "int32")), *own)
                 at += n
             if at < rows.num_rows:
                 held[dims] = rows.slice(at).to_batches()
@@ -114,7 +121,8 @@ def store(vectors: DataFrame, block: int = 4096, mark: str | None = None, *carri
             size, good = _good(batch.column("vector"))
             bad = batch.take(pa.array(np.flatnonzero(~good)))
             if bad.num_rows:
-                yield batch_of(bad, pa.nulls(bad.num_rows, pa.string()), pa.nulls(bad.num_rows, pa.int32()), pa.nulls(bad.num_rows, pa.int32()))
+                kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.binary()] * hashed]
+                yield batch_of(bad, *[pa.nulls(bad.num_rows, kind) for kind in kinds])
             for dims in np.unique(size[good]).tolist():
                 held.setdefault(dims, []).append(batch.take(pa.array(np.flatnonzero(good & (size == dims)))))
                 if sum(b.num_rows for b in held[dims]) >= block:
@@ -143,16 +151,19 @@ def _beside(blocks: Blocks, ids: DataFrame, kind: str, content: Callable[[pd.Dat
 
 
 def without(blocks: Blocks, ids: DataFrame) -> Blocks:
-    """``blocks`` less the vectors of ``ids`` (id): a list of places is put beside each file, the files stay."""
+    """``blocks`` less the vectors of ``ids`` (id), which are still among its rows: a list of places is put beside each file, the files stay."""
     less = _beside(blocks, ids.select("id").distinct(), "less", lambda frame: frame["_place"].to_numpy("int32"))
-    files = [(f"{f} {less[f][0]}" if f in less else f, dims, n - less.get(f, ("", 0))[1]) for f, dims, n in blocks.files]
+    files = []
+    for f, dims, n in blocks.files:
+        name, gone = less.get(f.split(" ")[0], ("", 0))
+        files.append((f"{f} {name}".strip(), dims, n - gone))
     return blocks._replace(files=[x for x in files if x[2]])
 
 
 def marked(blocks: Blocks, marks: DataFrame) -> Blocks:
     """``blocks`` with the numbers of ``marks`` (id, mark), a row for each vector: they are put beside each file."""
     found = _beside(blocks, marks.select("id", F.col("mark").cast("bigint").alias("mark")), "mark", lambda frame: frame["mark"].to_numpy("int64"))
-    return blocks._replace(files=[(f"{f} {found[f][0]}", dims, n) for f, dims, n in blocks.files])
+    return blocks._replace(files=[(f"{f} {found[f.split(' ')[0]][0]}", dims, n) for f, dims, n in blocks.files])
 
 
 def _load(folder: str, names: list[str]) -> Side:
@@ -164,12 +175,17 @@ def _load(folder: str, names: list[str]) -> Side:
 
     parts = []
     for name in names:
-        file, _, other = name.partition(" ")
+        file, *others = name.split(" ")
         table = pq.read_table(f"{path}/{file}", filesystem=files, use_threads=False, partitioning=None)
-        marks = numbers(other, "int64") if "-mark-" in other else table.column("_mark").to_numpy()
-        if "-less-" in other:
-            kept = np.setdiff1d(np.arange(table.num_rows), numbers(other, "int32"))
-            table, marks = table.take(pa.array(kept)), marks[kept]
+        marks, at = table.column("_mark").to_numpy(), np.arange(table.num_rows)
+        for other in others:
+            if "-mark-" in other:
+                marks = numbers(other, "int64")
+            else:
+                kept = ~np.isin(at, numbers(other, "int32"))
+                marks, at = marks[kept], at[kept]
+        if len(at) < table.num_rows:
+            table = table.take(pa.array(at))
         raw = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
         parts.append((table.column("id").to_numpy(), raw, marks))
     return side(*(np.concatenate(x) for x in zip(*parts)))

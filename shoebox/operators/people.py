@@ -122,7 +122,7 @@ def cluster(faces: DataFrame, limit: float | None = None) -> DataFrame:
     """
     limit = SearchConfig().face_distance if limit is None else limit
     vectors = faces.select("id", F.col("embedding").alias("vector"))
-    linked = groups(links(store(vectors), 1 - limit, strict=True))
+    linked = groups(links(store(vectors, hashed=True), 1 - limit, strict=True))
     return faces.select("id").join(linked.select(F.col("node").alias("id"), "label"), "id", "left").select("id", F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"))
 
 

@@ -254,27 +254,44 @@ def _to_pivots(blocks: Blocks, least: float, strict: bool, most: int) -> DataFra
 LINKS = "a bigint, b bigint"
 
 
+def _copies(blocks: Blocks) -> DataFrame:
+    """(a, b): the first of the stored vectors that are equal byte by byte, with each other one; ``blocks`` have hashes."""
+    hashed = blocks.rows.where("_file is not null").select("id", "_hash")
+    first = hashed.groupBy("_hash").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    return cut(hashed.join(first, "_hash").where("id <> a").select("a", F.col("id").alias("b")))
+
+
 def links(blocks: Blocks, least: float, strict: bool = False, pivots: int = PIVOTS) -> DataFrame:
     """(a, b): pairs of stored vectors over the limit that connect what all such pairs connect, about as many as vectors.
 
     The forests of all pairs of groups of blocks would hold a large component once for each group. So links to some
     vectors are looked for first, then to some of those that have none, and what these connect is known when all are
-    compared: only pairs that connect more come out of that. It is as exact as ``cosine_pairs``.
+    compared: only pairs that connect more come out of that. Where ``blocks`` have hashes, of equal vectors one is
+    compared, and the others are linked to it. It is as exact as ``cosine_pairs``.
     """
     if sum(n for _, _, n in blocks.files) <= blocks.block:
         return near_pairs(blocks, least, strict, forest=True).select("a", "b")
+
+    def less(blocks: Blocks, ids: DataFrame) -> Blocks:
+        return without(blocks, ids)._replace(rows=blocks.rows.join(ids, "id", "left_anti"))
+
+    equal = None
+    if "_hash" in blocks.rows.columns and least < 1 - 1e-9:  # beyond that the cosine of equal vectors may round to less
+        equal = _copies(blocks)
+        blocks = less(blocks, equal.select(F.col("b").alias("id")))
+        blocks = blocks._replace(rows=cut(blocks.rows.drop("_hash")))
     left, found = blocks, []
     for _ in range(ROUNDS):
         if not left.files:
             break
         found.append(cut(_to_pivots(left, least, strict, pivots)))
         ends = found[-1].select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        left = without(left, ends)._replace(rows=left.rows.join(ends, "id", "left_anti")) if len(found) < ROUNDS else left
+        left = less(left, ends) if len(found) < ROUNDS else left
     some = functools.reduce(DataFrame.union, found)
     joined = components(some).select(F.col("node").alias("id"), "component")
     marks = blocks.rows.where("_file is not null").select("id").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("mark"))
     more = over_pairs(marked(blocks, marks), _pairs_of(least, strict, True, known=True), PAIRS).select("a", "b")
-    return cut(some.union(more))
+    return cut(functools.reduce(DataFrame.union, [some, more, *[equal] * (equal is not None)]))
 
 
 NEAREST = "id bigint, other bigint, cosine double"

@@ -466,6 +466,23 @@ def test_links_connect_what_all_pairs_connect(spark, pivots):
     assert got <= want | {(502, 503)} and union_find(got) == union_find(want | {(502, 503)})
 
 
+def test_of_equal_faces_one_is_compared_and_all_are_linked(spark, monkeypatch):
+    from shoebox.operators import similarity
+
+    x = np.append(_crowd(), -_crowd()[:1], axis=0)  # the last one is like none, but for its copies
+    u = x.astype("float64") / np.linalg.norm(x.astype("float64"), axis=1)[:, None]
+    near = {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T > 0.5, 1)))}
+    n, compared, over = len(x), [], similarity.over_pairs
+    faces = spark.createDataFrame([(i + n * k, [float(v) for v in row]) for k in range(13) for i, row in enumerate(x)] + [(99_000, None), (99_001, [0.0] * 96)], "id bigint, embedding array<float>")
+    monkeypatch.setattr(similarity, "over_pairs", lambda blocks, *a: compared.append(sum(m for _, _, m in blocks.files)) or over(blocks, *a))
+    got = {r["id"]: r["label"] for r in people.cluster(faces, 0.5).collect()}
+    assert compared == [n]  # before, all 13 copies
+    edges = near | {(i, i + n * k) for i in range(n) for k in range(1, 13)}
+    root = dict(union_find(edges))
+    number = {r: k for k, r in enumerate(sorted(set(root.values())))}
+    assert got == {i: number[r] for i, r in root.items()} | {99_000: -1, 99_001: -1}
+
+
 def test_current_rows_of_wide_columns(spark, monkeypatch):
     from shoebox.sources import tables
 
